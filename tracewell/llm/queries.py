@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, quality, toxicity
+from tracewell.llm import bpe, mixing, neardup, quality, toxicity
 from tracewell.llm.common import Workspace, documents, fold
 
 
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).drop("text")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(documents(spark, sf_dir).select("doc_id", "text"), size=2)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "mix")
     docs = documents(spark, sf_dir)
@@ -42,6 +46,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {}
