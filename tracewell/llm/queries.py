@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, neardup, quality, toxicity
+from tracewell.llm import bpe, mixing, neardup, pii, quality, toxicity
 from tracewell.llm.common import Workspace, documents, fold
 
 
@@ -36,6 +36,16 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(documents(spark, sf_dir).select("doc_id", "text"), size=2)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "mix")
     docs = documents(spark, sf_dir)
@@ -46,6 +56,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {}
