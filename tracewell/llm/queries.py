@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, neardup, pii, quality, toxicity
+from tracewell.llm import bpe, mixing, neardup, pii, quality, quoting, toxicity
 from tracewell.llm.common import Workspace, documents, fold
 
 
@@ -46,6 +46,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.link(documents(spark, sf_dir, "conversations"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "mix")
     docs = documents(spark, sf_dir)
@@ -56,6 +60,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op9_quotation_linking, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {}
