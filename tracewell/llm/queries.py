@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, neardup, pii, quality, quoting, toxicity
+from tracewell.llm import bpe, covertree, mixing, neardup, pii, quality, quoting, toxicity
 from tracewell.llm.common import Workspace, documents, fold
 
 
+def op1_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     Workspace(spark, "bpe")
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -60,6 +64,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op9_quotation_linking, op10_mix_sources)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_cover_tree_search, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op9_quotation_linking, op10_mix_sources,
+)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_cover_tree_search": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+        ), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20
+    """,
+}
