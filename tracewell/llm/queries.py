@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, covertree, mixing, neardup, ngrams, pii, quality, quoting, toxicity
+from tracewell.llm import bpe, covertree, mixing, neardup, ngrams, passages, pii, quality, quoting, toxicity
 from tracewell.llm.common import Workspace, documents, fold
 
 
@@ -54,6 +54,10 @@ def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoting.link(documents(spark, sf_dir, "conversations"))
 
@@ -69,7 +73,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_cover_tree_search, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op7_ngram_scores, op9_quotation_linking, op10_mix_sources,
+    op1_cover_tree_search, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_minhash_dedup, op6_personal_data, op7_ngram_scores, op8_repeated_passages, op9_quotation_linking, op10_mix_sources,
 )}
 
 ORACLE_SQL: dict[str, str] = {
