@@ -203,3 +203,19 @@ def components(
 def _relabelled(space: Workspace, members: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
     found = labels(space, edges, tag)
     return space.save(f"{tag}ids", members.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", broadcast_ids: int = BROADCAST_CLASSES, **options) -> DataFrame:
+    """The rows that stay: of each component the one with the smallest key. Of rows that repeat a key one stays; rows with
+    a null key all stay. options: those of components()."""
+    space = Workspace(df.sparkSession, "dedup")
+    found = space.save("found", components(df, key=key, **options).select(F.col(key).alias("_k"), "kept"))
+    gone = found.where("not kept").select("_k").distinct()
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    out = df.join(gone, F.col(key) == F.col("_k"), "left_anti")
+    repeated = found.where("kept and _k is not null").groupBy("_k").count().where("count > 1").select("_k")
+    if repeated.limit(1).count():  # only tables with repeated keys pay for this
+        null = F.col(key).isNull()
+        out = out.where(~null).dropDuplicates([key]).unionByName(out.where(null))
+    return out
