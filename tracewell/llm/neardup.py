@@ -5,9 +5,9 @@ first collection with one of the second: GROUPS**2 tables from 2 * GROUPS * WIDT
 with a probability under 2 * (1 - 0.8**WIDTH)**GROUPS (7e-5 with the defaults); all others are compared on their full sets.
 
 Documents of equal sets are one class from the start. Within a table's bucket each round compares one pivot with the members that are
-not yet in its component, so a bucket of n classes costs n comparisons a round. After the rounds the members of different components
-that are left are compared pair by pair, except where their distances to a common pivot rule a link out (Jaccard distance is
-a metric), so no link between components is lost.
+not yet in its component, so a bucket of n classes costs n comparisons a round. After the rounds, members of different components that
+still share a bucket are joined once for each pair, and those whose bitmaps allow a link are compared, so no link
+between components is lost; pairs within a component are never made.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; texts with fewer words than a
 shingle are one shingle of all their words; repeated rows (equal ids) give one result for each row; rows with a null id
@@ -29,6 +29,8 @@ from tracewell.llm.common import Workspace, map_texts
 GROUPS, WIDTH = 10, 2
 #: Rounds of pivot comparisons before the remaining pairs are compared.
 PIVOT_ROUNDS = 2
+#: Cells of the bitmaps that bound the common part of two sets from above.
+CELLS = 4096
 #: Classes whose ids are broadcast to fetch their sets; above that they are fetched by a shuffled join.
 BROADCAST_CLASSES = 1_000_000
 
@@ -57,8 +59,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def table_keys(found: np.ndarray, groups: int, width: int) -> np.ndarray:
-    """The groups**2 table keys of a shingle set."""
+def bands(found: np.ndarray, groups: int, width: int) -> np.ndarray:
+    """One hash for each group of minhashes of a shingle set, by collection."""
     n = 2 * groups * width
     seeds = _mix(np.arange(1, n + 1, dtype=np.uint64) * _M2) | np.uint64(1)
     low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -69,12 +71,24 @@ def table_keys(found: np.ndarray, groups: int, width: int) -> np.ndarray:
     band = low[:, :, 0]
     for k in range(1, width):
         band = _mix(band * _M1 + low[:, :, k])
-    table = np.arange(groups, dtype=np.uint64)
+    return band
+
+
+def table_keys(found: np.ndarray, groups: int, width: int) -> np.ndarray:
+    """The groups**2 table keys of a shingle set: each band of the first collection with each of the second."""
+    band, table = bands(found, groups, width), np.arange(groups, dtype=np.uint64)
     first = _mix(band[0] + table * _M1)[:, None]
     second = _mix(band[1] + table * _M2)[None, :]
     return _mix(first * _M1 + second).ravel()
 
 
+def cells(found: np.ndarray) -> np.ndarray:
+    """A bitmap of CELLS bits (as longs) of the cells that a set's shingles fall into."""
+    bits = np.zeros(CELLS, np.uint8)
+    bits[(_mix(found ^ _M2) % np.uint64(CELLS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def labels(space: Workspace, edges: DataFrame, tag: str) -> DataFrame:
     """(id, label): the smallest reachable id, for each id of an edge table (a, b); by alternating stars to a fixed point."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
@@ -133,7 +147,8 @@ def components(
     def make_sets():
         def run(texts):
             sets = [shingles(t, size) for t in texts]
-            return [named(s) for s in sets], [s.view(np.int64) for s in sets]
+            groups_of = [bands(s, groups, width).ravel().view(np.int64).astype(np.int32) for s in sets]
+            return [named(s) for s in sets], [s.view(np.int64) for s in sets], groups_of, [cells(s) for s in sets]
 
         return run
 
@@ -152,42 +167,48 @@ def components(
     if members.count() <= broadcast_classes:
         wanted = F.broadcast(wanted)
     texts = base.join(wanted, F.col("_id").eqNullSafe(F.col("_w"))).select("_text", "id")
-    sets = map_texts(texts, "_text", [("class", "long"), ("set", "array<long>")], make_sets).where("class = id")
-    sets = space.save("sets", sets.select("id", "set").dropDuplicates(["id"]))
+    sets = map_texts(texts, "_text", [("class", "long"), ("set", "array<long>"), ("bands", "array<int>"), ("cells", "array<long>")], make_sets)
+    sets = space.save("sets", sets.where("class = id").select("id", "set", "bands", "cells").dropDuplicates(["id"]))
 
     linked = F.col("inter") * 100 >= F.col("joint") * percent
-    ids, tried, edges = members.withColumn("label", F.col("id")), None, None
+    ids, tried, used = members.withColumn("label", F.col("id")), None, None
     for r in range(rounds):
         now = buckets.join(ids, "id")
-        order = F.xxhash64("id", F.lit(r))
-        pivots = now.groupBy("t").agg(F.min_by(F.struct("id", "label"), order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        pivots = pivots.where("lo < hi").select("t", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"))
+        mixed = now.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("t")
+        now = space.save(f"open{r}", now.join(mixed, "t"))
+        choice = now if used is None else now.join(used, ["t", "id"], "left_anti")
+        pivots = choice.groupBy("t").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id")).alias("p"))
+        pivots = space.save(f"pivots{r}", pivots.select("t", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel")))
+        used = pivots.select("t", F.col("pid").alias("id")) if used is None else used.union(pivots.select("t", "pid"))
         pairs = now.join(pivots, "t").where("label != plabel").select(*_ordered("id", "pid")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         got = _compared(space, pairs, sets, f"compared{r}")
         tried = got if tried is None else tried.unionByName(got)
-        edges = tried.where(linked).select("a", "b")
-        ids = _relabelled(space, members, edges, f"round{r}_")
+        ids = _relabelled(space, members, tried.where(linked).select("a", "b"), f"round{r}_")
 
-    # what is left: members of one bucket in different components, but for those too far apart by their distances to a pivot
+    # what is left: members of one bucket in different components that were not both compared with its pivots. They meet in the first band
+    # of the first collection that they share; the join lets through only pairs whose bitmaps allow a link
     now = buckets.join(ids, "id")
-    open_ = now.groupBy("t").agg(F.min_by("id", F.xxhash64("id", F.lit(0))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_ = open_.where("lo < hi").select("t", "p")
-    far = tried.select("a", "b", (1 - F.col("inter") / F.col("joint")).alias("d"))
-    rest = now.join(open_, "t").join(sets.select("id", F.size("set").alias("n")), "id")
-    rest = rest.select("t", "id", "label", "n", "p", *_ordered("id", "p")).join(far, ["a", "b"], "left")
-    rest = space.save("rest", rest.select("t", "id", "label", "n", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d")))
-    x, y = (rest.select("t", *(F.col(c).alias(s + c) for c in ("id", "label", "n", "d"))) for s in "xy")
-    apart = F.abs(F.col("xd") - F.col("yd")) > 1 - percent / 100 + 1e-9
-    pairs = x.join(y, "t").where(
-        (F.col("xid") < F.col("yid")) & (F.col("xlabel") != F.col("ylabel")) & ~F.coalesce(apart, F.lit(False))
-        & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
-    )
+    mixed = now.groupBy("t").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    open_ids = now.join(mixed.where(F.expr(f"lo < hi and n > {rounds + 1}")).select("t"), "t").select("id", "label").distinct()
+    rest = open_ids.join(sets, "id").select("id", "label", F.size("set").alias("n"), "bands", "cells")
+    bits = F.aggregate("cells", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    rest = space.save("rest", rest.withColumn("spare", F.col("n") - bits))
+    rest = rest.select("*", F.posexplode(F.slice("bands", 1, groups)).alias("i", "band"))
+    x, y = (rest.select(*(F.col(c).alias(s + c) for c in ("i", "band", "id", "label", "n", "bands", "cells", "spare"))) for s in "xy")
+    equal = F.zip_with("xbands", "ybands", lambda p, q: p == q)
+    first = F.array_position(equal, True) == F.col("xi") + 1
+    second = F.array_contains(F.slice(equal, groups + 1, groups), True)
+    most = F.least("xspare", "yspare") + F.aggregate(F.zip_with("xcells", "ycells", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda acc, v: acc + v)
+    able = most * 100 >= (F.col("xn") + F.col("yn") - most) * percent
+    close = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
+    wanted = (F.col("xid") < F.col("yid")) & (F.col("xlabel") != F.col("ylabel")) & close
+    meet = (F.col("xi") == F.col("yi")) & (F.col("xband") == F.col("yband"))
+    pairs = x.join(y, meet & F.when(wanted, F.when(first & second, able).otherwise(False)).otherwise(False))
     pairs = pairs.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
     got = _compared(space, pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, "compared_rest")
-    edges = tried.unionByName(got).where(linked).select("a", "b")
-    ids = _relabelled(space, members, edges, "final_")
+    ids = _relabelled(space, members, tried.unionByName(got).where(linked).select("a", "b"), "final_")
 
     grouped = classes.join(ids, classes["class"] == ids["id"], "left").select("class", "_id", F.coalesce("label", "class").alias("label"))
     least = grouped.groupBy("label").agg(F.min("_id").alias("c"))
