@@ -50,6 +50,7 @@ class SymbolQueue:
         self.held -= sum(p.nbytes + q.nbytes for p, q in parts)
         places, prefixes = [p for p, _ in parts], [q for _, q in parts]
         if symbol in self.spilled:
+            self.spilled.discard(symbol)
             for kind, into, name in ((np.int32, places, "places"), (np.uint8, prefixes, "prefixes")):
                 at = os.path.join(self.folder, f"{symbol}.{name}")
                 into.insert(0, np.fromfile(at, kind))
@@ -174,33 +175,45 @@ class _Induction:
 
 
 def _equal_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, capped at depth."""
-    padded = np.concatenate([t, np.zeros(depth + 8, t.dtype)]).astype(np.uint16)
-    four = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 4, 8), (2, 1), writeable=False)
+    """Common prefixes of pairs of suffixes, capped at depth; four symbols of 16 bits are compared at once."""
+    padded = np.concatenate([t, np.zeros(depth + 8, t.dtype)]).astype("<u2")
+    four = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
     out, live, done = np.zeros(len(a), np.int64), np.arange(len(a)), 0
     while len(live) and done < depth:
-        x, y = four[a[live] + done], four[b[live] + done]
-        same = (x == y).reshape(len(live), 4, 2).all(2)
-        k = np.where(same.all(1), 4, same.argmin(1))
+        differ = four[a[live] + done] ^ four[b[live] + done]
+        low = differ & (~differ + np.uint64(1))
+        k = np.where(differ == 0, 4, (np.frexp(low.astype(np.float64))[1] - 1) // 16)
         out[live] += k
         live, done = live[k == 4], done + 4
     return np.minimum(out, depth)
 
 
 def _ranks(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, as far as `depth` names tell: by doubling the names that a rank stands for."""
-    rank, span, n = names.astype(np.int64), 1, len(names)
-    top = int(rank.max(initial=0)) + 1
-    while span < depth and top < n:
-        after = np.zeros(n, np.int64)
-        if span < n:
-            after[: n - span] = rank[span:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])] if n else key
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        top, span = int(new[-1]) + 1, span * 2
+    """Order of the suffixes of a string of names, as far as `depth` names tell: by doubling the names that a rank stands for, over
+    the suffixes that still share a rank. A rank is the place of its group's first suffix."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n, np.int64)
+    key, span = names[order], 1
+    live = order
+    base = np.zeros(n, np.int64)  # the place that each live suffix's group begins at
+    while len(live):
+        new = np.r_[True, (key[1:] != key[:-1]) | (base[1:] != base[:-1])]
+        at = np.flatnonzero(new)
+        size = np.diff(np.r_[at, len(live)])
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(np.r_[True, base[1:] != base[:-1]])
+        offset = at - first[np.searchsorted(first, at, side="right") - 1]
+        rank[live] = (base[at] + offset)[group]
+        keep = (size > 1)[group]
+        live = live[keep]
+        if span >= depth or not len(live):
+            break
+        after = live + span
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        base = rank[live]
+        turn = np.argsort(base * (n + 2) + key, kind="stable")
+        live, key, base, span = live[turn], key[turn], base[turn], span * 2
     return np.argsort(rank, kind="stable")
 
 
