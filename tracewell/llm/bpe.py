@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from tracewell.llm.common import map_texts
 
-#: Entries of a worker's memo of pieces and of its memo of token pairs; the memos are emptied when full.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 500_000
+#: Entries of a generation of a worker's memo of pieces (there are two), and of its memo of token pairs.
+MEMO_PIECES, MEMO_PAIRS = 160_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +49,7 @@ class Codec:
         self.joined: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self._derive()
 
     def _derive(self) -> None:
@@ -148,9 +149,12 @@ class Codec:
         for piece in self.find(text):
             ids = memo.get(piece)
             if ids is None:
-                if len(memo) >= MEMO_PIECES:
-                    memo.clear()
-                ids = ",".join(map(str, self.encode_piece(piece.encode())))
+                if len(memo) >= MEMO_PIECES:  # pieces that stay in use move on from the older generation
+                    self.older, self.pieces = memo, {}
+                    memo = self.pieces
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = ",".join(map(str, self.encode_piece(piece.encode())))
                 if len(piece) <= 64:
                     memo[piece] = ids
             out.append(ids)
