@@ -256,14 +256,13 @@ def _repeats(texts, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("mapped", [0, 1 << 20])
-def test_repeated_passages(spark, mapped):
+def test_repeated_passages(spark):
     rng = random.Random(7)
     noise = lambda n: "".join(rng.choice("abcdefgé \n") for _ in range(n))
     shared = noise(420)
     texts = [(i, noise(150) + (shared[rng.randint(0, 150) :] if i % 2 else "") + noise(100)) for i in range(12)]
     texts += [(20, texts[0][1]), (21, "q" * 900), (22, "q" * 199), (23, None), (24, ""), (25, shared[:199]), (25, shared[:199]), (None, "xy" * 300)]
-    got = passages.remove_repeats(_docs(spark, texts), mapped_anchors=mapped).collect()
+    got = passages.remove_repeats(_docs(spark, texts)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == _repeats(texts, 200)
 
 

@@ -16,15 +16,11 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +29,6 @@ from tracewell.llm.common import Workspace
 
 #: Grams that an anchor is chosen from (a power of two), most starts in a snippet, bytes of snippets in a shard.
 WINDOW, PIECE, SHARD_BYTES = 128, 256, 3_000_000
-#: Repeated anchors that executors map as one file; above that they are joined to the texts.
-MAPPED_ANCHORS = 64_000_000
 
 _B = 0x9E3779B97F4A7C15
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -94,12 +88,6 @@ def _mark(mapped: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (mapped[at] == own)[np.cumsum(new) - 1]
 
 
-@lru_cache(maxsize=1)
-def _mapped(name: str) -> np.ndarray:
-    path = SparkFiles.get(name)
-    return np.memmap(path, "<u8", "r") if os.path.getsize(path) else np.zeros(0, "<u8")
-
-
 def _snippets(raw: bytes, size: int, known: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     """(anchor, start, number of starts, bytes) of the runs of starts whose anchor is in `known`."""
     least, _ = anchors(raw, size)
@@ -138,8 +126,7 @@ def _shard_repeats(blobs: list[bytes], counts: list[int], size: int) -> list[lis
 
 
 def remove_repeats(
-    df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 200, mapped_anchors: int = MAPPED_ANCHORS,
-    with_kept: bool = False,
+    df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 200, with_kept: bool = False,
 ) -> DataFrame:
     """For each row: key, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; with_kept adds the kept bytes of the
     texts that lose some but not all."""
@@ -178,8 +165,7 @@ def remove_repeats(
         F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")
     ).where("lo != hi").select("h")
     repeated = space.save("anchors", repeated)
-    cut = _cut_mapped if repeated.count() <= mapped_anchors else _cut_joined
-    cuts = space.save("cuts", cut(space, base, repeated, size))
+    cuts = space.save("cuts", _cut(base, repeated, size))
 
     parts = cuts.where("bytes is not null")
     snippets = parts.groupBy("sid").agg(
@@ -265,41 +251,24 @@ def _batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], [x.split()[0] for x in _CUTS.split(", ")])
 
 
-def _cut_mapped(space: Workspace, base: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
-    """With all repeated anchors in one sorted file that the workers map; it has at most MAPPED_ANCHORS of 8 bytes."""
-    name = f"anchors-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    got = repeated.toArrow().column("h").to_numpy().view(np.uint64)
-    np.sort(got).astype("<u8").tofile(path)
-    base.sparkSession.sparkContext.addFile(path)
-
-    def run(batches):
-        mapped = _mapped(name)
-        for batch in batches:
-            yield from _batches(_cut_rows(batch.column(0).to_pylist(), lambda k: mapped, size))
-
-    return base.select("_text").mapInArrow(run, _CUTS)
-
-
-def _cut_joined(space: Workspace, base: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
-    """With each text's repeated anchors joined to it by shuffles."""
+def _cut(base: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """Snippets of the texts, each joined with its own repeated anchors; neither anchors nor texts pass through the driver."""
+    named = base.select("_text", F.xxhash64("_text").alias("name"))
 
     def listed(batches):
         for batch in batches:
             names, hashes = [], []
-            for t in batch.column(0).to_pylist():
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = t.encode()
-                if len(raw) < size:
-                    continue
-                own = np.unique(anchors(raw, size)[1][0])
-                names += [hashlib.sha256(raw).hexdigest()] * len(own)
-                hashes.append(own)
+                if len(raw) >= size:
+                    hashes.append(np.unique(anchors(raw, size)[1][0]))
+                    names.append(np.full(len(hashes[-1]), name, np.int64))
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(hashes).view(np.int64))], ["sha", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(hashes).view(np.int64))], ["name", "h"])
 
-    own = base.select("_text").mapInArrow(listed, "sha string, h long").distinct().join(repeated, "h")
-    own = own.groupBy("sha").agg(F.collect_list("h").alias("hs"))
-    rows = base.select("_text", F.sha2("_text", 256).alias("sha")).dropDuplicates(["sha"]).join(own, "sha").select("_text", "hs")
+    own = named.mapInArrow(listed, "name long, h long").join(repeated, "h", "left_semi")
+    own = own.groupBy("name").agg(F.collect_set("h").alias("hs"))
+    rows = named.join(own, "name").select("_text", "hs")
 
     def run(batches):
         for batch in batches:
