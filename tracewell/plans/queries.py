@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import paths, similarity, voting
+from tracewell.operators import alignment, paths, similarity, voting
 from tracewell.sources import reports
 from tracewell.streaming import events as stream_events
 
@@ -399,3 +399,117 @@ def indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.lower(F.element_at(F.split("p_name", " "), -1))
     return _read(spark, sf_dir, "part").select("p_partkey", last.alias("last_word"), last.isin("red", "blue", "green", "steel", "part").alias("hit"))
+
+
+@query("""
+    select doc_id, md5(translate(text, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(8212), chr(39) || chr(39) || chr(34) || chr(34) || '--')) as digest from documents
+""")
+def fix_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.straighten(F.col("text"))).alias("digest"))
+
+
+@query("""
+    select doc_id, md5(regexp_replace(trim(replace(regexp_replace(text, '[\\n\\t\\r]+', ' ', 'g'), '  ', ' ')), '\\[[0-9]{1,5}\\]', '', 'g')) as digest from documents
+""")
+def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_citations(T.flat(F.col("text")))).alias("digest"))
+
+
+#: Labels that nodes made from embeddings carry, by class.
+_NODE_LABELS = ["ACTOR", "USER", "TOOL", "FILE", "OTHER"]
+
+
+@query("""
+    with v as (select vec_id, label, embedding::double[] as e, ['ACTOR', 'USER', 'TOOL', 'FILE', 'OTHER'][label % 5 + 1] as l from embeddings),
+    p as (select a.vec_id as a, b.vec_id as b, a.l as l, greatest(0, round(list_cosine_similarity(a.e, b.e), 6)) as ctx from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
+    s as (select a, b, l, case when l = 'OTHER' then 0.3::double + 0.7::double * ctx else 0.4::double + 0.6::double * ctx end as v from p),
+    r as (select a, b, least(1.0, case when v > 0.8 then v when l = 'ACTOR' and v < 0.95 then 0.95 when l = 'USER' and v > 0.5 and v < 0.8 then v + 0.2 else v end) as s from s)
+    select a, b, round(s, 5)::double as similarity from r where s > 0.55
+""")
+def node_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", -2.0)
+    labels = F.array(F.get(F.array(*map(F.lit, _NODE_LABELS)), F.col("label") % 5))
+    score = alignment.node_similarity(labels, labels, F.greatest(F.lit(0.0), F.col("cosine")), F.lit(False), F.lit(False))
+    return pairs.withColumn("s", score).where("s > 0.55").select("a", "b", F.round("s", 5).alias("similarity"))
+
+
+@query("""
+    with c as (select user_id, event_type, list(event_id order by event_id)[1:3] as c from events group by all),
+    n as (select user_id, list(c order by event_type) as ns, list(len(c) order by event_type) as sizes from c group by user_id),
+    t as (select user_id, ns, sizes, unnest(range(0, cast(least(40, list_product(sizes)) as bigint))) as tuple from n)
+    select user_id, tuple, list_transform(range(1, len(ns) + 1), lambda i: ns[i][cast((tuple // cast(coalesce(list_product(sizes[i + 1:]), 1) as bigint)) % sizes[i] + 1 as bigint)]) as picks from t
+""")
+def candidate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 combinations of three candidates for each of a user's event types."""
+    nodes = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 3).alias("c"))
+    return alignment.candidate_tuples(nodes, "user_id", "event_type", "c", most=40, each=3)
+
+
+@query("""
+    with e as (select l_orderkey, l_linenumber, l_discount * 10 as s, 1 - l_tax as t, 1 + 0.3::double * abs(l_linenumber - 3) as d,
+        case when l_returnflag = 'N' then null when l_returnflag = 'A' then 1.0::double else 0.5::double end as f from lineitem),
+    x as (select *, sqrt(s * t) / d as e from e)
+    select l_orderkey, l_linenumber, count(*) as n, round(sum(case when f is null then e else least(1.0, case when (f < 1 and e > f) or f >= 1 then sqrt(e * f) else e end) end), 4) as score from x group by all
+""")
+def edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem")
+    factor = F.when(F.col("l_returnflag") == "N", None).when(F.col("l_returnflag") == "A", 1.0).otherwise(0.5)
+    distance = alignment.sentence_distance(F.lit(0), F.lit(0), F.col("l_linenumber"), F.lit(3), F.lit(False))
+    score = alignment.edge_similarity(F.col("l_discount") * 10, 1 - F.col("l_tax"), distance, factor)
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.sum(score), 4).alias("score"))
+
+
+@query("""
+    with recursive e as (select n_nationkey as a, (n_nationkey + 1) % 25 as b from nation union select n_nationkey, (n_nationkey * 2) % 25 from nation),
+    u as (select a, b from e where a <> b union select b, a from e where a <> b),
+    w(a, b, h) as (select n_nationkey, n_nationkey, 0 from nation union select w.a, u.b, h + 1 from w join u on w.b = u.a where h < 3)
+    select a, b, cast(min(h) as integer) as hops from w group by all
+""")
+def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances up to three hops in a ring of nations with chords."""
+    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("a"))
+    ring = n.select("a", ((F.col("a") + 1) % 25).alias("b")).union(n.select("a", ((F.col("a") * 2) % 25).alias("b")))
+    return alignment.hops(ring, n, 3)
+
+
+@query("""
+    with d as (select doc_id, lang, n_chars, md5(text) as h from documents)
+    select lang, n_chars, h as digest, count(*) as n, min(doc_id) as keeps from d group by all having count(*) > 1
+""")
+def dedup_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal documents absorbed by the first of their block, counted with partial sums and without pairs."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.md5("text").alias("digest"))
+    return rows.groupBy("lang", "n_chars", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeps")).where("n > 1")
+
+
+@query("""
+    with v as (select vec_id, label, embedding::double[] as e from embeddings),
+    p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as c from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
+    k as (select * from p where c > 0.3), s as (select a as id, b as near, c from k union all select b, a, c from k),
+    x as (select id, 1.0::double as v from (select distinct id from s) union all select near, 0.9::double * c from s)
+    select id, count(*) as n, round(max(v), 5) as best from x group by id
+""")
+def similar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each matched id with its neighbours' scores: 1 for itself, 0.9 times the cosine from a neighbour."""
+    near = phrase_cosine(spark, sf_dir)
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("near"), "cosine"))
+    s = near.select(F.explode(ends).alias("p")).select("p.*")
+    own = s.select("id").distinct().withColumn("v", F.lit(1.0))
+    return own.union(s.select("near", 0.9 * F.col("cosine"))).groupBy("id").agg(F.count("*").alias("n"), F.round(F.max("v"), 5).alias("best"))
+
+
+@query("""
+    with r as (select user_id, count(*) filter (where value >= 50) as tp, count(*) filter (where value < 10) as fp, count(*) filter (where value >= 10 and value < 50) as fn from events group by all),
+    m as (select *, case when tp = 0 then 0::double else round(tp / (tp + fp), 3) end as precision, case when tp = 0 then 0::double else round(tp / (tp + fn), 3) end as recall from r)
+    select user_id, tp, fp, fn, precision, recall, case when precision + recall = 0 then 0::double else round(2 * precision * recall / (precision + recall), 3) end as f1 from m
+""")
+def report_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 (from the rounded two) of each report."""
+    value = F.col("value")
+    r = _read(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(value >= 50).alias("tp"), F.count_if(value < 10).alias("fp"), F.count_if((value >= 10) & (value < 50)).alias("fn")
+    )
+    share = lambda other: F.when(F.col("tp") == 0, 0.0).otherwise(F.round(F.col("tp") / (F.col("tp") + F.col(other)), 3))
+    m = r.withColumns({"precision": share("fp"), "recall": share("fn")})
+    both = F.col("precision") + F.col("recall")
+    return m.withColumn("f1", F.when(both == 0, 0.0).otherwise(F.round(2 * F.col("precision") * F.col("recall") / both, 3)))
