@@ -56,6 +56,11 @@ def has_word(text: Column, word: str) -> Column:
     return F.lower(text).rlike(f"(^|[^a-z0-9]){word}([^a-z0-9]|$)")
 
 
+def words_in(text: Column, words: Iterable[str]) -> Column:
+    """Those of a list of lower-case ASCII words that stand alone in a text, in any case; the text is split once for all of them."""
+    return F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, dict.fromkeys(words))))
+
+
 def is_header(line: Column) -> Column:
     """A numbered heading, or a line whose letters are all upper-case ASCII."""
     return line.rlike(r"^[0-9]+(\.[0-9]+)* [A-Z]") | (line.rlike("[A-Z]") & ~line.rlike("[^A-Z0-9 !?.,]"))

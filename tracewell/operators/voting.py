@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import has_word
+from tracewell.functions.text import words_in
 
 
 def word_votes(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """(key, label, votes): the weights of a lexicon's terms (label, term, weight) that stand in a text. The lexicon is a small
-    dimension table, collected into one pattern test for each term, so texts are read once and nothing but hits is shuffled."""
-    terms = lexicon.select("label", "term", "weight").collect()
-    hits = F.array(*(
-        F.when(has_word(F.col(text), r["term"]), F.struct(F.lit(r["label"]).alias("label"), F.lit(r["weight"]).alias("w"))) for r in terms
-    ))
-    found = texts.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    dimension table of single words, held as a literal map, so texts are split once and nothing but hits is shuffled."""
+    by_term: dict[str, list] = {}
+    for r in lexicon.select("label", "term", "weight").collect():
+        by_term.setdefault(r["term"], []).append(F.struct(F.lit(r["label"]).alias("label"), F.lit(r["weight"]).alias("w")))
+    said = F.create_map(*(x for term, votes in by_term.items() for x in (F.lit(term), F.array(*votes))))
+    votes = F.flatten(F.transform(words_in(F.col(text), by_term), lambda t: said[t]))
+    found = texts.select(key, F.explode(votes).alias("h"))
     return found.groupBy(key, F.col("h.label").alias("label")).agg(F.sum("h.w").cast("long").alias("votes"))
 
 

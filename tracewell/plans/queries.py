@@ -58,8 +58,9 @@ def technique_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document, the first that names each technique, and the techniques in that order."""
     docs = _read(spark, sf_dir, "documents")
     sentences = docs.select("doc_id", F.posexplode(F.split("text", r"[.\n]", -1)).alias("sentence", "s")).where("trim(s) <> ''")
-    hits = F.array(*(F.when(T.has_word(F.col("s"), term), F.lit(tech)) for tech, term in TECHNIQUES))
-    found = sentences.select("doc_id", "sentence", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("tech"))
+    tech = F.create_map(*(F.lit(x) for t, term in TECHNIQUES for x in (term, t)))
+    found = sentences.select("doc_id", "sentence", F.explode(T.words_in(F.col("s"), [x for _, x in TECHNIQUES])).alias("term"))
+    found = found.select("doc_id", "sentence", tech[F.col("term")].alias("tech"))
     first = found.groupBy("doc_id", "tech").agg(F.min("sentence").alias("at"))
     steps = first.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "tech"))).alias("p"))
     return steps.select("doc_id", F.array_join(F.col("p.tech"), ">").alias("path"), F.size("p").cast("long").alias("n_steps"))
