@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package where neither their path nor their folder holds it; once for each Spark context."""
+    root = Path(__file__).resolve().parents[2]
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    app = spark.sparkContext.applicationId
+    if app in _shipped or Path.cwd() == root or any(p and Path(p).resolve() == root for p in paths):
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="tracewell-")
+    atexit.register(shutil.rmtree, folder, True)
+    at = os.path.join(folder, "tracewell.zip")
+    with zipfile.ZipFile(at, "w") as out:
+        for f in sorted((root / "tracewell").rglob("*.py")):
+            out.write(f, str(f.relative_to(root)))
+    spark.sparkContext.addPyFile(at)
+
+
+_shipped: set[str] = set()
+
+
 class Workspace:
     """Tables of one operator run, written to the shared folder so that lineage is cut and lost executors cost nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tracewell-{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -67,6 +91,7 @@ def map_texts(
 ) -> DataFrame:
     """Appends the columns of results to df. make() runs once in a worker and gives a function from a list of texts
     (None: null) to one sequence for each new column."""
+    ship(df.sparkSession)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in results])
     at = df.columns.index(text)
     kinds = [_arrow(t) for _, t in results]

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import ship
+
 #: Most children of a node, and most points of a leaf.
 FAN, LEAF = 16, 64
 #: Vectors in a block of queries and in a block of candidates.
@@ -155,6 +157,7 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, the candidate's key and score (inner product of floor(scale * component)) of each row that is_query holds for,
     against all rows but its own."""
+    ship(df.sparkSession)
     doubles = F.col(vector).cast("array<double>")
     rows = df.where(F.col(key).isNotNull() & _finite(doubles)).select(
         F.col(key).cast("long").alias("id"), F.transform(doubles, lambda v: F.floor(v * F.lit(scale))).alias("v"),
