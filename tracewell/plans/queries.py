@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import alignment, paths, similarity, voting
+from tracewell.operators import alignment, extraction, graphs, paths, similarity, voting
 from tracewell.sources import reports
 from tracewell.streaming import events as stream_events
 
@@ -514,3 +514,82 @@ def report_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = r.withColumns({"precision": share("fp"), "recall": share("fn")})
     both = F.col("precision") + F.col("recall")
     return m.withColumn("f1", F.when(both == 0, 0.0).otherwise(F.round(2 * F.col("precision") * F.col("recall") / both, 3)))
+
+
+_ROLES = """
+    r as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as place from events),
+    s as (select user_id, place // 3 as sentence, list(event_type order by place) as w, list(value order by place)[2] as v from r group by all having count(*) = 3)
+"""
+
+
+def _parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of three of a user's events (subject, verb, object); the verb is passive if its value is 50 or more."""
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    r = _read(spark, sf_dir, "events").withColumn("at", at).withColumn("sentence", F.floor(F.col("at") / 3))
+    passive = F.max(F.when(F.col("at") % 3 == 1, F.col("value") >= 50)).over(Window.partitionBy("user_id", "sentence"))
+    size = F.count("*").over(Window.partitionBy("user_id", "sentence"))
+    r = r.withColumns({"passive": passive, "n": size}).where("n = 3")
+    place = F.col("at") % 3
+    word = lambda i, text, pos, dep, head: F.struct(F.lit(i).alias("i"), text.alias("text"), F.lit(pos).alias("pos"), dep.alias("dep"), F.lit(head).alias("head"))
+    t = F.col("event_type")
+    words = (
+        F.when(place == 0, F.array(word(0, t, "NOUN", F.when(F.col("passive"), "nsubjpass").otherwise("nsubj"), 2)))
+        .when(place == 1, F.array(word(1, F.lit("be"), "AUX", F.when(F.col("passive"), "auxpass").otherwise("aux"), 2), word(2, t, "VERB", F.lit("ROOT"), 2)))
+        .otherwise(F.array(word(3, F.when(F.col("passive"), "by").otherwise(""), "ADP", F.when(F.col("passive"), "agent").otherwise("punct"), 2), word(4, t, "NOUN", F.when(F.col("passive"), "pobj").otherwise("dobj"), 2)))
+    )
+    tokens = r.select("user_id", "sentence", F.explode(words).alias("t")).select("user_id", "sentence", "t.*").withColumn("lemma", F.col("text"))
+    tokens = tokens.withColumn("head", F.when(F.col("dep") == "pobj", 3).otherwise(F.col("head")))
+    return extraction.sentences(tokens, "user_id", "sentence")
+
+
+@query(f"""
+    with {_ROLES}
+    select user_id, sentence, case when v >= 50 then w[3] else w[1] end as sub, w[2] as verb, case when v >= 50 then w[1] else w[3] end as obj,
+        cast(case when v >= 50 then 5 else 1 end as integer) as sub_id, cast(case when v >= 50 then 1 else 5 end as integer) as obj_id, case when v >= 50 then 'passive' else 'active' end as rule from s
+""")
+def event_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who does what to whom, active and passive, over parsed sentences."""
+    found = extraction.events(_parsed_events(spark, sf_dir), "user_id", "sentence").where("verb <> 'be'")
+    return found.select("user_id", "sentence", "sub", "verb", "obj", "sub_id", "obj_id", "rule")
+
+
+@query(f"""
+    with {_ROLES},
+    e as (select user_id, sentence, w[2] as verb, case when v >= 50 then w[1] else w[3] end as obj, sentence * 1000 + case when v >= 50 then 1 else 5 end as id from s),
+    n as (select user_id, id as node_id, obj as text, verb from e union all
+        select user_id, sentence * 1000 + case when v >= 50 then 5 else 1 end, case when v >= 50 then w[3] else w[1] end, null from s)
+    select user_id, count(*) as n_nodes, count(verb) as n_objects, cast(sum(node_id) as bigint) as ids, min(text) as least from n group by user_id
+""")
+def report_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each user's event graph."""
+    found = extraction.events(_parsed_events(spark, sf_dir), "user_id", "sentence").where("verb <> 'be'").withColumns({"sub_label": F.array("sub"), "obj_label": F.array("obj")})
+    n = graphs.graph_nodes(found, "user_id", "sentence")
+    return n.groupBy("user_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.size("verbs") > 0).alias("n_objects"), F.sum("node_id").cast("bigint").alias("ids"), F.min("text").alias("least"))
+
+
+@query("""
+    with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as place from events),
+    g as (select *, place - row_number() over (partition by user_id, event_type order by place) as island from r),
+    m as (select *, min(event_id) over (partition by user_id, event_type, island) as main, count(*) over (partition by user_id, event_type, island) as n from g)
+    select user_id, event_id as node, main from m where n > 1
+""")
+def contract_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring events of one type are one node, named by the smallest."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    after = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.lead("event_id").over(w).alias("next"), F.lead("event_type").over(w).alias("same"))
+    return graphs.components(after.where("event_type = same"), "user_id", "event_id", "next")
+
+
+@query("""
+    with n as (select user_id, event_id, event_type, count(*) over (partition by user_id) as n from events),
+    m as (select *, first_value(event_id) over (partition by user_id order by value_rank, event_id) as main from (select *, case when event_type = 'click' then 1 else 0 end as value_rank from n where event_type in ('view', 'click') and n > 3)),
+    k as (select n.user_id, coalesce(m.main, n.event_id) as node_id, n.event_id from n left join m using (user_id, event_id))
+    select user_id, node_id, count(*) as n, min(event_id) as least from k group by all
+""")
+def contract_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks are actors (clicks as pronouns): all go into the first view."""
+    t = F.col("event_type")
+    labels = F.when(t.isin("view", "click"), F.array(F.lit("ACTOR"))).otherwise(F.array(t))
+    nodes = _read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("node_id"), F.when(t == "click", "it").otherwise(t).alias("text"), labels.alias("labels"), F.array(t).alias("verbs"))
+    merged = graphs.merge_nodes(nodes, graphs.actor_merges(nodes, "user_id"), "user_id")
+    return merged.select("user_id", "node_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("least"))
