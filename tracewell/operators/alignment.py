@@ -93,3 +93,80 @@ def hops(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
         step = reach.where(F.col("hops") == k - 1).select("a", F.col("b").alias("m")).join(both.withColumnsRenamed({"a": "m"}), "m")
         reach = reach.union(step.select("a", "b", F.lit(k).alias("hops"))).groupBy("a", "b").agg(F.min("hops").alias("hops"))
     return reach
+
+
+def align(
+    procedure_nodes: DataFrame, procedure_edges: DataFrame, candidates: DataFrame, distances: DataFrame, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES
+) -> DataFrame:
+    """Scores every procedure graph that has a candidate in a report and picks its best combination.
+
+    procedure_nodes (proc, node, labels), procedure_edges (proc, source, target, factor; factor null: no verbs), candidates (report, proc, node, at, sentence,
+    similarity; `at` is the report node's order id), distances (report, a, b, distance; missing pairs are 100 apart, 1 if a = b).
+    Returns (report, proc, score, ats, sentences, location, n_good): ats and sentences of the matched nodes that are not only ACTOR or OTHER, in the
+    order of the procedure's nodes, location their greatest at.
+
+    Scores of edges are computed once a pair of candidates by joins, so a combination is a sum of array items; combinations are numbers in
+    one row, never rows. `most` and `each` are limits of the search itself, so rows of a pair stay small whatever the corpus."""
+    key = ["report", "proc"]
+    rank = F.struct((-F.col("similarity")).alias("s"), "at", "sentence", "similarity")
+    every = candidates.groupBy(*key, "node").agg(F.array_sort(F.collect_list(rank)).alias("c"))
+    cut = F.when(F.size("c") > each, F.slice("c", 1, each)).otherwise(F.array_sort("c", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)))
+    lists = every.select(*key, "node", cut.alias("c"))
+    found = lists.select(*key).distinct()
+    plain = lambda name: (F.size("labels") == 1) & (F.get("labels", F.lit(0)) == name)
+    kinds = procedure_nodes.select("proc", "node", (plain("ACTOR") | plain("OTHER")).alias("plain"), plain("ACTOR").alias("actor"), "labels")
+    nodes = found.join(kinds, "proc").join(lists, [*key, "node"], "left")
+    packed = nodes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("node", "plain", "actor", "c"))).alias("ns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+
+    side = lambda end: lists.join(kinds.select("proc", "node", "actor"), ["proc", "node"]).select(
+        *key, F.col("node").alias(end), F.col("actor").alias(f"{end}_actor"), F.posexplode("c").alias(f"{end}_no", f"{end}_c")
+    )
+    pairs = found.join(procedure_edges.select("proc", "source", "target", "factor"), "proc").join(side("source"), [*key, "source"]).join(side("target"), [*key, "target"])
+    pairs = pairs.withColumns({"a": F.col("source_c.at"), "b": F.col("target_c.at")}).join(distances, ["report", "a", "b"], "left")
+    far = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("distance", F.lit(100.0)))
+    distance = F.when(F.col("source_actor") | F.col("target_actor"), F.least(F.lit(1.0), far)).otherwise(far)
+    scored = pairs.withColumn("e", edge_similarity(F.col("source_c.similarity"), F.col("target_c.similarity"), distance, F.col("factor")))
+    cells = scored.groupBy(*key, "source", "target").agg(F.array_sort(F.collect_list(F.struct("source_no", "target_no", "e"))).alias("cells"))
+    places = procedure_nodes.select("proc", "node").distinct()
+    held = procedure_edges.select("proc", "source", "target").join(places.withColumnRenamed("node", "source"), ["proc", "source"], "left_semi")
+    held = held.join(places.withColumnRenamed("node", "target"), ["proc", "target"], "left_semi")
+    edges = found.join(held, "proc").join(cells, [*key, "source", "target"], "left").groupBy(*key).agg(F.collect_list(F.struct("source", "target", "cells")).alias("es"))
+    rows = packed.join(edges, key, "left").withColumn("es", F.coalesce("es", F.filter(F.col("es"), lambda _: F.lit(False)), F.array().cast(edges.schema["es"].dataType)))
+
+    sizes = F.transform("ns", lambda x: F.greatest(F.coalesce(F.size(x["c"]), F.lit(0)), F.lit(1)).cast("long"))
+    stride = lambda i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1).cast("long"), lambda a, s: F.least(a * s, F.lit(most).cast("long")))
+    rows = rows.withColumn("sizes", sizes).withColumn("strides", F.transform("sizes", lambda _, i: stride(i)))
+    rows = rows.withColumn("total", F.aggregate("sizes", F.lit(1).cast("long"), lambda a, s: F.least(a * s, F.lit(most).cast("long"))))
+    place = lambda n: F.array_position(F.transform("ns", lambda x: x["node"]), n).cast("int") - 1
+    rows = rows.withColumn("es", F.transform("es", lambda x: F.struct(place(x["source"]).alias("s"), place(x["target"]).alias("t"), x["cells"].alias("cells"))))
+
+    choice = lambda t, i: F.pmod(F.floor(t / F.get("strides", i)), F.get("sizes", i)).cast("int")
+    matched = F.filter("ns", lambda x: x["c"].isNotNull())
+    n_plain = F.size(F.filter(matched, lambda x: x["plain"]))
+    complete = F.size(matched) == F.size("ns")
+
+    def one(t: Column) -> Column:
+        picks = F.transform("ns", lambda x, i: F.struct(x["plain"].alias("plain"), x["actor"].alias("actor"), F.get(x["c"], choice(t, i)).alias("c")))
+        good = F.filter(picks, lambda x: x["c"].isNotNull() & ~x["plain"])
+        of_nodes = F.aggregate(good, F.lit(0.0), lambda a, x: a + x["c"]["similarity"]) / F.greatest(F.size("ns") - n_plain, F.lit(1))
+        cell = lambda e: F.get(e["cells"], choice(t, e["s"]) * F.get("sizes", e["t"]).cast("int") + choice(t, e["t"]))["e"]
+        of_edges = F.when(F.size("es") == 0, 0.0).otherwise(F.aggregate("es", F.lit(0.0), lambda a, e: a + F.coalesce(cell(e), F.lit(0.0))) / F.size("es"))
+        score = F.least(F.lit(1.0), (of_nodes + of_edges) / 2)
+        said = F.transform(F.filter(picks, lambda x: x["c"].isNotNull() & ~x["actor"]), lambda x: x["c"]["sentence"].cast("double"))
+        return F.struct(score.alias("score"), spanning_score(score, said, complete).alias("span"), (-t).alias("before"), t.alias("t"))
+
+    rows = rows.withColumn("all", F.transform(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), one)).withColumn("top", F.array_max(F.transform("all", lambda x: x["score"])))
+    rivals = F.filter("all", lambda x: (x["score"] == F.col("top")) | (x["score"] > 0.95))
+    first = F.array_max(F.transform(rivals, lambda x: F.struct(x["span"], x["score"], x["before"], x["t"])))
+    last = F.array_max(F.transform("all", lambda x: F.struct(x["score"], x["t"])))
+    rows = rows.withColumn("t", F.when(F.col("top") > LEAST, first["t"]).otherwise(last["t"])).withColumn("score", F.get("all", F.col("t").cast("int"))["score"])
+    picks = F.filter(F.transform("ns", lambda x, i: F.struct(x["plain"].alias("plain"), F.get(x["c"], choice(F.col("t"), i)).alias("c"))), lambda x: x["c"].isNotNull() & ~x["plain"])
+    out = rows.withColumn("picks", picks)
+    ats = F.transform("picks", lambda x: x["c"]["at"])
+    return out.select(*key, "score", ats.alias("ats"), F.transform("picks", lambda x: x["c"]["sentence"]).alias("sentences"), F.array_max(ats).alias("location"), F.size("picks").alias("n_good"), "labels")
+
+
+def accepted(aligned: DataFrame, least: float = LEAST) -> DataFrame:
+    """Alignments over the least score, but for those with fewer than two good nodes whose procedures hold only actors and users."""
+    actors = (F.size("labels") == 2) & (F.size(F.array_except("labels", F.array(F.lit("ACTOR"), F.lit("USER")))) == 0)
+    return aligned.where((F.col("score") > least) & ~((F.col("n_good") < 2) & actors)).drop("labels")
