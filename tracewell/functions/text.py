@@ -94,3 +94,56 @@ def indel_ratio(a: Column, b: Column) -> Column:
     lcs = F.element_at(F.aggregate(chars(a), first, row), -1)
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs / total)
+
+
+def restore(text: Column, replaced: Column) -> Column:
+    """A text with its placeholders (a map from placeholder to text) put back, longest first so that none matches inside another."""
+    longest = F.array_sort(F.map_entries(replaced), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
+    return F.aggregate(longest, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
+def phrase_rank(phrase: Column, vague: Iterable[str]) -> Column:
+    """4 for vague words, 1 for phrases with a capital letter, else 2."""
+    return F.when(F.lower(phrase).isin(list(vague)), 4).when(phrase.rlike("[A-Z]"), 1).otherwise(2)
+
+
+def unescaped(text: Column) -> Column:
+    """Written-out line ends and tabs as such, words broken at a line end joined, runs of line ends as one, trimmed."""
+    out = text
+    for mark, by in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("- ", "")):
+        out = F.replace(out, F.lit(mark), F.lit(by))
+    return F.trim(F.regexp_replace(out, "\n+", "\n"))
+
+
+def good_line(line: Column) -> Column:
+    """Whether a line is prose: it ends in a colon, or is long, mostly letters, with few capitalised and few one-letter words."""
+    q = quality(line)
+    prose = (F.length(line) > 64) & (2 * q["n_capitalised"] < q["n_words"]) & (2 * q["n_letters"] >= F.length(line))
+    return line.endswith(":") | (prose & (2 * q["n_single"] < q["n_words"]))
+
+
+def glued(lines: Column, small: int = 256) -> Column:
+    """An array of lines as blocks, by one fold: a bullet joins the block before it, so does what follows a block without a final stop, and blocks
+    under `small` characters."""
+
+    def step(blocks: Column, line: Column) -> Column:
+        last = F.get(blocks, F.size(blocks) - 1)
+        joins = line.rlike("^[-*\u2022]") | ~last.rlike("[.!?:]$") | (F.length(line) < small)
+        joined = F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, line)))
+        return F.when((F.size(blocks) > 0) & joins, joined).otherwise(F.concat(blocks, F.array(line)))
+
+    return F.aggregate(F.filter(lines, lambda x: F.trim(x) != ""), F.array().cast("array<string>"), step)
+
+
+def placeholder_label(phrase: Column, label: Column) -> Column:
+    """The label that a placeholder word in a phrase names (<LABEL>n), else the given one."""
+    named = F.regexp_extract(phrase, r"(?:^| )([A-Z]+)[0-9]+(?: |$)", 1)
+    return F.when((named != "") & (named != "ENTITY"), named).otherwise(label)
+
+
+def guarded_data_label(phrase: Column, label: Column) -> Column:
+    """DATA does not hold for phrases that end in a file, attachment, document or item, nor DIRECTORY for registry hives and executables."""
+    low = F.lower(phrase)
+    no_data = (label == "DATA") & low.rlike("(file|attachment|document|item)s?$")
+    no_directory = (label == "DIRECTORY") & (low.rlike(r"^hk(lm|cu|cr|u|cc|ey_)") | low.endswith(".exe"))
+    return F.when(no_data | no_directory, "OTHER").otherwise(label)

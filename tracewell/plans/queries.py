@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import alignment, extraction, graphs, paths, similarity, voting
+from tracewell.operators import absorbing, alignment, extraction, graphs, paths, similarity, voting
 from tracewell.sources import reports
 from tracewell.streaming import events as stream_events
 
@@ -593,3 +593,110 @@ def contract_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("node_id"), F.when(t == "click", "it").otherwise(t).alias("text"), labels.alias("labels"), F.array(t).alias("verbs"))
     merged = graphs.merge_nodes(nodes, graphs.actor_merges(nodes, "user_id"), "user_id")
     return merged.select("user_id", "node_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("least"))
+
+
+@query(None)
+def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors absorbed by earlier ones of their block with a cosine over 0.25."""
+    return absorbing.absorb(similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.25))
+
+
+#: A small knowledge base of procedure graphs: (procedure, nodes, edges with verb factors).
+PROCEDURES = [
+    ("P1", ["view", "click"], [(0, 1, 1.0)]), ("P2", ["click", "purchase"], [(0, 1, None)]), ("P3", ["view", "click", "purchase"], [(0, 1, 0.8), (1, 2, 1.0)]),
+    ("P4", ["signup", "error"], [(0, 1, 0.3)]),
+]
+
+
+@query(None)
+def graph_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small procedure graphs aligned with every user's events: same types with a value of 60 or more are candidates, neighbours are a hop
+    apart and others as far as their order says."""
+    nodes = spark.createDataFrame([(p, i, [n]) for p, ns, _ in PROCEDURES for i, n in enumerate(ns)], "proc string, node int, labels array<string>")
+    edges = spark.createDataFrame([(p, *e) for p, _, es in PROCEDURES for e in es], "proc string, source int, target int, factor double")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    r = _read(spark, sf_dir, "events").select(F.col("user_id").alias("report"), at.alias("at"), "event_type", (0.8 + F.col("value") / 500).alias("similarity"), "value")
+    hits = r.where("value >= 60").withColumn("sentence", F.floor(F.col("at") / 4).cast("int"))
+    candidates = hits.join(F.broadcast(nodes.select("proc", "node", F.col("labels")[0].alias("event_type"))), "event_type").select(
+        "report", "proc", "node", "at", "sentence", F.least(F.lit(1.0), "similarity").alias("similarity")
+    )
+    near = F.explode(F.array(*(F.lit(k) for k in (-3, -2, -1, 1, 2, 3)))).alias("k")
+    distances = r.select("report", F.col("at").alias("a"), near).select("report", "a", (F.col("a") + F.col("k")).alias("b"), F.abs("k").cast("double").alias("distance"))
+    found = alignment.accepted(alignment.align(nodes, edges, candidates, distances), 0.5)
+    return found.withColumn("score", F.round("score", 6))
+
+
+_SWEEP = [0.2, 0.4, 0.6, 0.8]
+
+
+@query(f"""
+    with a as (select user_id, event_type, value / 100 as v, row_number() over (partition by user_id order by ts, event_id) as place from events),
+    t as (select unnest({_SWEEP})::double as threshold),
+    f as (select user_id, threshold, event_type, min(place) as first from a join t on v >= threshold group by all)
+    select user_id, threshold, count(*) as n, string_agg(event_type, ' ' order by first) as path from f group by all
+""")
+def decode_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of first occurrences at each threshold."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    a = _read(spark, sf_dir, "events").select("user_id", "event_type", (F.col("value") / 100).alias("v"), place.alias("place"))
+    first = paths.sweep(a, ["user_id"], "v", _SWEEP).groupBy("user_id", "threshold", "event_type").agg(F.min("place").alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return first.groupBy("user_id", "threshold").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["event_type"]), " ").alias("path"))
+
+
+_ALLOWED = [("view", "click"), ("click", "view"), ("click", "purchase"), ("view", "view"), ("click", "click"), ("purchase", "view"), ("view", "purchase")]
+
+
+@query(f"""
+    with r as (select user_id, event_type as source, lead(event_type) over (partition by user_id, ts::date order by ts, event_id) as target, ts::date as day from events),
+    p(source, target, ok) as (select *, true from (values {_values(_ALLOWED)}))
+    select user_id::varchar || ' ' || day::varchar as report, count(*) as n_steps, bool_and(coalesce(ok, target is null)) as ok from r left join p using (source, target) group by all
+""")
+def allowed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each day of a user follows the listed pairs only."""
+    steps = _read(spark, sf_dir, "events").select(F.concat_ws(" ", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("report"), "event_type", F.struct("ts", "event_id").alias("order"))
+    return paths.allowed(steps, "report", "event_type", "order", spark.createDataFrame(_ALLOWED, "source string, target string"))
+
+
+@query("""
+    with p as (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) as place from events),
+    g as (select user_id, event_type, max(value) as v, stddev_pop(place) as s from p group by all)
+    select user_id, event_type, round(v / greatest(1.0::double, s), 4) as rank from g
+""")
+def relative_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    g = _read(spark, sf_dir, "events").select("user_id", "event_type", "value", place.alias("place")).groupBy("user_id", "event_type").agg(F.max("value").alias("v"), F.collect_list("place").alias("ps"))
+    return g.select("user_id", "event_type", F.round(paths.relative_rank(F.col("v"), F.col("ps")), 4).alias("rank"))
+
+
+@query("""
+    with r as (select user_id, event_type, value, dense_rank() over (partition by user_id order by ts::date) as n from events),
+    g as (select user_id, n, event_type, avg(value) as m from r group by all)
+    select distinct a.user_id, a.event_type as source, b.event_type as target from g a join g b on a.user_id = b.user_id and b.n = a.n + 1 where a.event_type <> b.event_type and abs(a.m - b.m) <= 20
+""")
+def neighbour_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types on one day and on the next day of a user, at most 20 apart in their mean values."""
+    g = _read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.array(F.avg("value")).alias("means"))
+    return paths.neighbour_pairs(g, "user_id", "day", "event_type", "means", 20.0)
+
+
+@query("""
+    with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents),
+    k as (select doc_id, case when lower(w) in ('it', 'this', 'that', 'they') then 4 when regexp_matches(w, '[A-Z]') then 1 else 2 end as rank from w)
+    select doc_id, cast(rank as integer) as rank, count(*) as n from k group by all
+""")
+def phrase_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
+    return w.select("doc_id", T.phrase_rank(F.col("w"), ["it", "this", "that", "they"]).alias("rank")).groupBy("doc_id", "rank").agg(F.count("*").alias("n"))
+
+
+@query("""
+    with l as (select doc_id, lang, unnest(string_split(text, chr(10))) as line from documents),
+    w as (select *, list_filter(string_split(line, ' '), lambda x: x <> '') as ws, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) as letters from l),
+    q as (select doc_id, suffix(line, ':') or (length(line) > 64 and 2 * len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) < len(ws) and 2 * letters >= length(line)
+        and 2 * len(list_filter(ws, lambda x: length(x) = 1)) < len(ws)) as good from w)
+    select doc_id, count(*) as n_lines, count(*) filter (where good) as n_good from q group by doc_id
+""")
+def good_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.good_line(F.col("line"))).alias("n_good"))
