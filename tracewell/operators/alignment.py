@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +78,17 @@ def candidate_tuples(nodes: DataFrame, group: str, node: str, candidates: str, m
     return rows.select(group, "tuple", F.transform("ns", pick).alias("picks"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a column named twice in a lambda would be computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spanning_score(score: Column, sentences: Column, complete: Column) -> Column:
-    """A score over the spread of its sentences; 0 if a node is unmatched."""
-    n = F.size(sentences)
-    mean = F.aggregate(sentences, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(sentences, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.when(~complete, 0.0).when((n == 0) | (spread == 0), score).otherwise(score / spread)
+    """A score over the spread of its sentences (whole numbers); 0 if a node is unmatched. The sums are whole, so equal spreads are equal."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(sentences, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
+                       lambda a: F.when(a["n"] == 0, 0.0).otherwise(F.sqrt(a["n"] * a["q"] - a["s"] * a["s"]) / a["n"]))
+    return F.when(~complete, 0.0).otherwise(bound(sums, lambda spread: F.when(spread == 0, score).otherwise(score / spread)))
 
 
 def hops(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -95,6 +102,11 @@ def hops(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return reach
 
 
+def _computed(df: DataFrame) -> DataFrame:
+    """df with its columns computed once for each row: projections cannot be folded through a generator, so no later lambda repeats them."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def align(
     procedure_nodes: DataFrame, procedure_edges: DataFrame, candidates: DataFrame, distances: DataFrame, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES
 ) -> DataFrame:
@@ -140,22 +152,25 @@ def align(
     place = lambda n: F.array_position(F.transform("ns", lambda x: x["node"]), n).cast("int") - 1
     rows = rows.withColumn("es", F.transform("es", lambda x: F.struct(place(x["source"]).alias("s"), place(x["target"]).alias("t"), x["cells"].alias("cells"))))
 
-    choice = lambda t, i: F.pmod(F.floor(t / F.get("strides", i)), F.get("sizes", i)).cast("int")
     matched = F.filter("ns", lambda x: x["c"].isNotNull())
-    n_plain = F.size(F.filter(matched, lambda x: x["plain"]))
-    complete = F.size(matched) == F.size("ns")
+    rows = _computed(rows.withColumns({"n_plain": F.size(F.filter(matched, lambda x: x["plain"])), "complete": F.size(matched) == F.size("ns")}))
+    choice = lambda t, i: F.pmod(F.floor(t / F.get("strides", i)), F.get("sizes", i)).cast("int")
 
-    def one(t: Column) -> Column:
-        picks = F.transform("ns", lambda x, i: F.struct(x["plain"].alias("plain"), x["actor"].alias("actor"), F.get(x["c"], choice(t, i)).alias("c")))
+    def scored_picks(picks: Column, t: Column) -> Column:
         good = F.filter(picks, lambda x: x["c"].isNotNull() & ~x["plain"])
-        of_nodes = F.aggregate(good, F.lit(0.0), lambda a, x: a + x["c"]["similarity"]) / F.greatest(F.size("ns") - n_plain, F.lit(1))
+        of_nodes = F.aggregate(good, F.lit(0.0), lambda a, x: a + x["c"]["similarity"]) / F.greatest(F.size("ns") - F.col("n_plain"), F.lit(1))
         cell = lambda e: F.get(e["cells"], choice(t, e["s"]) * F.get("sizes", e["t"]).cast("int") + choice(t, e["t"]))["e"]
         of_edges = F.when(F.size("es") == 0, 0.0).otherwise(F.aggregate("es", F.lit(0.0), lambda a, e: a + F.coalesce(cell(e), F.lit(0.0))) / F.size("es"))
-        score = F.least(F.lit(1.0), (of_nodes + of_edges) / 2)
         said = F.transform(F.filter(picks, lambda x: x["c"].isNotNull() & ~x["actor"]), lambda x: x["c"]["sentence"].cast("double"))
-        return F.struct(score.alias("score"), spanning_score(score, said, complete).alias("span"), (-t).alias("before"), t.alias("t"))
+        return F.struct(F.least(F.lit(1.0), (of_nodes + of_edges) / 2).alias("score"), said.alias("said"))
+
+    def one(t: Column) -> Column:
+        picks = F.transform("ns", lambda x, i: F.struct(x["plain"].alias("plain"), x["actor"].alias("actor"), F.get(x["c"], choice(t, i)).alias("c")))
+        ranked = lambda v: F.struct(v["score"].alias("score"), spanning_score(v["score"], v["said"], F.col("complete")).alias("span"), (-t).alias("before"), t.alias("t"))
+        return bound(bound(picks, lambda p: scored_picks(p, t)), ranked)
 
-    rows = rows.withColumn("all", F.transform(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), one)).withColumn("top", F.array_max(F.transform("all", lambda x: x["score"])))
+    rows = _computed(rows.withColumn("all", F.transform(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), one)))
+    rows = _computed(rows.withColumn("top", F.array_max(F.transform("all", lambda x: x["score"]))))
     rivals = F.filter("all", lambda x: (x["score"] == F.col("top")) | (x["score"] > 0.95))
     first = F.array_max(F.transform(rivals, lambda x: F.struct(x["span"], x["score"], x["before"], x["t"])))
     last = F.array_max(F.transform("all", lambda x: F.struct(x["score"], x["t"])))
