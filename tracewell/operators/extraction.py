@@ -34,8 +34,9 @@ def sentences(tokens: DataFrame, *keys: str) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     token = F.struct(F.col("i").cast("int").alias("i"), blank("text"), F.lower(blank("lemma")).alias("lemma"), blank("pos"), blank("dep"), F.coalesce("head", "i").cast("int").alias("head"))
     rows = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("toks"))
-    rows = rows.withColumn("toks", _chained())
-    return rows.withColumn("toks", _enriched())
+    for made in (_chained(), _enriched()):  # a generator between them, so that no lambda computes an array again
+        rows = rows.select(*keys, F.explode(F.array(made)).alias("toks"))
+    return rows
 
 
 def _at(i: Column) -> Column:
