@@ -14,21 +14,21 @@ classes every score is 0; extra columns pass through.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import fold, map_texts
+from tracewell.llm.common import Workspace, fold, map_texts
 from tracewell.llm.quality import Forest, fit_forest
 
 #: Labelled rows that a fit takes at most, of either class (those with the smallest hashes of their ids).
 FIT_ROWS = 4_000
-#: Bytes of each of them that the fit holds at most; scoring takes whole texts.
-FIT_BYTES = 20_000
+#: Bytes of ordinary text that one group trains a dictionary on.
+GROUP_BYTES = 16_000_000
 #: Bytes of a window, and from one window to the next.
 WINDOW, STEP = 60, 36
 #: Bytes of the ordinary dictionary, and those added for the toxic one.
@@ -51,7 +51,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def _word_pieces(text: str) -> set[bytes]:
     found = set()
-    for word in text.lower().encode()[:FIT_BYTES].split():
+    for word in text.lower().encode().split():
         word = b" " + word.rstrip(b".,;:!?")
         found.update(word[:k] for k in PIECES if len(word) >= k)
     return found
@@ -101,37 +101,76 @@ class Model:
         return 1 / (1 + np.exp(-margins))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """From texts with labels (1: toxic), in an order without meaning: even rows give the dictionaries, odd rows the
-    calibration. Without both classes in either half there is no calibration and every score is 0."""
-    own, calibration = rows[::2], rows[1::2]
-    seen, n = (Counter(), Counter()), [0, 0]
-    for text, y in own:
-        n[y] += 1
-        seen[y].update(_word_pieces(text))
-    least = max(3, n[1] // 60)
-    odds = {
-        g: math.log((c + 0.2) / (n[1] + 1) / ((seen[0][g] + 0.2) / (n[0] + 1))) for g, c in seen[1].items() if c >= least
-    }
-    rich = {g for g, x in odds.items() if x > 3.2}
-    added = b"".join(sorted(rich, key=lambda g: (seen[1][g], g)))[-TOXIC_BYTES:]
-    plain = [w for text, y in own if not y for w in windows(text[:FIT_BYTES])[::2]]
+def _trained(samples: list[bytes]) -> bytes:
     try:
-        base = zstd.train_dictionary(ORDINARY_BYTES, plain).as_bytes()
+        return zstd.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstd.ZstdError:  # too little text to train on: it is the dictionary itself
-        base = b"".join(plain)[-ORDINARY_BYTES:]
+        return b"".join(samples)[-ORDINARY_BYTES:]
+
+
+def _ordinary(plain: DataFrame) -> bytes:
+    """The ordinary dictionary, from all windows of the texts. Texts over GROUP_BYTES are dealt to groups, each of which trains one
+    on its own windows; the last is trained on the content of those."""
+    size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("_key", "_text"), F.lit(-(-size // GROUP_BYTES) or 1))
+
+    def run(part):
+        part = part.sort_values(["_h", "_text"])
+        return pd.DataFrame({"_d": [_trained([w for t in part["_text"] for w in windows(t)])]})
+
+    found = plain.select("_h", "_text", group.alias("_g")).groupBy("_g").applyInPandas(run, "_d binary").collect()
+    parts = sorted(bytes(r["_d"]) for r in found)
+    if len(parts) < 2:
+        return b"".join(parts)
+    return _trained([d[i : i + WINDOW] for d in parts for i in range(0, len(d), WINDOW)])
+
+
+def _hard(plain: DataFrame, model: Model) -> list[bytes]:
+    """As many ordinary windows that look toxic as a round adds: those with the smallest hashes of all."""
+
+    def make():
+        def run(texts):
+            ordinary, toxic = model._compressors()
+            return [[[w for w in set(windows(t)) if len(ordinary(w)) - len(toxic(w)) >= 3] for t in texts]]
+
+        return run
+
+    found = map_texts(plain.select("_text"), "_text", [("_w", "array<binary>")], make).select(F.explode("_w").alias("w")).distinct()
+    return [bytes(r["w"]) for r in found.orderBy(F.xxhash64("w"), "w").limit(HARD_BYTES // WINDOW).collect()]
+
+
+def fit(rows: DataFrame) -> Model:
+    """From whole texts with labels (_key, _text, _y; 1: toxic): a half of the keys gives the dictionaries, the other the
+    calibration. Executors read the texts; the driver gets counts of pieces, dictionaries and features. Without both classes in
+    either half there is no calibration and every score is 0."""
+    rows = rows.withColumn("_h", F.xxhash64("_key", F.lit(7)))
+    own, calibration = (rows.where(F.col("_h").bitwiseAND(F.lit(1).cast("long")) == k) for k in (0, 1))
+    n = {0: 0, 1: 0} | {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
+    if not n[1]:
+        return Model(b"", b"")
+    least = max(3, n[1] // 60)
+    pieces = map_texts(own.select("_y", "_text"), "_text", [("_g", "array<binary>")], lambda: lambda texts: [[list(_word_pieces(t)) for t in texts]])
+    seen = pieces.select("_y", F.explode("_g").alias("g")).groupBy("g").agg(F.sum("_y").alias("c"), F.sum(1 - F.col("_y")).alias("o"))
+    seen = {bytes(r["g"]): (r["c"], r["o"]) for r in seen.where(F.col("c") >= least).collect()}
+    odds = {g: math.log((c + 0.2) / (n[1] + 1) / ((o + 0.2) / (n[0] + 1))) for g, (c, o) in seen.items()}
+    rich = {g for g, x in odds.items() if x > 3.2}
+    added = b"".join(sorted(rich, key=lambda g: (seen[g][0], g)))[-TOXIC_BYTES:]
+    plain = own.where("_y = 0")
+    base = _ordinary(plain)
     model = Model(base, base + added)
     for _ in range(HARD_ROUNDS):  # ordinary windows that still look toxic join the ordinary part of both
-        ordinary, toxic = model._compressors()
-        hard = [w for w in plain if len(ordinary(w)) - len(toxic(w)) >= 3]
+        hard = _hard(plain, model)
         if not hard:
             break
-        base = (b"".join(hard[-HARD_BYTES // WINDOW :]) + base)[-2 * ORDINARY_BYTES :]
+        base = (b"".join(hard) + base)[-2 * ORDINARY_BYTES :]
         model = Model(base, base + added)
-    y = np.array([k for _, k in calibration], float)
-    if len(np.unique(y)) == 2 and n[1]:
-        x = np.array([model.features(t) for t, _ in calibration])
-        model.forest = fit_forest(x, y, [1, 1, 1, 1, 0, *[1] * (2 * len(LEVELS))], trees=60, depth=3, rate=0.15)
+    bare = model
+    made = map_texts(calibration.select("_key", "_y", "_text"), "_text", [("_x", "array<double>")], lambda: lambda texts: [[bare.features(t) for t in texts]])
+    found = made.select("_key", "_y", "_x").orderBy("_key", "_x").collect()
+    y = np.array([r["_y"] for r in found], float)
+    if len(np.unique(y)) == 2:
+        forest = fit_forest(np.array([r["_x"] for r in found]), y, [1, 1, 1, 1, 0, *[1] * (2 * len(LEVELS))], trees=60, depth=3, rate=0.15)
+        model = Model(model.ordinary, model.toxic, forest)
     return model
 
 
@@ -146,9 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     order = [F.xxhash64("_key"), F.col("_key")]
     chosen = known.where("_y = 0").orderBy(*order).limit(fit_rows).union(known.where("_y = 1").orderBy(*order).limit(fit_rows))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
-    got = rows.select(F.xxhash64("_key", F.lit(7)).alias("_h"), "_key", "_y", F.left("_text", F.lit(FIT_BYTES)).alias("_text"))
-    found = got.where("_text is not null").collect()
-    return fit([(r["_text"], r["_y"]) for r in sorted(found, key=lambda r: (r["_h"], r["_key"], r["_text"]))])
+    return fit(Workspace(docs.sparkSession, "toxicity-fit").save("rows", rows.where("_text is not null")))
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
