@@ -1,4 +1,4 @@
-"""Similarity joins within blocks, by exact cosines."""
+"""Similarity joins by exact cosines, within blocks of a key or over all pairs."""
 
 from __future__ import annotations
 
@@ -15,3 +15,18 @@ def blocked_cosine(df: DataFrame, key: str, vector: str, block: str, least: floa
     left, right = unit.select("blk", F.col("k").alias("a"), F.col("u").alias("x")), unit.select("blk", F.col("k").alias("b"), F.col("u").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     return left.join(right, "blk").where("a < b").withColumn("cosine", F.round(dot, 6)).where(F.col("cosine") > least).select(F.col("blk").alias(block), "a", "b", "cosine")
+
+
+def all_cosine(df: DataFrame, key: str, vector: str, least: float, rows: int = 1_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b with a cosine over a bound. Vectors are dealt to blocks of about `rows`, and every block
+    meets every block, so no pair is left out and no task holds more than a pair of blocks. keep: columns carried along as a_ and
+    b_. Vectors that are null or of length 0 have no cosine."""
+    v = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    n = max(1, -(-df.count() // rows))
+    unit = df.select(F.col(key).alias("k"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("u"), F.pmod(F.xxhash64(key), F.lit(n)).alias("own"), *keep)
+    unit = unit.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    side = lambda i, j, name, u: unit.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col("k").alias(name), F.col("u").alias(u), *(F.col(c).alias(f"{name}_{c}") for c in keep))
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    pairs = side("own", "other", "a", "x").join(side("other", "own", "b", "y"), ["i", "j"]).where("a < b")
+    return pairs.withColumn("cosine", F.round(dot, 6)).where(F.col("cosine") > least).select("a", "b", "cosine", *(f"{x}_{c}" for x in "ab" for c in keep))

@@ -245,6 +245,16 @@ def phrase_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.3)
 
 
+@query("""
+    with v as (select vec_id, embedding::double[] as e from embeddings)
+    select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine
+    from v a join v b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) > 0.3
+""")
+def phrase_cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phrase_cosine over all pairs, whatever their labels."""
+    return similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
+
+
 @query("""
     with c as (select sum(case when quality = 0 and toxic = 1 then 1 else 0 end) as tp, sum(case when quality = 1 and toxic = 1 then 1 else 0 end) as fp,
         sum(case when quality = 0 and toxic = 0 then 1 else 0 end) as fn from labels)
@@ -434,6 +444,22 @@ def node_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("s", score).where("s > 0.55").select("a", "b", F.round("s", 5).alias("similarity"))
 
 
+@query("""
+    with v as (select vec_id, embedding::double[] as e, ['ACTOR', 'USER', 'TOOL', 'FILE', 'OTHER'][label % 5 + 1] as l from embeddings),
+    p as (select a.vec_id as a, b.vec_id as b, a.l as l, b.l as m, greatest(0, round(list_cosine_similarity(a.e, b.e), 6)) as ctx from v a join v b on a.vec_id < b.vec_id),
+    s as (select a, b, l, m, case when l <> m or l = 'OTHER' then 0.3::double + 0.7::double * ctx else 0.4::double + 0.6::double * ctx end as v from p),
+    r as (select a, b, least(1.0, case when l <> m and (l in ('ACTOR', 'USER') or m in ('ACTOR', 'USER')) then 0 when v > 0.8 then v
+        when l = m and l = 'ACTOR' and v < 0.95 then 0.95 when l = m and l = 'USER' and v > 0.5 and v < 0.8 then v + 0.2 else v end) as s from s)
+    select a, b, round(s, 7)::double as similarity from r where s > 0.55
+""")
+def node_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_candidates over all pairs, whatever their labels."""
+    pairs = similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", -2.0, keep=("label",))
+    labels = lambda c: F.array(F.get(F.array(*map(F.lit, _NODE_LABELS)), F.col(c) % 5))
+    score = alignment.node_similarity(labels("a_label"), labels("b_label"), F.greatest(F.lit(0.0), F.col("cosine")), F.lit(False), F.lit(False))
+    return pairs.withColumn("s", score).where("s > 0.55").select("a", "b", F.round("s", 7).alias("similarity"))
+
+
 @query("""
     with c as (select user_id, event_type, list(event_id order by event_id)[1:3] as c from events group by all),
     n as (select user_id, list(c order by event_type) as ns, list(len(c) order by event_type) as sizes from c group by user_id),
@@ -492,11 +518,26 @@ def dedup_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def similar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each matched id with its neighbours' scores: 1 for itself, 0.9 times the cosine from a neighbour."""
-    near = phrase_cosine(spark, sf_dir)
+    return _expanded(phrase_cosine(spark, sf_dir))
+
+
+def _expanded(near: DataFrame, places: int = 5) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("near"), "cosine"))
     s = near.select(F.explode(ends).alias("p")).select("p.*")
     own = s.select("id").distinct().withColumn("v", F.lit(1.0))
-    return own.union(s.select("near", 0.9 * F.col("cosine"))).groupBy("id").agg(F.count("*").alias("n"), F.round(F.max("v"), 5).alias("best"))
+    return own.union(s.select("near", 0.9 * F.col("cosine"))).groupBy("id").agg(F.count("*").alias("n"), F.round(F.max("v"), places).alias("best"))
+
+
+@query("""
+    with v as (select vec_id, embedding::double[] as e from embeddings),
+    p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as c from v a join v b on a.vec_id < b.vec_id),
+    k as (select * from p where c > 0.3), s as (select a as id, b as near, c from k union all select b, a, c from k),
+    x as (select id, 1.0::double as v from (select distinct id from s) union all select near, 0.9::double * c from s)
+    select id, count(*) as n, round(max(v), 7) as best from x group by id
+""")
+def similar_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similar_expand over all pairs, whatever their labels."""
+    return _expanded(phrase_cosine_all(spark, sf_dir), 7)
 
 
 @query("""
