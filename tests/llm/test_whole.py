@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from tracewell.llm import toxicity
+from tracewell.llm import queries, toxicity
 
 
 def _held_accuracy(out, truth):
@@ -28,3 +28,13 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     marks = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
     out = toxicity.score_documents(docs, toxicity.train(docs, marks)).collect()
     assert _held_accuracy(out, truth) > 0.95
+
+
+def test_ngram_query_keeps_pairs_seen_once(spark, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    rows = [(learnt[0], "red fox"), (learnt[1], "blue cat"), (held[0], "red fox"), (held[1], "blue fox")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_ngram_scores(spark, str(tmp_path)).collect()}
+    assert got[held[0]].base_score == got[held[1]].base_score
+    assert got[held[0]].score > got[held[1]].score + 0.1

@@ -51,7 +51,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return ngrams.score_documents(documents(spark, sf_dir).select("doc_id", "text"), least=1)
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
