@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from tracewell.llm import queries, toxicity
+from tracewell.llm import queries, quoting, toxicity
 
 
 def _held_accuracy(out, truth):
@@ -38,3 +38,14 @@ def test_ngram_query_keeps_pairs_seen_once(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op7_ngram_scores(spark, str(tmp_path)).collect()}
     assert got[held[0]].base_score == got[held[1]].base_score
     assert got[held[0]].score > got[held[1]].score + 0.1
+
+
+def test_short_quoted_lines_are_linked_below_longer_ones(spark):
+    rows = [
+        (1, 0, "Shall we meet?\nyes, please\nthen bring the map"), (1, 1, "> yes, please\nfine"), (1, 2, "> fine\nok"),
+        (2, 0, "a long line that is quoted\nanother line"), (2, 1, "something else here\nno"), (2, 2, "> > a long line that is quoted\n> no\n> not said before\nwell"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in quoting.link(df).collect()}
+    assert got[1, 1] == (0, 0, 1) and got[1, 2] == (1, 0, 2)
+    assert got[2, 2] == (0, 0, 1)

@@ -3,7 +3,8 @@
 Each line's quote level is its number of leading '>' marks. Runs of lines of one level are passages; a quoted passage, and each of
 its lines, is normalised (lower case, white space collapsed) and hashed, and joined to the earliest message of the same conversation
 that says the same at level 0, as a passage, a line or a whole. A message replies to the source of its quotes of the lowest level, of
-those to the one most characters come from, then the latest. Roots and depths follow by pointer doubling; the reply order is
+those to the one most characters come from, then the latest; sources of which it quotes nothing but single short lines of longer
+passages come after all others. Roots and depths follow by pointer doubling; the reply order is
 (conversation, root, depth, turn). DataFrame and SQL functions only.
 
 Edge cases: null and empty texts have no passages; a null conversation or turn is linked with nothing (a root of its own); a quote
@@ -21,7 +22,7 @@ from tracewell.llm.common import Workspace
 
 #: The quote marks that begin a line.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
-#: Characters that a normalised line needs to count as a passage of its own.
+#: Characters from which a normalised line counts as much as a passage; shorter ones are linked, but rank below.
 LEAST_CHARS = 12
 
 _BLOCKS = "array<struct<level:int,text:string,lines:array<string>>>"
@@ -55,10 +56,10 @@ def blocks(text: Column) -> Column:
 
 
 def _passages(block: Column) -> Column:
-    """Hash and length of a block and of each of its lines that is long enough, without empty ones."""
-    whole = F.array(F.struct(F.xxhash64(normalised(block["text"])).alias("h"), F.length(normalised(block["text"])).alias("n")))
-    own = F.transform(block["lines"], lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.length(normalised(x)).alias("n")))
-    return F.concat(F.filter(whole, lambda x: x["n"] > 0), F.filter(own, lambda x: x["n"] >= LEAST_CHARS))
+    """Hash and length of a block and of each of its lines, without empty ones; sure: not a short line of a longer block."""
+    made = lambda x, sure: F.struct(F.xxhash64(normalised(x)).alias("h"), F.length(normalised(x)).alias("n"), sure.alias("sure"))
+    own = F.transform(block["lines"], lambda x: made(x, F.length(normalised(x)) >= LEAST_CHARS))
+    return F.filter(F.concat(F.array(made(block["text"], F.lit(True))), own), lambda x: x["n"] > 0)
 
 
 def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -81,15 +82,15 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
     ))
     quoting = parsed.where("size(quoted) > 0 and c is not null and t is not null").select("c", "t", "m", F.explode("quoted").alias("b"))
     quotes = quoting.select("c", "t", "m", F.col("b.level").alias("level"), F.explode(_passages(F.col("b"))).alias("p"))
-    quotes = quotes.select("c", "t", "m", "level", F.col("p.h").alias("h"), F.col("p.n").alias("n"))
-    quotes = space.save("quotes", quotes.groupBy("c", "t", "m", "level", "h").agg(F.max("n").alias("n")))
+    quotes = quotes.select("c", "t", "m", "level", F.col("p.h").alias("h"), F.col("p.n").alias("n"), F.col("p.sure").alias("sure"))
+    quotes = space.save("quotes", quotes.groupBy("c", "t", "m", "level", "h").agg(F.max("n").alias("n"), F.max("sure").alias("sure")))
     asked = quotes.select("c", "h").distinct()
     said = parsed.where("c is not null and t is not null").select("c", "t", F.explode("said").alias("h"))
     sources = said.groupBy("c", "h").agg(F.min("t").alias("source")).join(asked, ["c", "h"], "left_semi")
-    found = space.save("found", quotes.join(sources, ["c", "h"]).where("source < t").select("c", "t", "m", "level", "n", "source"))
-    weighed = found.groupBy("c", "t", "m", "level", "source").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    found = space.save("found", quotes.join(sources, ["c", "h"]).where("source < t").select("c", "t", "m", "level", "n", "sure", "source"))
+    weighed = found.groupBy("c", "t", "m", "level", "source").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("*").alias("k"))
     best = weighed.groupBy("c", "t", "m").agg(
-        F.max_by("source", F.struct(-F.col("level"), "n", "source")).alias("parent"), F.sum("k").alias("n_linked")
+        F.max_by("source", F.struct("sure", -F.col("level"), "n", "source")).alias("parent"), F.sum("k").alias("n_linked")
     )
     best = space.save("best", best)
 
