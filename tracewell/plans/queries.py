@@ -472,6 +472,13 @@ def candidate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.candidate_tuples(nodes, "user_id", "event_type", "c", most=40, each=3)
 
 
+@query(None)
+def candidate_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidate_product up to the search's own limits (30 candidates a node, 20,000 combinations), without a cut before."""
+    nodes = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("c"))
+    return alignment.candidate_tuples(nodes, "user_id", "event_type", "c")
+
+
 @query("""
     with e as (select l_orderkey, l_linenumber, l_discount * 10 as s, 1 - l_tax as t, 1 + 0.3::double * abs(l_linenumber - 3) as d,
         case when l_returnflag = 'N' then null when l_returnflag = 'A' then 1.0::double else 0.5::double end as f from lineitem),
