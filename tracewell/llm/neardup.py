@@ -20,10 +20,10 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Workspace, map_texts
+from tracewell.llm.common import Workspace, fresh, map_texts
 
 #: Groups in each of the two collections, and minhashes in a group.
 GROUPS, WIDTH = 10, 2
@@ -126,10 +126,11 @@ def _ordered(x: str, y: str):
 
 def components(
     df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, groups: int = GROUPS,
-    width: int = WIDTH, rounds: int = PIVOT_ROUNDS, broadcast_classes: int = BROADCAST_CLASSES,
+    width: int = WIDTH, rounds: int = PIVOT_ROUNDS, broadcast_classes: int = BROADCAST_CLASSES, with_groups: bool = False,
 ) -> DataFrame:
     """For each row: its key, n_shingles, component_id (the smallest key reachable over links of a similarity of percent or
-    more) and kept (the key is that smallest one)."""
+    more) and kept (the key is that smallest one). with_groups adds text_hash (of the row's text), class (of its set; null without
+    words) and group (one value for each component, null without words)."""
     space = Workspace(df.sparkSession, "neardup")
     base = df.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
 
@@ -153,7 +154,7 @@ def components(
         return run
 
     made = map_texts(base, "_text", [("n", "long"), ("class", "long"), ("keys", "array<long>")], make_rows)
-    rows = space.save("rows", made.select("_id", "n", "class", "keys"))
+    rows = space.save("rows", made.select("_id", F.xxhash64("_text").alias("_th"), "n", "class", "keys"))
     # one row of each class stands for it
     classes = rows.where("class is not null").groupBy("class").agg(F.min("_id").alias("_id"))
     classes = space.save("classes", classes)
@@ -212,12 +213,13 @@ def components(
 
     grouped = classes.join(ids, classes["class"] == ids["id"], "left").select("class", "_id", F.coalesce("label", "class").alias("label"))
     least = grouped.groupBy("label").agg(F.min("_id").alias("c"))
-    found = grouped.join(least, "label").select("class", "c")
-    out = rows.select("_id", "n", "class").join(found, "class", "left")
+    found = grouped.join(least, "label").select("class", "c", "label")
+    out = rows.select("_id", "_th", "n", "class").join(found, "class", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("c", "_id"))
     return out.select(
         F.col("_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"),
+        *([F.col("_th").alias("text_hash"), "class", F.col("label").alias("group")] if with_groups else []),
     )
 
 
@@ -226,17 +228,28 @@ def _relabelled(space: Workspace, members: DataFrame, edges: DataFrame, tag: str
     return space.save(f"{tag}ids", members.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", broadcast_ids: int = BROADCAST_CLASSES, **options) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest key. Of rows that repeat a key one stays; rows with
-    a null key all stay. options: those of components()."""
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_CLASSES, **options) -> DataFrame:
+    """The rows that stay: one of each component, that with the smallest key (then set, then text). Rows go by key and text, never by
+    key alone: of rows that repeat a key with texts of different components each component's own row stays. Of fully repeated texts
+    of one key one row stays (the one with the smallest hash of all its columns). Rows with a null key or without words all stay.
+    options: those of components()."""
     space = Workspace(df.sparkSession, "dedup")
-    found = space.save("found", components(df, key=key, **options).select(F.col(key).alias("_k"), "kept"))
-    gone = found.where("not kept").select("_k").distinct()
+    found = components(df, key=key, text=text, with_groups=True, **options)
+    found = space.save("found", found.select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"), "class", "group"))
+    own = F.struct("_k", "class", "_h")
+    grouped = found.where("group is not null and _k is not null")
+    first = grouped.groupBy("group").agg(F.min(own).alias("_first"))
+    marked = space.save("marked", grouped.join(first, "group").select("_k", "_h", (own == F.col("_first")).alias("_stays")))
+    gone = marked.where("not _stays").select("_k", "_h").distinct()
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
-    out = df.join(gone, F.col(key) == F.col("_k"), "left_anti")
-    repeated = found.where("kept and _k is not null").groupBy("_k").count().where("count > 1").select("_k")
-    if repeated.limit(1).count():  # only tables with repeated keys pay for this
-        null = F.col(key).isNull()
-        out = out.where(~null).dropDuplicates([key]).unionByName(out.where(null))
-    return out
+    hashed = fresh(df, "_th")
+    rows = df.withColumn(hashed, F.xxhash64(F.col(text).cast("string")))
+    out = rows.join(gone, (F.col(key) == F.col("_k")) & (F.col(hashed) == F.col("_h")), "left_anti")
+    again = marked.where("_stays").groupBy("_k", "_h").count().where("count > 1").select("_k", "_h")
+    if again.limit(1).count():  # only tables with repeated rows pay for this; a row that is no copy is not moved
+        met = (F.col(key) == F.col("_k")) & (F.col(hashed) == F.col("_h"))
+        order = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+        repeated = out.join(again, met, "left_semi").withColumn("_no", F.row_number().over(Window.partitionBy(key, hashed).orderBy(order)))
+        out = out.join(again, met, "left_anti").unionByName(repeated.where("_no = 1").drop("_no"))
+    return out.select(*df.columns)
