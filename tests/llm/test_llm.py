@@ -150,6 +150,10 @@ def test_deduplicate(spark):
     text = " ".join(map(str, range(40)))
     df = _docs(spark, [(1, text), (2, text), (2, text), (3, "z"), (3, "z"), (None, "q"), (4, None)])
     assert sorted(str(r.doc_id) for r in neardup.deduplicate(df).collect()) == ["1", "3", "4", "None"]
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(7, words[0]), (7, words[1]), (3, words[1]), (7, words[0]), (7, words[0].upper()), (8, words[2]), (8, words[2] + " z"), (9, ""), (9, "")]
+    got = neardup.deduplicate(_docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in got) in ([(3, "b0"), (7, a), (8, "c0"), (9, ""), (9, "")] for a in ("A0", "a0"))
     assert neardup.deduplicate(df.limit(0)).count() == 0
 
 
@@ -191,30 +195,46 @@ def test_expectation_maximisation():
     assert post[0, good] > 0.9 > 0.5 > post[0, bad]
 
 
-@pytest.mark.parametrize("size", [0, 1 << 30])
-def test_ngram_scores(spark, size):
+@pytest.mark.parametrize("size,hot", [(0, {}), (1 << 30, {}), (0, {"the": 4, "cat": 2}), (1 << 30, {"the": 4, "w1": 3})])
+def test_ngram_scores(spark, monkeypatch, size, hot):
+    if hot:
+        monkeypatch.setattr(ngrams, "hot_words", lambda *_: {int(ngrams.word_hashes(w)[0]): n for w, n in hot.items()})
     rng = random.Random(8)
-    texts = [(i, " ".join(rng.choice(["the", "The", "cat", "dog", "ran", "sat", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None)]
+    texts = [(i, " ".join(rng.choice(["the", "The", "cat", "dog", "ran", "sat", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None), (91, "")]
     tokens = {i: [*(t or "").lower().split(), None] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts}
-    c, b, first = collections.Counter(), collections.Counter(), collections.Counter()
+    c, seen = collections.Counter(), [collections.Counter(), collections.Counter()]
     for i, w in tokens.items():
         if not held[i]:
             c.update(w)
-            b.update(zip(["<s>", *w], w))
-    for (f, _), n in b.items():
-        first[f] += n
-    kept = {k: (n - 0.75) / first[k[0]] for k, n in b.items() if n >= 2}
-    mass = collections.Counter()
-    for (f, _), p in kept.items():
-        mass[f] += p
+            for k in (1, 2):
+                seen[k - 1].update((("<s>",) * max(0, k - n) + tuple(w[max(0, n - k) : n]), w[n]) for n in range(len(w)))
     z = sum(c.values()) + 0.5 * (len(c) + 1)
-    for r in ngrams.score_documents(_docs(spark, texts), model_bytes=size).collect():
+    total, kinds = collections.Counter(), collections.Counter()
+    for s in seen:
+        for (ctx, _), n in s.items():
+            total[ctx] += n
+            kinds[ctx] += 1
+
+    def p(ctx, x):
+        lower = (c[x] + 0.5) / z if not ctx else p(ctx[1:], x)
+        if not ctx or not total[ctx]:
+            return lower
+        return max(0.0, seen[len(ctx) - 1][ctx, x] - 0.75) / total[ctx] + 0.75 * kinds[ctx] / total[ctx] * lower
+
+    for r in ngrams.score_documents(_docs(spark, texts), model_bytes=size, shard_chars=200).collect():
         w = tokens[r.doc_id]
         base = sum(math.log10((c[x] + 0.5) / z) for x in w)
-        full = sum(math.log10(kept.get((f, x), 0) + (1 - mass[f] if first[f] else 1) * (c[x] + 0.5) / z) for f, x in zip(["<s>", *w], w))
+        full = sum(math.log10(p((["<s>", "<s>", *w][n], ["<s>", "<s>", *w][n + 1]), x)) for n, x in enumerate(w))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), sum(c.values()))
-        assert abs(r.base_score - base) < 1e-9 * max(1, abs(base)) and abs(r.score - full) < 1e-3 * len(w)
+        # each of the three factors of a token is within half a step
+        assert abs(r.base_score - base) < 1e-9 * max(1, abs(base)) and abs(r.score - full) < 0.02 * len(w)
+
+
+def test_ngram_empty_and_long(spark):
+    assert ngrams.score_documents(_docs(spark, [(1, "a")]).limit(0)).count() == 0
+    rows = ngrams.score_documents(_docs(spark, [(i, "a b " * (200_000 if i == 3 else 1)) for i in range(6)])).collect()
+    assert sorted(r.n_tokens for r in rows)[-1] == 400_001 and all(r.score <= 0 for r in rows)
 
 
 def test_elias_fano():

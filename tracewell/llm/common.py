@@ -68,6 +68,10 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def folder(self, name: str) -> str:
+        """The URI of a subfolder, for files that tasks write themselves."""
+        return f"{self.path}/{name}" if "://" in self.path else f"file://{self.path}/{name}"
+
     def drop(self, name: str) -> None:
         """Deletes a table that nothing will read again."""
         jvm = self.spark._jvm

@@ -1,27 +1,33 @@
-"""Language-model scores from an Elias-Fano n-gram trie of words and their successors.
+"""Language-model scores from an Elias-Fano n-gram trie of order three.
 
-Counting: each task folds its pairs (word, next word) into distinct pairs with counts and sends them, packed, to the shard that the
-first word's hash names. A shard merges them and lays out its part of the trie: the words' hashes and the pointers to their successors
-as Elias-Fano sequences, exact word counts, back-off weights, and for each word its sorted successors (40-bit
-fingerprints) with quantised discounted probabilities. A pair is looked up by finding the word, reading its pointers, and
-searching among its successors only.
+Counting: each task folds its trigrams (u, v, w) into distinct ones with counts and sends them, packed, to the shard that the middle word v
+names, so that all that p(w | u v) and p(w | v) need meets in one place. A shard lays out four levels, each one Elias-Fano sequence:
 
-The probability of w after v is (c(v,w) - D) / c(v), if the pair was seen LEAST times or more, plus what v's pairs leave over
-times the unigram probability of w; it sums to 1 over the vocabulary and one unknown word. Word 0 of a text follows a start mark; an
-end mark closes it.
+- words: the hashes of its middle words, with exact counts and back-off weights;
+- successors: for each word the fingerprints of the words after it, with quantised discounted probabilities;
+- contexts: for each word the fingerprints of the words before it, with quantised back-off weights;
+- trigrams: for each context the words after it, each as its rank among the successors of the context's last word, with quantised
+  discounted probabilities. Ranks are small where a word has few successors, which keeps this level, the largest, compact.
 
-Scoring: while the trie is below MODEL_BYTES, its shards go to every executor as one file, which the workers map into
-memory; above it, the texts' pairs are joined with the trie's entries by shuffles, with equal results up to rounding.
+A level's sequence is monotone because each entry is offset by its parent's place, so a successor is found by one select on the upper bits
+and a short walk. p(w|uv) = own(uvw) + backoff(uv) * p(w|v), p(w|v) = own(vw) + backoff(v) * p(w), with absolute discounts; pairs and
+triples seen once are kept. A context that was never seen leaves the lower order as it is. Start marks go before a text, an end mark after it.
+
+A word that a large share of all tokens are is hot: its triples are dealt to several shards by the word before it, while its pairs go to its
+own shard. Which words are hot is read off every 64th text and decides only where entries lie, never what they are.
+
+Tasks write shards as files in the shared folder. While they are below MODEL_BYTES together, workers map all of them (from a remote folder they
+read them); above, the triples of the texts are dealt by shard, so that a task opens only its own shards. Both give equal results up to rounding.
 
 Edge cases: null and empty texts are one end mark; without training texts every count is 0 and all scores follow from the formulas;
-very long texts are read whole; repeated rows score equally; null ids count for fold 0; extra columns are not read.
+very long texts are read whole; repeated rows score equally; null ids count for fold 0; extra columns are not read. Words are told apart by 64
+bits, pairs and triples by 40 bits of their other words.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -29,27 +35,29 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
-from pyspark import SparkFiles
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Workspace, fold
 
-#: Discount, and occurrences from which a pair is kept in the trie.
-DISCOUNT, LEAST = 0.75, 2
-#: Steps of a quantised log10 value, of which there are 2**16.
-STEPS = 6000
-#: Bytes of the trie up to which executors map all of it.
+#: Absolute discount of both orders.
+DISCOUNT = 0.75
+#: Steps of a quantised log10 value of one byte: 0 to 8.5 below 1.
+STEPS = 30
+#: Bytes of the trie up to which workers map all of it.
 MODEL_BYTES = 1 << 30
-#: Pairs that a task holds before it folds and sends them.
-FOLD_PAIRS = 2_000_000
+#: Tokens that a task holds before it folds and sends them, and tokens scored at a time.
+FOLD_TOKENS, SCORE_TOKENS = 2_000_000, 800_000
 #: Characters of the corpus for each shard.
 SHARD_CHARS = 8_000_000
+#: A word is hot from this share of a shard's fair part of the tokens; at most HOT_SPLIT shards hold its triples.
+HOT_SHARDS, HOT_SPLIT = 2.0, 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Hashes of the marks; words that hash to them are moved by one.
+#: Hashes of the marks; words that hash to them are moved by two.
 START, END = 1, 2
-_FP = np.uint64((1 << 40) - 1)
+_DROP = np.uint64(24)  # a fingerprint is the upper 40 bits of a hash
 _pack, _unpack = zstd.ZstdCompressor(level=1), zstd.ZstdDecompressor()
 
 
@@ -57,388 +65,525 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's lower-cased words and the end mark."""
     words = (text or "").encode().translate(_LOWER).split()
     out = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out[out <= END] += np.uint64(END + 1)
+    out[out <= END] += np.uint64(END)
     return np.append(out, np.uint64(END))
 
 
-def _pairs(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First and second words of the pairs of texts, one for each token."""
-    second = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
+def triples(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both words before each token of the texts, and the token."""
+    w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     starts = np.cumsum([0, *map(len, hashes)])[:-1]
-    first[starts] = START
-    return first, second
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:] = w[:-1]
+    v[starts] = START
+    u[1:] = v[:-1]
+    u[starts] = START
+    return u, v, w
+
+
+def _spread(u: np.ndarray) -> np.ndarray:
+    """A second hash of the word before, for the shards of hot words."""
+    x = u * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def homes(v: np.ndarray, bits: int) -> np.ndarray:
+    return (v >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def shards_of(u: np.ndarray, v: np.ndarray, bits: int, hot: dict[int, int]) -> np.ndarray:
+    """The shard of each triple's context: that of v, moved by u if v is hot."""
+    at = homes(v, bits)
+    for word, parts in hot.items():
+        own = np.flatnonzero(v == np.uint64(word))
+        at[own] = (at[own] + (_spread(u[own]) % np.uint64(parts)).astype(np.int64)) % (1 << bits)
+    return at
 
-def _folded(first: np.ndarray, fp: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, with the sums of their counts."""
-    order = np.lexsort((fp, first))
-    first, fp = first[order], fp[order]
-    new = np.r_[True, (first[1:] != first[:-1]) | (fp[1:] != fp[:-1])] if len(first) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    count = np.diff(np.r_[at, len(first)]) if count is None else np.add.reduceat(count[order], at) if len(at) else count[:0]
-    return first[at], fp[at], count
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Places where a new run of equal keys begins, in sorted columns."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
-def _five(fp: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
+def _folded(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray | None):
+    """Distinct (v, u, w) in order, with the sums of their counts."""
+    order = np.lexsort((w, u, v))
+    v, u, w = v[order], u[order], w[order]
+    at = _runs(v, u, w)
+    count = np.diff(np.r_[at, len(v)]) if count is None else np.add.reduceat(count[order], at) if len(at) else count[:0]
+    return v[at], u[at], w[at], count
 
-def _from_five(raw: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    return wide.view("<u8").ravel()
 
+def _lows(values: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
-def _blob(first: np.ndarray, fp: np.ndarray, count: np.ndarray) -> bytes:
-    at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-    runs = np.diff(np.r_[at, len(first)]).astype("<u4")
-    parts = [first[at].astype("<u8").tobytes(), _pack.compress(runs.tobytes()), _five(fp).tobytes(), _pack.compress(count.astype("<u4").tobytes())]
+
+def _wide(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel()
+
+
+def _blob(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted triples, packed: each word and each context once."""
+    words, contexts = _runs(v), _runs(v, u)
+    parts = [
+        v[words].astype("<u8").tobytes(), _pack.compress(np.diff(np.r_[words, len(v)]).astype("<u4").tobytes()),
+        _lows(u[contexts], 5).tobytes(), _pack.compress(np.diff(np.r_[contexts, len(v)]).astype("<u4").tobytes()),
+        _lows(w, 5).tobytes(), _pack.compress(count.astype("<u4").tobytes()),
+    ]
     return np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
 
 
-def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes, at, parts = np.frombuffer(raw, "<u8", 4), 32, []
+def _unblob(raw: bytes):
+    sizes, at, parts = np.frombuffer(raw, "<u8", 6), 48, []
     for n in sizes.tolist():
         parts.append(raw[at : at + n])
         at += n
-    runs = np.frombuffer(_unpack.decompress(parts[1]), "<u4")
-    first = np.repeat(np.frombuffer(parts[0], "<u8"), runs)
-    return first, _from_five(np.frombuffer(parts[2], np.uint8).reshape(-1, 5)), np.frombuffer(_unpack.decompress(parts[3]), "<u4").astype(np.int64)
+    ints = lambda k: np.frombuffer(_unpack.decompress(parts[k]), "<u4").astype(np.int64)
+    five = lambda k: _wide(np.frombuffer(parts[k], np.uint8).reshape(-1, 5), 5)
+    return np.repeat(np.frombuffer(parts[0], "<u8"), ints(1)), np.repeat(five(2), ints(3)), five(4), ints(5)
 
 
 class EliasFano:
-    """A monotone sequence: low bytes as they are, high parts as gaps in a bit vector with a directory of its words."""
+    """A monotone sequence: low bytes as they are, upper parts as gaps in a bit vector with a directory of its words."""
 
     def __init__(self, low: np.ndarray, words: np.ndarray, ones: np.ndarray, n: int, width: int):
         self.low, self.words, self.ones, self.n, self.width = low, words, ones, n, width
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
+        """universe: an upper bound of the values. The width of the low parts is the one that takes least space."""
         n = len(values)
-        width = max(0, -(-max(0, (universe // max(n, 1)).bit_length()) // 8))
+        width = min(range(8), key=lambda b: 8 * b * n + 1.1 * (n + (universe >> (8 * b))))
         values = values.astype("<u8")
-        low = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width])
-        high = (values >> np.uint64(8 * width)) if width < 8 else np.zeros(n, np.uint64)
-        top = universe >> (8 * width)
-        bits = np.zeros((n + top + 2 + 63) // 64 * 64, np.uint8)
+        high = values >> np.uint64(8 * width)
+        bits = np.zeros((n + (universe >> (8 * width)) + 2 + 63) // 64 * 64, np.uint8)
         bits[high.astype(np.int64) + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.uint32)].astype("<u4")
-        return cls(low, words, ones, n, width)
+        return cls(_lows(values, width), words, ones, n, width)
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         """Place of the bit with a rank (from 0) among ones or zeros."""
-        counts = self.ones if one else self._zeros()
+        counts = self.ones if one else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(counts, rank, side="right") - 1
         bits = np.unpackbits(np.ascontiguousarray(self.words[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         run = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.uint8)
         return word * 64 + (run == (rank - counts[word] + 1)[:, None]).argmax(1)
 
-    def _zeros(self) -> np.ndarray:
-        return np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-
-    def _lows(self, at: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(at), 8), np.uint8)
-        wide[:, : self.width] = self.low[at]
-        return wide.view("<u8").ravel()
-
     def access(self, at: np.ndarray) -> np.ndarray:
         """Values at places."""
         if not len(at):
             return np.zeros(0, np.uint64)
         high = self._select(at, True) - at
-        return (high.astype(np.uint64) << np.uint64(8 * self.width)) | self._lows(at)
+        return (high.astype(np.uint64) << np.uint64(8 * self.width)) | _wide(self.low[at], self.width)
+
+    def _starts(self, high: np.ndarray) -> np.ndarray:
+        """The first place whose upper part is at least `high`."""
+        out = np.zeros(len(high), np.int64)
+        later = np.flatnonzero(high > 0)
+        out[later] = self._select(high[later] - 1, False) - (high[later] - 1)
+        return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Places of values, or -1."""
-        if not len(values) or not self.n:
-            return np.full(len(values), -1)
-        mask = np.uint64((1 << (8 * self.width)) - 1)
-        high, low = (values >> np.uint64(8 * self.width)).astype(np.int64), values & mask
-        stop = self._select(high, False) - high
-        start = np.zeros_like(stop)
-        later = high > 0
-        start[later] = self._select(high[later] - 1, False) - (high[later] - 1)
-        at = _search(self._lows, low, start, stop)
-        return at
-
-
-def _search(read, wanted: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Binary search of each wanted value in its own range of an ascending sequence; -1 where it is not."""
-    low, high = start.astype(np.int64).copy(), stop.astype(np.int64).copy()
-    live = np.flatnonzero(low < high)
-    while len(live):
-        mid = (low[live] + high[live]) // 2
-        less = read(mid) < wanted[live]
-        low[live] = np.where(less, mid + 1, low[live])
-        high[live] = np.where(less, high[live], mid)
-        live = live[low[live] < high[live]]
-    inside = np.flatnonzero(low < stop)
-    found = np.full(len(wanted), -1)
-    hit = inside[read(low[inside]) == wanted[inside]]
-    found[hit] = low[hit]
-    return found
-
-
-def _quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, 65535).astype("<u2")
-
-
-def _levels(blobs: list[bytes], least: int, discount: float) -> dict[str, np.ndarray]:
-    """Words, counts, back-offs, pointers, successors and probabilities of a shard."""
-    first, fp, count = (np.concatenate(x) for x in zip(*map(_unblob, blobs)))
-    first, fp, count = _folded(first, fp, count)
-    at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-    words, totals = first[at], np.add.reduceat(count, at)
-    owner = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(first)]))
-    kept = count >= least
-    p = (count[kept] - discount) / totals[owner[kept]]
-    codes = _quantised(p)
-    left = 1 - np.bincount(owner[kept], p, len(words))
-    pointers = np.r_[0, np.cumsum(np.bincount(owner[kept], minlength=len(words)))]
-    return {"words": words, "counts": totals, "backoff": np.maximum(left, 1e-9).astype("<f4"), "pointers": pointers, "successors": fp[kept], "codes": codes}
-
-
-def _serialised(levels: dict[str, np.ndarray], bits: int) -> bytes:
-    """A shard of the trie as one run of bytes."""
-    words = EliasFano.build(levels["words"] & np.uint64((1 << (64 - bits)) - 1), 1 << (64 - bits))
-    pointers = EliasFano.build(levels["pointers"].astype(np.uint64), int(levels["pointers"][-1]) + 1)
-    parts = [x for ef in (words, pointers) for x in (ef.low, ef.words, ef.ones)]
-    parts += [levels["counts"].astype("<u8"), levels["backoff"], _five(levels["successors"]), levels["codes"]]
-    head = [words.n, words.width, pointers.n, pointers.width]
-    raw = b""
+        out = np.full(len(values), -1)
+        high, low = values >> np.uint64(8 * self.width), values & np.uint64((1 << (8 * self.width)) - 1)
+        top = len(self.words) * 64 - self.n - 1
+        live = np.flatnonzero(high < np.uint64(max(top, 0))) if self.n else np.zeros(0, np.int64)
+        if not len(live):
+            return out
+        # equal upper parts share one select
+        first = _runs(high[live])
+        own, times = high[live][first].astype(np.int64), np.diff(np.r_[first, len(live)])
+        start, stop = np.repeat(self._starts(own), times), np.repeat(self._starts(own + 1), times)
+        low = low[live]
+        while len(live):  # binary search in the low parts of one upper part
+            open_ = start < stop
+            live, low, start, stop = live[open_], low[open_], start[open_], stop[open_]
+            mid = (start + stop) // 2
+            there = _wide(self.low[mid], self.width)
+            hit = there == low
+            out[live[hit]] = mid[hit]
+            start, stop = np.where(there < low, mid + 1, start), np.where(there < low, stop, mid)
+            live, low, start, stop = live[~hit], low[~hit], start[~hit], stop[~hit]
+        return out
+
+
+def _code(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, 255).astype(np.uint8)
+
+
+_VALUES = 10.0 ** (-np.arange(256) / STEPS)
+
+
+def levels(triple_parts: list[tuple], pair_parts: list[tuple], hot: list[int], discount: float) -> bytes:
+    """A shard's file, from its triples (v, u, w, count) and the pairs (v, 0, w, count) of hot words that it is the home of. Elsewhere a hot
+    word has no counts: its successors there only number the triples."""
+    cat = lambda parts, k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64 if k == 3 else np.uint64)
+    v, u, w, c = _folded(*(cat(triple_parts, k) for k in range(4)))
+    pv, _, pw, pc = _folded(*(np.concatenate([a, b]) for a, b in ((v, cat(pair_parts, 0)), (np.zeros(len(v), np.uint64), cat(pair_parts, 1)),
+                                                                   (w, cat(pair_parts, 2)), (np.where(np.isin(v, np.array(hot, np.uint64)), 0, c), cat(pair_parts, 3)))))
+    at = _runs(pv)
+    words = pv[at]
+    n_after = np.diff(np.r_[at, len(pv)])
+    totals = np.add.reduceat(pc, at) if len(at) else np.zeros(0, np.int64)
+    kinds = np.add.reduceat((pc > 0).astype(np.int64), at) if len(at) else totals
+    owner = np.repeat(np.arange(len(at)), n_after)
+    own2 = (pc - discount) / np.maximum(totals[owner], 1)
+    # contexts and triples, by the place of their word
+    ctx = _runs(v, u)
+    cv, cu = np.searchsorted(words, v[ctx]), u[ctx]
+    size = np.diff(np.r_[ctx, len(v)])
+    total3 = np.add.reduceat(c, ctx) if len(ctx) else np.zeros(0, np.int64)
+    which = np.repeat(np.arange(len(ctx)), size)
+    n_before = np.bincount(cv, minlength=len(words))
+    inner = np.arange(len(ctx)) - np.repeat(np.r_[0, np.cumsum(n_before)[:-1]], n_before) if len(ctx) else np.zeros(0, np.int64)
+    # the rank of w among the successors of v: both lists are in order of (v, w)
+    turn = np.lexsort((w, v))
+    first = _runs(v[turn], w[turn])
+    pair_of = np.empty(len(v), np.int64)
+    known = np.searchsorted(_joint(owner, pw), _joint(np.searchsorted(words, v[turn][first]), w[turn][first]))
+    pair_of[turn] = np.repeat(known, np.diff(np.r_[first, len(v)]))
+    rank = pair_of - at[cv[which]] if len(v) else np.zeros(0, np.int64)
+    base = np.r_[0, np.cumsum(n_before * n_after)]
+    key3 = base[cv[which]] + inner[which] * n_after[cv[which]] + rank if len(v) else np.zeros(0, np.int64)
+    n = len(words)
+    efs = [
+        EliasFano.build(words, (1 << 64) - 1), EliasFano.build(_joint(owner, pw), n << 40), EliasFano.build(_joint(cv, cu), n << 40),
+        EliasFano.build(key3.astype(np.uint64), int(base[-1])),
+        EliasFano.build(np.r_[0, np.cumsum(n_after)].astype(np.uint64), len(pv)), EliasFano.build(np.r_[0, np.cumsum(n_before)].astype(np.uint64), len(ctx)),
+        EliasFano.build(base.astype(np.uint64), int(base[-1])),
+    ]
+    parts = [x for ef in efs for x in (ef.low, ef.words, ef.ones)] + [
+        totals.astype("<u8"), np.minimum(1.0, discount * kinds / np.maximum(totals, 1)).astype("<f4"), np.where(pc > 0, _code(own2), 255).astype(np.uint8),
+        _code(discount * size / np.maximum(total3, 1)), _code((c - discount) / np.maximum(total3[which], 1)),
+    ]
+    head = [x for ef in efs for x in (ef.n, ef.width)]
+    out = []
     for x in parts:
         data = x.tobytes()
         head.append(len(data))
-        raw += data + b"\0" * (-len(data) % 8)
-    return np.array(head, "<u8").tobytes() + raw
+        out.append(data + b"\0" * (-len(data) % 8))
+    return np.array(head, "<u8").tobytes() + b"".join(out)
+
+
+def _joint(owner: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Keys of a level: the parent's place, then 40 bits of the word."""
+    return (owner.astype(np.uint64) << np.uint64(40)) | fp
 
 
 class Shard:
     """A shard read from mapped bytes."""
 
+    EFS, ARRAYS = 7, 26
+
     def __init__(self, raw: np.ndarray):
-        head = raw[: 8 * 14].view("<u8").tolist()
-        at, parts = 8 * 14, []
-        for n in head[4:]:
-            parts.append(raw[at : at + n])
-            at += n + (-n % 8)
-        ef = lambda k, n, w: EliasFano(parts[k].reshape(n, w), parts[k + 1].view("<u8"), parts[k + 2].view("<u4"), n, w)
-        self.words, self.pointers = ef(0, head[0], head[1]), ef(3, head[2], head[3])
-        self.counts, self.backoff = parts[6].view("<u8"), parts[7].view("<f4")
-        self.successors, self.codes = parts[8].reshape(-1, 5), parts[9].view("<u2")
+        n = 2 * self.EFS + self.ARRAYS
+        head = raw[: 8 * n].view("<u8").tolist()
+        at, parts = 8 * n, []
+        for size in head[2 * self.EFS :]:
+            parts.append(raw[at : at + size])
+            at += size + (-size % 8)
+        make = lambda k: EliasFano(
+            parts[3 * k].reshape(head[2 * k], head[2 * k + 1]), parts[3 * k + 1].view("<u8"), parts[3 * k + 2].view("<u4"), head[2 * k], head[2 * k + 1]
+        )
+        self.words, self.successors, self.contexts, self.triples, self.after, self.before, self.base = map(make, range(self.EFS))
+        rest = parts[3 * self.EFS :]
+        self.counts, self.backoff2, self.own2, self.backoff3, self.own3 = rest[0].view("<u8"), rest[1].view("<f4"), *rest[2:]
+
+    def pairs(self, v: np.ndarray, w: np.ndarray):
+        """For pairs sorted by v: the count of v, its back-off weight and the pair's own probability."""
+        place = self._places(v)
+        count, backoff, own = np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))
+        ok = np.flatnonzero(place >= 0)
+        count[ok] = self.counts[place[ok]]
+        some = ok[count[ok] > 0]
+        backoff[some] = self.backoff2[place[some]]
+        hit = self.successors.find(_joint(place[some], w[some] >> _DROP))
+        seen = hit >= 0
+        codes = self.own2[hit[seen]]
+        own[some[seen]] = np.where(codes < 255, _VALUES[codes], 0.0)
+        return count, backoff, own
 
-    def after(self, word: np.ndarray, fp: np.ndarray) -> np.ndarray:
-        """Places of successors among those of their words (places of words), or -1."""
-        return _search(lambda at: _from_five(self.successors[at]), fp, self.pointers.access(word), self.pointers.access(word + 1))
+    def contexts_of(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        """For triples sorted by v: the back-off weight of (u, v) and the triple's own probability."""
+        place = self._places(v)
+        backoff, own = np.ones(len(v)), np.zeros(len(v))
+        ok = np.flatnonzero(place >= 0)
+        ctx = self.contexts.find(_joint(place[ok], u[ok] >> _DROP))
+        ok, ctx = ok[ctx >= 0], ctx[ctx >= 0]
+        backoff[ok] = _VALUES[self.backoff3[ctx]]
+        next_ = self.successors.find(_joint(place[ok], w[ok] >> _DROP))
+        ok, ctx, next_ = ok[next_ >= 0], ctx[next_ >= 0], next_[next_ >= 0]
+        if not len(ok):
+            return backoff, own
+        new = _runs(place[ok])
+        words, back = place[ok][new], np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(ok)]))
+        after = self.after.access(np.r_[words, words + 1]).astype(np.int64)
+        start, fan = after[: len(words)], after[len(words) :] - after[: len(words)]
+        inner = ctx - self.before.access(words).astype(np.int64)[back]
+        key = self.base.access(words).astype(np.int64)[back] + inner * fan[back] + (next_ - start[back])
+        hit = self.triples.find(key.astype(np.uint64))
+        own[ok[hit >= 0]] = _VALUES[self.own3[hit[hit >= 0]]]
+        return backoff, own
+
+    def _places(self, v: np.ndarray):
+        new = _runs(v)
+        found = self.words.find(v[new])
+        return np.repeat(found, np.diff(np.r_[new, len(v)]))
 
 
 class Trie:
-    """All shards, mapped from one file: a directory of offsets, then the shards."""
-
-    def __init__(self, path: str, bits: int):
-        self.bits = bits
-        raw = np.memmap(path, np.uint8, "r")
-        n = 1 << bits
-        places = raw[: 8 * (n + 1)].view("<u8").tolist()
-        self.shards = [Shard(raw[a:b]) if b > a else None for a, b in zip(places, places[1:])]
-
-    def lookup(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs sorted by the first word: its count, its back-off weight and the pair's own probability."""
-        count, backoff, own = np.zeros(len(first), np.int64), np.ones(len(first)), np.zeros(len(first))
-        cuts = np.searchsorted(first >> np.uint64(64 - self.bits), np.arange(len(self.shards) + 1, dtype=np.uint64))
-        mask = np.uint64((1 << (64 - self.bits)) - 1)
-        for shard, a, b in zip(self.shards, cuts, cuts[1:]):
-            if shard is None or a == b:
-                continue
-            new = np.r_[True, first[a + 1 : b] != first[a : b - 1]]
-            place = shard.words.find(first[a:b][new] & mask)[np.cumsum(new) - 1]
-            known = np.flatnonzero(place >= 0)
-            at = place[known]
-            count[a + known], backoff[a + known] = shard.counts[at], shard.backoff[at]
-            hit = shard.after(at, second[a:b][known] & _FP)
-            seen = hit >= 0
-            own[a + known[seen]] = 10.0 ** (-shard.codes[hit[seen]].astype(float) / STEPS)
-        return count, backoff, own
+    """The shards of a folder; they are opened when they are first asked, and at most `keep` of them stay open."""
+
+    def __init__(self, uri: str, bits: int, hot: dict[int, int], keep: int = 1 << 30):
+        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.bits, self.hot, self.keep, self.open = bits, hot, keep, OrderedDict()
+
+    def shard(self, k: int) -> Shard | None:
+        if k not in self.open:
+            at = f"{self.path}/{k}.trie"
+            if self.fs.get_file_info(at).type != pafs.FileType.File:
+                made = None
+            elif isinstance(self.fs, pafs.LocalFileSystem):
+                made = Shard(np.memmap(at, np.uint8, "r"))
+            else:
+                with self.fs.open_input_file(at) as f:
+                    made = Shard(np.frombuffer(f.read(), np.uint8))
+            self.open[k] = made
+            if len(self.open) > self.keep:
+                self.open.popitem(last=False)
+        self.open.move_to_end(k)
+        return self.open[k]
+
+    def _each(self, shard: np.ndarray, v: np.ndarray):
+        """Shards and the rows that ask them, sorted by v within each."""
+        order = np.lexsort((v, shard))
+        at = _runs(shard[order])
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+            found = self.shard(int(shard[order[a]]))
+            if found is not None:
+                yield found, order[a:b]
+
+    def lookup(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        """Per triple: the count of v, and the weights a, b of p(w|uv) = a + b * p(w)."""
+        count, backoff, own = np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))
+        backoff3, own3 = np.ones(len(v)), np.zeros(len(v))
+        for shard, rows in self._each(homes(v, self.bits), v):
+            count[rows], backoff[rows], own[rows] = shard.pairs(v[rows], w[rows])
+            if not self.hot:
+                backoff3[rows], own3[rows] = shard.contexts_of(u[rows], v[rows], w[rows])
+        if self.hot:
+            for shard, rows in self._each(shards_of(u, v, self.bits, self.hot), v):
+                backoff3[rows], own3[rows] = shard.contexts_of(u[rows], v[rows], w[rows])
+        return count, own3 + backoff3 * own, backoff3 * backoff
 
 
 @lru_cache(maxsize=1)
-def _trie(name: str, bits: int) -> Trie:
-    return Trie(SparkFiles.get(name), bits)
+def _trie(uri: str, bits: int, hot: tuple) -> Trie:
+    return Trie(uri, bits, dict(hot))
 
 
-def _count_pairs(rows: DataFrame, bits: int) -> DataFrame:
-    """Packed distinct pairs of the training rows by shard: (shard, blob)."""
+def _count(rows: DataFrame, bits: int, hot: dict[int, int]) -> DataFrame:
+    """Packed distinct triples of the training rows by shard, and packed pairs of hot words by home: (shard, pairs, blob)."""
 
     def run(batches):
         held, size = [], 0
 
         def sent():
-            first, second = _pairs(held)
-            first, fp, count = _folded(first, second & _FP, None)
-            shard = (first >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            got = [(k, _blob(first[a:b], fp[a:b], count[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            u, v, w = triples(held)
+            shard = shards_of(u, v, bits, hot)
+            v, u, w, count = _folded(v, u >> _DROP, w >> _DROP, None)
+            got = []
+            # a hot word's shard needs the whole hash of u, so the triples of hot words are folded by shard
+            is_hot = np.isin(v, np.array(list(hot), np.uint64)) if hot else np.zeros(len(v), bool)
+            plain = np.flatnonzero(~is_hot)
+            cuts = np.searchsorted(homes(v[plain], bits), np.arange((1 << bits) + 1))
+            got += [(k, False, _blob(*(x[plain[a:b]] for x in (v, u, w, count)))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            if is_hot.any():
+                hu, hv, hw = triples(held)
+                mine = np.flatnonzero(np.isin(hv, np.array(list(hot), np.uint64)))
+                for k in np.unique(shard[mine]).tolist():
+                    own = mine[shard[mine] == k]
+                    got.append((k, False, _blob(*_folded(hv[own], hu[own] >> _DROP, hw[own] >> _DROP, None))))
+                zero = np.zeros(len(mine), np.uint64)
+                pv, pu, pw, pc = _folded(hv[mine], zero, hw[mine] >> _DROP, None)
+                home = homes(pv, bits)
+                got += [(k, True, _blob(*(x[home == k] for x in (pv, pu, pw, pc)))) for k in np.unique(home).tolist()]
             for k in range(0, len(got), 32):
-                part = got[k : k + 32]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int32()), pa.array([y for _, y in part], pa.binary())], ["shard", "blob"])
+                cols = list(zip(*got[k : k + 32]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()))], ["shard", "pairs", "blob"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(word_hashes(text))
                 size += len(held[-1])
-                if size >= FOLD_PAIRS:
+                if size >= FOLD_TOKENS:
                     yield from sent()
                     held, size = [], 0
         if held:
             yield from sent()
 
-    return rows.mapInArrow(run, "shard int, blob binary")
+    return rows.mapInArrow(run, "shard int, pairs boolean, blob binary")
+
+
+def hot_words(rows: DataFrame, bits: int) -> dict[int, int]:
+    """Hashes of words whose share of the tokens of every 64th text is that of HOT_SHARDS shards or more, with the shards for their
+    triples. Only words of one share each can be so frequent, so the result is bounded by the number of shards."""
+    some = rows.where(F.pmod(F.xxhash64("_text"), F.lit(64)) == 0)
+    words = some.select(F.explode(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    total = words.count()
+    out = {}
+    for r in words.groupBy("w").count().where(F.col("count") >= HOT_SHARDS * total / (1 << bits)).collect():
+        parts = min(HOT_SPLIT, 1 << bits, round(r["count"] / total * (1 << bits)))
+        if parts > 1:
+            out[int(word_hashes(r["w"])[0])] = parts
+    return out
 
 
 def score_documents(
-    df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, held: int = 1, least: int = LEAST,
-    discount: float = DISCOUNT, model_bytes: int = MODEL_BYTES,
+    df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, held: int = 1, discount: float = DISCOUNT, model_bytes: int = MODEL_BYTES,
+    shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
     """For each row: key, held_out (its fold is `held`), n_tokens, n_known, train_tokens, base_score (unigrams) and score (the
     trie's log10 probability). The model learns from rows that are not held out."""
     spark = df.sparkSession
     space = Workspace(spark, "ngrams")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     rows = df.select(F.col(key).alias("_id"), (fold(F.col(key), parts) == held).alias("_held"), F.col(text).cast("string").alias("_text"))
     chars = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    bits = max(6, (chars // SHARD_CHARS).bit_length())
+    bits = max(4, (chars // shard_chars).bit_length())
+    train = rows.where("not _held").select("_text")
+    hot = hot_words(train, bits)
+    uri = space.folder("trie")
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
-        levels = _levels(list(shard["blob"]), least, discount)
-        words = levels["words"]
-        real = words != START
-        raw = _serialised(levels, bits)
+        k, pairs = int(shard["shard"].iloc[0]), shard["pairs"].to_numpy()
+        blobs = [_unblob(x) for x in shard["blob"]]
+        raw = levels([b for b, p in zip(blobs, pairs) if not p], [b for b, p in zip(blobs, pairs) if p], list(hot), discount)
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path, recursive=True)
+        new = f"{path}/{k}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(new) as out:  # a task that runs twice writes the same bytes
+            out.write(raw)
+        fs.move(new, f"{path}/{k}.trie")
+        made = Shard(np.frombuffer(raw, np.uint8))
+        words, counts = made.words.access(np.arange(made.words.n)), made.counts.astype(np.int64)
+        real = (words != START) & (counts > 0)
         return pd.DataFrame({
-            "shard": [int(shard["shard"].iloc[0])], "raw": [raw], "size": [len(raw)], "n_types": [int(real.sum())],
-            "n_tokens": [int(levels["counts"][real].sum())], "n_texts": [int(levels["counts"][~real].sum())],
+            "size": [len(raw)], "n_types": [int(real.sum())], "n_tokens": [int(counts[real].sum())], "n_texts": [int(counts[words == START].sum())],
         })
 
-    blobs = _count_pairs(rows.where("not _held").select("_text"), bits)
-    built = blobs.groupBy("shard").applyInPandas(build, "shard int, raw binary, size long, n_types long, n_tokens long, n_texts long")
-    shards = space.save("shards", built)
-    size, types, tokens, texts = (x or 0 for x in shards.agg(F.sum("size"), F.sum("n_types"), F.sum("n_tokens"), F.sum("n_texts")).first())
-    # the end mark never comes first in a pair: it is counted by the texts
+    built = _count(train, bits, hot).groupBy("shard").applyInPandas(build, "size long, n_types long, n_tokens long, n_texts long")
+    built = space.save("sizes", built)
+    size, types, tokens, texts = (x or 0 for x in built.agg(*map(F.sum, ("size", "n_types", "n_tokens", "n_texts"))).first())
+    # the end mark is never a middle word: it is counted by the texts
     total, vocabulary = tokens + texts, types + int(texts > 0)
     norm = float(np.log10(total + 0.5 * (vocabulary + 1)))
-    args = (bits, texts, norm)
-    scored = _by_map(rows, shards, *args) if size <= model_bytes else _by_joins(space, rows, shards, *args)
+    args = (uri, bits, tuple(sorted(hot.items())), texts, norm)
+    scored = _by_map(rows, *args) if size <= model_bytes else _by_shards(space, rows, *args)
     return scored.select(
         F.col("_id").alias(key), F.col("_held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
 
 
-def _by_map(rows: DataFrame, shards: DataFrame, bits: int, texts: int, norm: float) -> DataFrame:
-    """Scores with the whole trie mapped by every worker."""
-    spark = rows.sparkSession
-    name = f"trie-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, name)
-    found = {}
-    with open(path, "wb") as out:  # shards come one by one; only their bytes pass through the driver
-        out.write(b"\0" * 8 * ((1 << bits) + 1))
-        for r in shards.select("shard", "raw").toLocalIterator():
-            found[r["shard"]] = (out.tell(), len(r["raw"]))
-            out.write(r["raw"])
-        end = out.tell()
-    _reorder(path, found, bits, end)
-    spark.sparkContext.addFile(path)
+def _by_map(rows: DataFrame, uri: str, bits: int, hot: tuple, texts: int, norm: float) -> DataFrame:
+    """Scores with the whole trie open in every worker."""
+    names = ["_id", "_held", "n_tokens", "n_known", "base_score", "score"]
+
+    def scored(hashes: list[np.ndarray], trie: Trie):
+        u, v, w = triples(hashes)
+        count, a, b = trie.lookup(u, v, w)
+        # the count of a token is that of the middle word it is next; the last token of a text is the end mark
+        starts = np.cumsum([0, *map(len, hashes)])
+        c = np.empty(len(w), np.int64)
+        c[:-1] = count[1:]
+        c[starts[1:] - 1] = texts
+        unigram = np.log10(c + 0.5) - norm
+        cut = starts[:-1]
+        sums = (np.add.reduceat(x, cut) for x in ((c > 0).astype(np.int64), unigram, np.log10(a + b * 10.0**unigram)))
+        return (np.diff(starts), *sums)
 
     def run(batches):
-        trie = _trie(name, bits)
+        trie = _trie(uri, bits, hot)
         for batch in batches:
-            hashes = [word_hashes(t) for t in batch.column(2).to_pylist()]
-            first, second = _pairs(hashes)
-            order = np.lexsort((second, first))
-            f, s = first[order], second[order]
-            new = np.r_[True, (f[1:] != f[:-1]) | (s[1:] != s[:-1])] if len(f) else np.zeros(0, bool)
-            count, backoff, own = trie.lookup(f[new], s[new])
-            which = np.empty(len(order), np.int64)
-            which[order] = np.cumsum(new) - 1
-            # the count of a token is that of the pair it comes first in; the last token of a text is the end mark
-            starts = np.cumsum([0, *map(len, hashes)])
-            c = np.empty(len(first), np.int64)
-            c[:-1] = count[which[1:]]
-            c[starts[1:] - 1] = texts
-            unigram = np.log10(c + 0.5) - norm
-            p = own[which] + backoff[which] * 10.0**unigram
-            cut = starts[:-1]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(np.diff(starts), pa.int64()),
-                pa.array(np.add.reduceat((c > 0).astype(np.int64), cut), pa.int64()), pa.array(np.add.reduceat(unigram, cut)),
-                pa.array(np.add.reduceat(np.log10(p), cut)),
-            ], names=["_id", "_held", "n_tokens", "n_known", "base_score", "score"]) if len(hashes) else pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]],
-                names=["_id", "_held", "n_tokens", "n_known", "base_score", "score"],
-            )
+            out, held, size = [], [], 0
+            for text in batch.column(2).to_pylist():
+                held.append(word_hashes(text))
+                size += len(held[-1])
+                if size >= SCORE_TOKENS:
+                    out.append(scored(held, trie))
+                    held, size = [], 0
+            if held:
+                out.append(scored(held, trie))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=names)
 
     kind = dict(rows.dtypes)["_id"]
     return rows.mapInArrow(run, f"_id {kind}, _held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def _reorder(path: str, found: dict[int, tuple[int, int]], bits: int, end: int) -> None:
-    """Puts the shards in order behind the directory."""
-    places, at = [], 8 * ((1 << bits) + 1)
-    with open(path, "rb") as old, open(f"{path}.new", "wb") as new:
-        new.write(b"\0" * at)
-        for k in range(1 << bits):
-            places.append(at)
-            if k in found:
-                old.seek(found[k][0])
-                new.write(old.read(found[k][1]))
-                at += found[k][1]
-        places.append(at)
-        new.seek(0)
-        new.write(np.array(places, "<u8").tobytes())
-    os.replace(f"{path}.new", path)
-
-
-def _by_joins(space: Workspace, rows: DataFrame, shards: DataFrame, bits: int, texts: int, norm: float) -> DataFrame:
-    """The same scores with the texts' pairs joined to the trie's entries; nothing but counts passes the driver."""
+def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, hot: tuple, texts: int, norm: float) -> DataFrame:
+    """The same scores with the texts' distinct triples dealt by shard, so that a task opens its own shards one after the other."""
     own = space.save("numbered", rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = min(1 << bits, 4096)
 
     def split(batches):
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, second = _pairs([word_hashes(text)])
-                f, s, n = _folded(first, second, None)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), row)), pa.array(f.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n)], ["_row", "f", "s", "n"])
-
-    def entries(batches):
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard = Shard(np.frombuffer(raw, np.uint8))
-                at = np.arange(shard.words.n)
-                words = (shard.words.access(at) | (np.uint64(k) << np.uint64(64 - bits))).view(np.int64)
-                ends = shard.pointers.access(np.arange(shard.words.n + 1)).astype(np.int64)
-                owner = np.repeat(words, np.diff(ends))
-                none = pa.nulls(len(words), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(words), none, pa.array(shard.counts.astype(np.int64)), pa.array(shard.backoff.astype(float))], ["w", "fp", "c", "x"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(owner), pa.array(_from_five(shard.successors).astype(np.int64)), pa.array(np.zeros(len(owner), np.int64)),
-                    pa.array(10.0 ** (-shard.codes.astype(float) / STEPS)),
-                ], ["w", "fp", "c", "x"])
-
-    pairs = own.select("_row", "_text").mapInArrow(split, "_row long, f long, s long, n long")
-    table = space.save("entries", shards.select("shard", "raw").mapInArrow(entries, "w long, fp long, c long, x double"))
-    words = table.where("fp is null").select("w", "c", F.col("x").alias("backoff"))
-    kept = table.where("fp is not null").select(F.col("w").alias("f"), "fp", F.col("x").alias("own"))
-    pairs = pairs.withColumn("fp", F.col("s").bitwiseAND(F.lit((1 << 40) - 1)))
-    pairs = pairs.join(words.select(F.col("w").alias("f"), "backoff"), "f", "left").join(kept, ["f", "fp"], "left")
-    pairs = pairs.join(words.select(F.col("w").alias("s"), "c"), "s", "left")
-    c = F.when(F.col("s") == END, F.lit(texts)).otherwise(F.coalesce("c", F.lit(0)))
+                u, v, w = triples([word_hashes(text)])
+                v, u, w, n = _folded(v, u, w, None)
+                cols = (np.full(len(v), row), homes(v, bits), shards_of(u, v, bits, dict(hot)), *(x.view(np.int64) for x in (u, v, w)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["_row", "home", "shard", "u", "v", "w", "n"])
+
+    def asked(ask, extra):
+        def run(batches):
+            trie = Trie(uri, bits, dict(hot), keep=4)
+            for batch in batches:
+                cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+                got = ask(trie, *(cols[n].view(np.uint64) for n in ("u", "v", "w")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, got)], [*batch.schema.names, *extra])
+
+        return run
+
+    def pairs(trie, u, v, w):
+        out = [np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))]
+        for shard, at in trie._each(homes(v, bits), v):
+            for x, y in zip(out, shard.pairs(v[at], w[at])):
+                x[at] = y
+        return out
+
+    def contexts(trie, u, v, w):
+        out = [np.ones(len(v)), np.zeros(len(v))]
+        for shard, at in trie._each(shards_of(u, v, bits, dict(hot)), v):
+            for x, y in zip(out, shard.contexts_of(u[at], v[at], w[at])):
+                x[at] = y
+        return out
+
+    kinds = "_row long, home long, shard long, u long, v long, w long, n long"
+    table = own.select("_row", "_text").mapInArrow(split, kinds)
+    # a shard's rows come in order; a hot one is salted over tasks, each of which reads its file
+    dealt = lambda df, by: df.repartition(parts, by, F.pmod("_row", F.lit(16))).sortWithinPartitions(by)
+    table = dealt(table, "home").mapInArrow(asked(pairs, ["c", "b2", "own2"]), f"{kinds}, c long, b2 double, own2 double")
+    table = dealt(table, "shard").mapInArrow(asked(contexts, ["b3", "own3"]), f"{kinds}, c long, b2 double, own2 double, b3 double, own3 double")
+    table = space.save("asked", table.select("_row", "v", "w", "n", "c", (F.col("own3") + F.col("b3") * F.col("own2")).alias("a"), (F.col("b3") * F.col("b2")).alias("b")))
+    # the count of a token other than the end mark is on its own row as a middle word of the same text
+    middle = table.select("_row", F.col("v").alias("w"), F.col("c").alias("cw")).distinct()
+    table = table.join(middle, ["_row", "w"], "left")
+    c = F.when(F.col("w") == END, F.lit(texts)).otherwise(F.coalesce("cw", F.lit(0)))
     unigram = F.log10(c + 0.5) - F.lit(norm)
-    p = F.coalesce("own", F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.pow(F.lit(10.0), unigram)
-    sums = pairs.select("_row", "n", (c > 0).cast("long").alias("k"), unigram.alias("u"), F.log10(p).alias("l")).groupBy("_row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("k")).alias("n_known"), F.sum(F.col("n") * F.col("u")).alias("base_score"),
+    p = F.col("a") + F.col("b") * F.pow(F.lit(10.0), unigram)
+    sums = table.select("_row", "n", (c > 0).cast("long").alias("k"), unigram.alias("x"), F.log10(p).alias("l")).groupBy("_row").agg(
+        F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("k")).alias("n_known"), F.sum(F.col("n") * F.col("x")).alias("base_score"),
         F.sum(F.col("n") * F.col("l")).alias("score"),
     )
     return own.drop("_text").join(sums, "_row")
