@@ -239,7 +239,7 @@ def test_ngram_empty_and_long(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 10), (1, 1), (50, 60), (500, 1 << 40)):
+    for n, top in ((0, 10), (1, 1), (50, 60), (500, 1 << 40), (500, 1 << 20), (3000, 4000), (2000, 1 << 33)):
         values = np.unique(rng.integers(0, top, n, dtype=np.uint64))
         ef = ngrams.EliasFano.build(values, top)
         assert (ef.access(np.arange(len(values))) == values).all()

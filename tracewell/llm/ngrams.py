@@ -21,7 +21,8 @@ read them); above, the triples of the texts are dealt by shard, so that a task o
 
 Edge cases: null and empty texts are one end mark; without training texts every count is 0 and all scores follow from the formulas;
 very long texts are read whole; repeated rows score equally; null ids count for fold 0; extra columns are not read. Words are told apart by 64
-bits, pairs and triples by 40 bits of their other words.
+bits, pairs and triples by 32 bits of their other words (40 in corpora of SMALL_CHARS characters or more): of a word with n
+successors one in 2**32 / n unseen words is taken for one of them.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ STEPS = 30
 #: Bytes of the trie up to which workers map all of it.
 MODEL_BYTES = 1 << 30
 #: Tokens that a task holds before it folds and sends them, and tokens scored at a time.
-FOLD_TOKENS, SCORE_TOKENS = 2_000_000, 800_000
+FOLD_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
 #: Characters of the corpus for each shard.
 SHARD_CHARS = 8_000_000
 #: A word is hot from this share of a shard's fair part of the tokens; at most HOT_SPLIT shards hold its triples.
@@ -57,7 +58,8 @@ HOT_SHARDS, HOT_SPLIT = 2.0, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes of the marks; words that hash to them are moved by two.
 START, END = 1, 2
-_DROP = np.uint64(24)  # a fingerprint is the upper 40 bits of a hash
+#: Bits of the fingerprints in pairs and triples, the upper bits of a word's hash: fewer up to a corpus of SMALL_CHARS characters.
+FINGERPRINTS, SMALL_CHARS = (32, 40), 1 << 37
 _pack, _unpack = zstd.ZstdCompressor(level=1), zstd.ZstdDecompressor()
 
 
@@ -100,6 +102,15 @@ def shards_of(u: np.ndarray, v: np.ndarray, bits: int, hot: dict[int, int]) -> n
     return at
 
 
+def local(v: np.ndarray, shard: int, bits: int, hot: np.ndarray) -> np.ndarray:
+    """Keys of words within a shard: their lower bits at home; the words that are hot elsewhere come behind, numbered. hot: sorted."""
+    rest = np.uint64(64 - bits)
+    own = v & ((np.uint64(1) << rest) - np.uint64(1))
+    if not len(hot):
+        return own
+    return np.where((v >> rest) == np.uint64(shard), own, (np.uint64(1) << rest) + np.searchsorted(hot, v).astype(np.uint64))
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Places where a new run of equal keys begins, in sorted columns."""
     if not len(keys[0]):
@@ -111,6 +122,15 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _grouped(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that goes up in the upper half of v and puts equal triples, and most equal contexts, next to each other, by one sort; and the places of
+    its runs of equal triples. Triples whose keys collide may make a run twice, which costs a lookup and changes nothing."""
+    mixed = lambda x: x * np.uint64(0x9E3779B97F4A7C15)
+    key = ((v >> np.uint64(36)) << np.uint64(36)) | ((mixed(u) >> np.uint64(44)) << np.uint64(16)) | (mixed(w) >> np.uint64(48))
+    order = np.argsort(key)
+    return order, _runs(v[order], u[order], w[order])
+
+
 def _folded(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray | None):
     """Distinct (v, u, w) in order, with the sums of their counts."""
     order = np.lexsort((w, u, v))
@@ -120,7 +140,7 @@ def _folded(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray | Non
     return v[at], u[at], w[at], count
 
 
-def _lows(values: np.ndarray, width: int) -> np.ndarray:
+def _cut(values: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
@@ -130,60 +150,85 @@ def _wide(raw: np.ndarray, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blob(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
+def _blob(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, fp: int) -> bytes:
     """Sorted triples, packed: each word and each context once."""
     words, contexts = _runs(v), _runs(v, u)
     parts = [
         v[words].astype("<u8").tobytes(), _pack.compress(np.diff(np.r_[words, len(v)]).astype("<u4").tobytes()),
-        _lows(u[contexts], 5).tobytes(), _pack.compress(np.diff(np.r_[contexts, len(v)]).astype("<u4").tobytes()),
-        _lows(w, 5).tobytes(), _pack.compress(count.astype("<u4").tobytes()),
+        _cut(u[contexts], fp // 8).tobytes(), _pack.compress(np.diff(np.r_[contexts, len(v)]).astype("<u4").tobytes()),
+        _cut(w, fp // 8).tobytes(), _pack.compress(count.astype("<u4").tobytes()),
     ]
     return np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
 
 
-def _unblob(raw: bytes):
+def _unblob(raw: bytes, fp: int):
     sizes, at, parts = np.frombuffer(raw, "<u8", 6), 48, []
     for n in sizes.tolist():
         parts.append(raw[at : at + n])
         at += n
     ints = lambda k: np.frombuffer(_unpack.decompress(parts[k]), "<u4").astype(np.int64)
-    five = lambda k: _wide(np.frombuffer(parts[k], np.uint8).reshape(-1, 5), 5)
-    return np.repeat(np.frombuffer(parts[0], "<u8"), ints(1)), np.repeat(five(2), ints(3)), five(4), ints(5)
+    cut = lambda k: _wide(np.frombuffer(parts[k], np.uint8).reshape(-1, fp // 8), fp // 8)
+    return np.repeat(np.frombuffer(parts[0], "<u8"), ints(1)), np.repeat(cut(2), ints(3)), cut(4), ints(5)
+
+
+#: For each byte and rank the place of its set bit of that rank (8 if it has fewer).
+_IN_BYTE = np.array([[([b for b in range(8) if x >> b & 1] + [8] * 8)[r] for r in range(8)] for x in range(256)], np.uint8).ravel()
 
 
 class EliasFano:
-    """A monotone sequence: low bytes as they are, upper parts as gaps in a bit vector with a directory of its words."""
+    """A monotone sequence: low bytes as they are, upper parts as gaps in a bit vector with a directory of its words. Low parts of five bytes stand as four and
+    one, so that searches read whole numbers."""
+
+    WIDTHS = (0, 1, 2, 4, 5)
 
-    def __init__(self, low: np.ndarray, words: np.ndarray, ones: np.ndarray, n: int, width: int):
-        self.low, self.words, self.ones, self.n, self.width = low, words, ones, n, width
+    def __init__(self, low: np.ndarray, last: np.ndarray, words: np.ndarray, ones: np.ndarray, n: int, width: int):
+        self.low, self.last, self.words, self.ones, self.n, self.width = low, last, words, ones, n, width
+        self.bits, self.cut = np.uint64(8 * width), np.uint64((1 << (8 * width)) - 1)
+
+    @staticmethod
+    def kind(width: int) -> str:
+        return {0: "u1", 1: "u1", 2: "<u2", 4: "<u4", 5: "<u4"}[width]
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         """universe: an upper bound of the values. The width of the low parts is the one that takes least space."""
         n = len(values)
-        width = min(range(8), key=lambda b: 8 * b * n + 1.1 * (n + (universe >> (8 * b))))
+        width = min(cls.WIDTHS, key=lambda b: 8 * b * n + 1.1 * (n + (universe >> (8 * b))))
         values = values.astype("<u8")
         high = values >> np.uint64(8 * width)
         bits = np.zeros((n + (universe >> (8 * width)) + 2 + 63) // 64 * 64, np.uint8)
         bits[high.astype(np.int64) + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.uint32)].astype("<u4")
-        return cls(_lows(values, width), words, ones, n, width)
+        main = values >> np.uint64(8) if width == 5 else values
+        low = (main & np.uint64((1 << (8 * min(width, 4))) - 1)).astype(cls.kind(width)) if width else np.zeros(0, np.uint8)
+        return cls(low, values.astype(np.uint8) if width == 5 else np.zeros(0, np.uint8), words, ones, n, width)
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         """Place of the bit with a rank (from 0) among ones or zeros."""
         counts = self.ones if one else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(counts, rank, side="right") - 1
-        bits = np.unpackbits(np.ascontiguousarray(self.words[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        run = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.uint8)
-        return word * 64 + (run == (rank - counts[word] + 1)[:, None]).argmax(1)
+        bits = self.words[word]
+        raw = (bits if one else ~bits).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(raw), axis=1, dtype=np.uint8)
+        left = (rank - counts[word]).astype(np.uint8)
+        byte = (upto <= left[:, None]).sum(1, dtype=np.int64)
+        rows = np.arange(len(word))
+        left -= np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0).astype(np.uint8)
+        return word * 64 + byte * 8 + _IN_BYTE[raw[rows, byte].astype(np.int64) * 8 + left]
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        out = self.low[at].astype(np.uint64)
+        return (out << np.uint64(8)) | self.last[at] if self.width == 5 else out
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """Values at places."""
         if not len(at):
             return np.zeros(0, np.uint64)
         high = self._select(at, True) - at
-        return (high.astype(np.uint64) << np.uint64(8 * self.width)) | _wide(self.low[at], self.width)
+        return (high.astype(np.uint64) << self.bits) | self._lows(at)
 
     def _starts(self, high: np.ndarray) -> np.ndarray:
         """The first place whose upper part is at least `high`."""
@@ -192,10 +237,23 @@ class EliasFano:
         out[later] = self._select(high[later] - 1, False) - (high[later] - 1)
         return out
 
+    def _lengths(self, high: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """How many values from their starts have an upper part: the ones from there to the next zero, in a window of 64 bits, else by a select."""
+        bit = start + high
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        after = np.where(word + 1 < len(self.words), self.words[np.minimum(word + 1, len(self.words) - 1)], np.uint64(0))
+        window = (self.words[word] >> shift) | np.where(shift > 0, after << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        rest = ~window
+        out = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        full = np.flatnonzero(rest == 0)
+        if len(full):
+            out[full] = self._starts(high[full] + 1) - start[full]
+        return out
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Places of values, or -1."""
         out = np.full(len(values), -1)
-        high, low = values >> np.uint64(8 * self.width), values & np.uint64((1 << (8 * self.width)) - 1)
+        high = values >> self.bits
         top = len(self.words) * 64 - self.n - 1
         live = np.flatnonzero(high < np.uint64(max(top, 0))) if self.n else np.zeros(0, np.int64)
         if not len(live):
@@ -203,19 +261,50 @@ class EliasFano:
         # equal upper parts share one select
         first = _runs(high[live])
         own, times = high[live][first].astype(np.int64), np.diff(np.r_[first, len(live)])
-        start, stop = np.repeat(self._starts(own), times), np.repeat(self._starts(own + 1), times)
-        low = low[live]
-        while len(live):  # binary search in the low parts of one upper part
-            open_ = start < stop
-            live, low, start, stop = live[open_], low[open_], start[open_], stop[open_]
-            mid = (start + stop) // 2
-            there = _wide(self.low[mid], self.width)
-            hit = there == low
-            out[live[hit]] = mid[hit]
-            start, stop = np.where(there < low, mid + 1, start), np.where(there < low, stop, mid)
-            live, low, start, stop = live[~hit], low[~hit], start[~hit], stop[~hit]
+        head = self._starts(own)
+        sizes = self._lengths(own, head)
+        start, stop = np.repeat(head, times), np.repeat(head + sizes, times)
+        low = values[live] & self.cut
+        if not self.width:
+            out[live] = np.where(start < stop, start, -1)
+            return out
+        main = (low >> np.uint64(8)).astype("<u4") if self.width == 5 else low.astype(self.low.dtype)
+        # long ranges that many values share are searched one by one, the others together
+        ends = first + times
+        long = np.flatnonzero((sizes >= 256) & (times >= 16))
+        at, rest = start.copy(), np.ones(len(live), bool)
+        for k in long.tolist():
+            a, b, lo = int(first[k]), int(ends[k]), int(head[k])
+            at[a:b] = lo + np.searchsorted(self.low[lo : lo + int(sizes[k])], main[a:b])
+            rest[a:b] = False
+        rest = np.flatnonzero(rest & (start < stop))
+        at[rest] = self._lower_bound(main[rest], start[rest], stop[rest])
+        while len(live):  # low parts that agree in the first four bytes are walked
+            same = (at < stop) & (self.low[np.minimum(at, self.n - 1)] == main)
+            hit = same if self.width < 5 else same & (self.last[np.minimum(at, self.n - 1)] == low.astype(np.uint8))
+            out[live[hit]] = at[hit]
+            if self.width < 5:
+                break
+            more = same & ~hit
+            live, at, stop, main, low = live[more], at[more] + 1, stop[more], main[more], low[more]
         return out
 
+    def _lower_bound(self, wanted: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The first place of each range whose low part is not below the wanted one."""
+        at, size = start.copy(), stop - start
+        rows = np.arange(len(at))
+        now, left, key = at, size, wanted
+        while len(rows):
+            half = (left + 1) >> 1
+            less = self.low[now + half - 1] < key
+            now = np.where(less, now + half, now)
+            left = np.where(less, left - half, half - 1)
+            at[rows] = now
+            live = left > 0
+            if not live.all():
+                rows, now, left, key = rows[live], now[live], left[live], key[live]
+        return at
+
 
 def _code(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, 255).astype(np.uint8)
@@ -224,45 +313,52 @@ def _code(p: np.ndarray) -> np.ndarray:
 _VALUES = 10.0 ** (-np.arange(256) / STEPS)
 
 
-def levels(triple_parts: list[tuple], pair_parts: list[tuple], hot: list[int], discount: float) -> bytes:
+def levels(triple_parts: list[tuple], pair_parts: list[tuple], shard: int, bits: int, fp: int, hot: np.ndarray, discount: float) -> bytes:
     """A shard's file, from its triples (v, u, w, count) and the pairs (v, 0, w, count) of hot words that it is the home of. Elsewhere a hot
     word has no counts: its successors there only number the triples."""
     cat = lambda parts, k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64 if k == 3 else np.uint64)
-    v, u, w, c = _folded(*(cat(triple_parts, k) for k in range(4)))
-    pv, _, pw, pc = _folded(*(np.concatenate([a, b]) for a, b in ((v, cat(pair_parts, 0)), (np.zeros(len(v), np.uint64), cat(pair_parts, 1)),
-                                                                   (w, cat(pair_parts, 2)), (np.where(np.isin(v, np.array(hot, np.uint64)), 0, c), cat(pair_parts, 3)))))
-    at = _runs(pv)
-    words = pv[at]
-    n_after = np.diff(np.r_[at, len(pv)])
-    totals = np.add.reduceat(pc, at) if len(at) else np.zeros(0, np.int64)
-    kinds = np.add.reduceat((pc > 0).astype(np.int64), at) if len(at) else totals
-    owner = np.repeat(np.arange(len(at)), n_after)
+    hashes, parts_v = cat(triple_parts, 0), cat(pair_parts, 0)
+    v, u, w, c = _folded(local(hashes, shard, bits, hot), *(cat(triple_parts, k) for k in (1, 2, 3)))
+    hot_keys = local(hot, shard, bits, hot)
+    # the distinct pairs: those of the triples and those that were sent as such
+    pv, pw, pc = local(parts_v, shard, bits, hot), cat(pair_parts, 2), cat(pair_parts, 3)
+    own_words = v[_runs(v)]
+    words = np.union1d(own_words, pv) if len(pv) else own_words
+    vi = np.repeat(np.searchsorted(words, own_words), np.diff(np.r_[_runs(v), len(v)]))
+    keys = np.concatenate([_joint(vi, w, fp), _joint(np.searchsorted(words, pv), pw, fp)])
+    counts = np.concatenate([np.where(np.isin(v, hot_keys), 0, c) if len(hot) else c, pc])
+    turn = np.argsort(keys)
+    first = _runs(keys[turn])
+    pairs, pc = keys[turn][first], np.add.reduceat(counts[turn], first) if len(first) else counts
+    pair_of = np.empty(len(keys), np.int64)
+    pair_of[turn] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+    pair_of = pair_of[: len(v)]
+    owner = (pairs >> np.uint64(fp)).astype(np.int64)
+    n_after = np.bincount(owner, minlength=len(words))
+    at = np.r_[0, np.cumsum(n_after)[:-1]] if len(words) else np.zeros(0, np.int64)
+    # a hot word has no counts but at home
+    totals = np.bincount(owner, pc, len(words)).astype(np.int64)
+    kinds = np.bincount(owner, pc > 0, len(words))
     own2 = (pc - discount) / np.maximum(totals[owner], 1)
     # contexts and triples, by the place of their word
     ctx = _runs(v, u)
-    cv, cu = np.searchsorted(words, v[ctx]), u[ctx]
+    cv, cu = vi[ctx], u[ctx]
     size = np.diff(np.r_[ctx, len(v)])
     total3 = np.add.reduceat(c, ctx) if len(ctx) else np.zeros(0, np.int64)
     which = np.repeat(np.arange(len(ctx)), size)
     n_before = np.bincount(cv, minlength=len(words))
     inner = np.arange(len(ctx)) - np.repeat(np.r_[0, np.cumsum(n_before)[:-1]], n_before) if len(ctx) else np.zeros(0, np.int64)
-    # the rank of w among the successors of v: both lists are in order of (v, w)
-    turn = np.lexsort((w, v))
-    first = _runs(v[turn], w[turn])
-    pair_of = np.empty(len(v), np.int64)
-    known = np.searchsorted(_joint(owner, pw), _joint(np.searchsorted(words, v[turn][first]), w[turn][first]))
-    pair_of[turn] = np.repeat(known, np.diff(np.r_[first, len(v)]))
     rank = pair_of - at[cv[which]] if len(v) else np.zeros(0, np.int64)
     base = np.r_[0, np.cumsum(n_before * n_after)]
     key3 = base[cv[which]] + inner[which] * n_after[cv[which]] + rank if len(v) else np.zeros(0, np.int64)
     n = len(words)
     efs = [
-        EliasFano.build(words, (1 << 64) - 1), EliasFano.build(_joint(owner, pw), n << 40), EliasFano.build(_joint(cv, cu), n << 40),
+        EliasFano.build(words, (1 << (64 - bits)) + len(hot)), EliasFano.build(pairs, n << fp), EliasFano.build(_joint(cv, cu, fp), n << fp),
         EliasFano.build(key3.astype(np.uint64), int(base[-1])),
-        EliasFano.build(np.r_[0, np.cumsum(n_after)].astype(np.uint64), len(pv)), EliasFano.build(np.r_[0, np.cumsum(n_before)].astype(np.uint64), len(ctx)),
+        EliasFano.build(np.r_[0, np.cumsum(n_after)].astype(np.uint64), len(pairs)), EliasFano.build(np.r_[0, np.cumsum(n_before)].astype(np.uint64), len(ctx)),
         EliasFano.build(base.astype(np.uint64), int(base[-1])),
     ]
-    parts = [x for ef in efs for x in (ef.low, ef.words, ef.ones)] + [
+    parts = [x for ef in efs for x in (ef.low, ef.last, ef.words, ef.ones)] + [
         totals.astype("<u8"), np.minimum(1.0, discount * kinds / np.maximum(totals, 1)).astype("<f4"), np.where(pc > 0, _code(own2), 255).astype(np.uint8),
         _code(discount * size / np.maximum(total3, 1)), _code((c - discount) / np.maximum(total3[which], 1)),
     ]
@@ -275,17 +371,23 @@ def levels(triple_parts: list[tuple], pair_parts: list[tuple], hot: list[int], d
     return np.array(head, "<u8").tobytes() + b"".join(out)
 
 
-def _joint(owner: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Keys of a level: the parent's place, then 40 bits of the word."""
-    return (owner.astype(np.uint64) << np.uint64(40)) | fp
+def _print(x: np.ndarray, fp: int) -> np.ndarray:
+    """Fingerprints of hashes."""
+    return x >> np.uint64(64 - fp)
+
+
+def _joint(owner: np.ndarray, x: np.ndarray, fp: int) -> np.ndarray:
+    """Keys of a level: the parent's place, then the fingerprint of the word."""
+    return (owner.astype(np.uint64) << np.uint64(fp)) | x
 
 
 class Shard:
     """A shard read from mapped bytes."""
 
-    EFS, ARRAYS = 7, 26
+    EFS, ARRAYS = 7, 33
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, number: int, bits: int, fp: int, hot: np.ndarray):
+        self.number, self.bits, self.fp, self.hot = number, bits, fp, hot
         n = 2 * self.EFS + self.ARRAYS
         head = raw[: 8 * n].view("<u8").tolist()
         at, parts = 8 * n, []
@@ -293,60 +395,62 @@ class Shard:
             parts.append(raw[at : at + size])
             at += size + (-size % 8)
         make = lambda k: EliasFano(
-            parts[3 * k].reshape(head[2 * k], head[2 * k + 1]), parts[3 * k + 1].view("<u8"), parts[3 * k + 2].view("<u4"), head[2 * k], head[2 * k + 1]
+            parts[4 * k].view(EliasFano.kind(head[2 * k + 1])), parts[4 * k + 1], parts[4 * k + 2].view("<u8"), parts[4 * k + 3].view("<u4"), head[2 * k], head[2 * k + 1]
         )
         self.words, self.successors, self.contexts, self.triples, self.after, self.before, self.base = map(make, range(self.EFS))
-        rest = parts[3 * self.EFS :]
+        rest = parts[4 * self.EFS :]
         self.counts, self.backoff2, self.own2, self.backoff3, self.own3 = rest[0].view("<u8"), rest[1].view("<f4"), *rest[2:]
 
     def pairs(self, v: np.ndarray, w: np.ndarray):
-        """For pairs sorted by v: the count of v, its back-off weight and the pair's own probability."""
+        """For pairs in runs of v: the place of v and of the pair, the count of v, its back-off weight and the pair's own probability."""
         place = self._places(v)
-        count, backoff, own = np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))
+        count, backoff, own, hit = np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v)), np.full(len(v), -1)
         ok = np.flatnonzero(place >= 0)
-        count[ok] = self.counts[place[ok]]
-        some = ok[count[ok] > 0]
-        backoff[some] = self.backoff2[place[some]]
-        hit = self.successors.find(_joint(place[some], w[some] >> _DROP))
-        seen = hit >= 0
+        at = place[ok]
+        count[ok] = self.counts[at]
+        backoff[ok] = np.where(count[ok] > 0, self.backoff2[at], 1.0)
+        hit[ok] = self.successors.find(_joint(at, _print(w[ok], self.fp), self.fp))
+        seen = np.flatnonzero(hit >= 0)
         codes = self.own2[hit[seen]]
-        own[some[seen]] = np.where(codes < 255, _VALUES[codes], 0.0)
-        return count, backoff, own
+        own[seen] = np.where(codes < 255, _VALUES[codes], 0.0)
+        return place, hit, count, backoff, own
 
-    def contexts_of(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        """For triples sorted by v: the back-off weight of (u, v) and the triple's own probability."""
-        place = self._places(v)
+    def contexts_of(self, u: np.ndarray, v: np.ndarray, place: np.ndarray, hit: np.ndarray):
+        """For triples in runs of v and u, with the places of v and of (v, w): the back-off weight of (u, v) and the triple's own probability."""
         backoff, own = np.ones(len(v)), np.zeros(len(v))
-        ok = np.flatnonzero(place >= 0)
-        ctx = self.contexts.find(_joint(place[ok], u[ok] >> _DROP))
-        ok, ctx = ok[ctx >= 0], ctx[ctx >= 0]
-        backoff[ok] = _VALUES[self.backoff3[ctx]]
-        next_ = self.successors.find(_joint(place[ok], w[ok] >> _DROP))
-        ok, ctx, next_ = ok[next_ >= 0], ctx[next_ >= 0], next_[next_ >= 0]
+        new = _runs(v, u)
+        ctx = np.full(len(new), -1)
+        ok = np.flatnonzero(place[new] >= 0)
+        ctx[ok] = self.contexts.find(_joint(place[new][ok], _print(u[new][ok], self.fp), self.fp))
+        ctx = np.repeat(ctx, np.diff(np.r_[new, len(v)]))
+        ok = np.flatnonzero(ctx >= 0)
+        backoff[ok] = _VALUES[self.backoff3[ctx[ok]]]
+        ok = np.flatnonzero((ctx >= 0) & (hit >= 0))
         if not len(ok):
             return backoff, own
         new = _runs(place[ok])
         words, back = place[ok][new], np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(ok)]))
         after = self.after.access(np.r_[words, words + 1]).astype(np.int64)
         start, fan = after[: len(words)], after[len(words) :] - after[: len(words)]
-        inner = ctx - self.before.access(words).astype(np.int64)[back]
-        key = self.base.access(words).astype(np.int64)[back] + inner * fan[back] + (next_ - start[back])
-        hit = self.triples.find(key.astype(np.uint64))
-        own[ok[hit >= 0]] = _VALUES[self.own3[hit[hit >= 0]]]
+        inner = ctx[ok] - self.before.access(words).astype(np.int64)[back]
+        key = self.base.access(words).astype(np.int64)[back] + inner * fan[back] + (hit[ok] - start[back])
+        found = self.triples.find(key.astype(np.uint64))
+        own[ok[found >= 0]] = _VALUES[self.own3[found[found >= 0]]]
         return backoff, own
 
     def _places(self, v: np.ndarray):
         new = _runs(v)
-        found = self.words.find(v[new])
+        found = self.words.find(local(v[new], self.number, self.bits, self.hot))
         return np.repeat(found, np.diff(np.r_[new, len(v)]))
 
 
 class Trie:
     """The shards of a folder; they are opened when they are first asked, and at most `keep` of them stay open."""
 
-    def __init__(self, uri: str, bits: int, hot: dict[int, int], keep: int = 1 << 30):
+    def __init__(self, uri: str, bits: int, fp: int, hot: dict[int, int], keep: int = 1 << 30):
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
-        self.bits, self.hot, self.keep, self.open = bits, hot, keep, OrderedDict()
+        self.bits, self.fp, self.hot, self.keep, self.open = bits, fp, hot, keep, OrderedDict()
+        self.words = np.array(sorted(hot), np.uint64)
 
     def shard(self, k: int) -> Shard | None:
         if k not in self.open:
@@ -354,45 +458,71 @@ class Trie:
             if self.fs.get_file_info(at).type != pafs.FileType.File:
                 made = None
             elif isinstance(self.fs, pafs.LocalFileSystem):
-                made = Shard(np.memmap(at, np.uint8, "r"))
+                made = Shard(np.asarray(np.memmap(at, np.uint8, "r")), k, self.bits, self.fp, self.words)
             else:
                 with self.fs.open_input_file(at) as f:
-                    made = Shard(np.frombuffer(f.read(), np.uint8))
+                    made = Shard(np.frombuffer(f.read(), np.uint8), k, self.bits, self.fp, self.words)
             self.open[k] = made
             if len(self.open) > self.keep:
                 self.open.popitem(last=False)
         self.open.move_to_end(k)
         return self.open[k]
 
-    def _each(self, shard: np.ndarray, v: np.ndarray):
-        """Shards and the rows that ask them, sorted by v within each."""
-        order = np.lexsort((v, shard))
+    def _each(self, shard: np.ndarray):
+        """Shards and the rows that ask them; rows of a shard keep their order."""
+        if len(shard) and (shard[1:] < shard[:-1]).any():
+            order = np.argsort(shard, kind="stable")
+        else:
+            order = np.arange(len(shard))
         at = _runs(shard[order])
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
             found = self.shard(int(shard[order[a]]))
             if found is not None:
                 yield found, order[a:b]
 
+    def pair_values(self, u, v, w):
+        """Per triple in runs of v: the count of v, its back-off weight and the pair's own probability."""
+        return self._values(homes(v, self.bits), u, v, w, True, False)[:3]
+
+    def context_values(self, u, v, w):
+        """Per triple in runs of v and u: the back-off weight of (u, v) and the triple's own probability."""
+        return self._values(shards_of(u, v, self.bits, self.hot), u, v, w, False, True)[3:]
+
+    def _values(self, shard, u, v, w, pairs: bool, contexts: bool):
+        out = [np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v)), np.ones(len(v)), np.zeros(len(v))]
+        for found, rows in self._each(shard):
+            place, hit, *got = found.pairs(v[rows], w[rows])
+            if pairs:
+                for x, y in zip(out, got):
+                    x[rows] = y
+            if contexts:
+                for x, y in zip(out[3:], found.contexts_of(u[rows], v[rows], place, hit)):
+                    x[rows] = y
+        return out
+
     def lookup(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        """Per triple: the count of v, and the weights a, b of p(w|uv) = a + b * p(w)."""
-        count, backoff, own = np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))
-        backoff3, own3 = np.ones(len(v)), np.zeros(len(v))
-        for shard, rows in self._each(homes(v, self.bits), v):
-            count[rows], backoff[rows], own[rows] = shard.pairs(v[rows], w[rows])
-            if not self.hot:
-                backoff3[rows], own3[rows] = shard.contexts_of(u[rows], v[rows], w[rows])
+        """Per triple: the count of v, and the weights a, b of p(w|uv) = a + b * p(w). Equal triples are looked up once."""
+        order, at = _grouped(v, u, w)
+        u1, v1, w1 = (x[order[at]] for x in (u, v, w))
+        home = homes(v1, self.bits)
+        count, back, own, back3, own3 = self._values(home, u1, v1, w1, True, not self.hot)
         if self.hot:
-            for shard, rows in self._each(shards_of(u, v, self.bits, self.hot), v):
-                backoff3[rows], own3[rows] = shard.contexts_of(u[rows], v[rows], w[rows])
-        return count, own3 + backoff3 * own, backoff3 * backoff
+            back3, own3 = self.context_values(u1, v1, w1)
+        times = np.diff(np.r_[at, len(order)])
+        out = []
+        for x in (count, own3 + back3 * own, back3 * back):
+            y = np.empty(len(v), x.dtype)
+            y[order] = np.repeat(x, times)
+            out.append(y)
+        return out
 
 
 @lru_cache(maxsize=1)
-def _trie(uri: str, bits: int, hot: tuple) -> Trie:
-    return Trie(uri, bits, dict(hot))
+def _trie(uri: str, bits: int, fp: int, hot: tuple) -> Trie:
+    return Trie(uri, bits, fp, dict(hot))
 
 
-def _count(rows: DataFrame, bits: int, hot: dict[int, int]) -> DataFrame:
+def _count(rows: DataFrame, bits: int, fp: int, hot: dict[int, int]) -> DataFrame:
     """Packed distinct triples of the training rows by shard, and packed pairs of hot words by home: (shard, pairs, blob)."""
 
     def run(batches):
@@ -400,24 +530,19 @@ def _count(rows: DataFrame, bits: int, hot: dict[int, int]) -> DataFrame:
 
         def sent():
             u, v, w = triples(held)
-            shard = shards_of(u, v, bits, hot)
-            v, u, w, count = _folded(v, u >> _DROP, w >> _DROP, None)
-            got = []
-            # a hot word's shard needs the whole hash of u, so the triples of hot words are folded by shard
-            is_hot = np.isin(v, np.array(list(hot), np.uint64)) if hot else np.zeros(len(v), bool)
-            plain = np.flatnonzero(~is_hot)
-            cuts = np.searchsorted(homes(v[plain], bits), np.arange((1 << bits) + 1))
-            got += [(k, False, _blob(*(x[plain[a:b]] for x in (v, u, w, count)))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            if is_hot.any():
-                hu, hv, hw = triples(held)
-                mine = np.flatnonzero(np.isin(hv, np.array(list(hot), np.uint64)))
-                for k in np.unique(shard[mine]).tolist():
-                    own = mine[shard[mine] == k]
-                    got.append((k, False, _blob(*_folded(hv[own], hu[own] >> _DROP, hw[own] >> _DROP, None))))
-                zero = np.zeros(len(mine), np.uint64)
-                pv, pu, pw, pc = _folded(hv[mine], zero, hw[mine] >> _DROP, None)
-                home = homes(pv, bits)
-                got += [(k, True, _blob(*(x[home == k] for x in (pv, pu, pw, pc)))) for k in np.unique(home).tolist()]
+            order, at = _grouped(v, u, w)
+            u, v, w, count = u[order[at]], v[order[at]], w[order[at]], np.diff(np.r_[at, len(order)])
+            shard, got = shards_of(u, v, bits, hot), []
+            if hot:  # pairs of hot words go to their homes, their triples where the word before sends them
+                mine = np.flatnonzero(np.isin(v, np.array(list(hot), np.uint64)))
+                own = _folded(v[mine], np.zeros(len(mine), np.uint64), _print(w[mine], fp), count[mine])
+                home = homes(own[0], bits)
+                got += [(k, True, _blob(*(x[home == k] for x in own), fp)) for k in np.unique(home).tolist()]
+                turn = np.argsort(shard, kind="stable")
+                u, v, w, count, shard = u[turn], v[turn], w[turn], count[turn], shard[turn]
+            u, w = _print(u, fp), _print(w, fp)
+            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            got += [(k, False, _blob(v[a:b], u[a:b], w[a:b], count[a:b], fp)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             for k in range(0, len(got), 32):
                 cols = list(zip(*got[k : k + 32]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()))], ["shard", "pairs", "blob"])
@@ -462,32 +587,33 @@ def score_documents(
     bits = max(4, (chars // shard_chars).bit_length())
     train = rows.where("not _held").select("_text")
     hot = hot_words(train, bits)
-    uri = space.folder("trie")
+    uri, fp = space.folder("trie"), FINGERPRINTS[chars >= SMALL_CHARS]
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         k, pairs = int(shard["shard"].iloc[0]), shard["pairs"].to_numpy()
-        blobs = [_unblob(x) for x in shard["blob"]]
-        raw = levels([b for b, p in zip(blobs, pairs) if not p], [b for b, p in zip(blobs, pairs) if p], list(hot), discount)
+        blobs = [_unblob(x, fp) for x in shard["blob"]]
+        raw = levels([b for b, p in zip(blobs, pairs) if not p], [b for b, p in zip(blobs, pairs) if p], k, bits, fp, np.array(sorted(hot), np.uint64), discount)
         fs, path = pafs.FileSystem.from_uri(uri)
         fs.create_dir(path, recursive=True)
         new = f"{path}/{k}.{uuid.uuid4().hex}"
         with fs.open_output_stream(new) as out:  # a task that runs twice writes the same bytes
             out.write(raw)
         fs.move(new, f"{path}/{k}.trie")
-        made = Shard(np.frombuffer(raw, np.uint8))
-        words, counts = made.words.access(np.arange(made.words.n)), made.counts.astype(np.int64)
-        real = (words != START) & (counts > 0)
+        made = Shard(np.frombuffer(raw, np.uint8), k, bits, fp, np.array(sorted(hot), np.uint64))
+        counts = made.counts.astype(np.int64)
+        start = made.words.access(np.arange(made.words.n)) == START if k == 0 else np.zeros(len(counts), bool)
+        real = (counts > 0) & ~start
         return pd.DataFrame({
-            "size": [len(raw)], "n_types": [int(real.sum())], "n_tokens": [int(counts[real].sum())], "n_texts": [int(counts[words == START].sum())],
+            "size": [len(raw)], "n_types": [int(real.sum())], "n_tokens": [int(counts[real].sum())], "n_texts": [int(counts[start].sum())],
         })
 
-    built = _count(train, bits, hot).groupBy("shard").applyInPandas(build, "size long, n_types long, n_tokens long, n_texts long")
+    built = _count(train, bits, fp, hot).groupBy("shard").applyInPandas(build, "size long, n_types long, n_tokens long, n_texts long")
     built = space.save("sizes", built)
     size, types, tokens, texts = (x or 0 for x in built.agg(*map(F.sum, ("size", "n_types", "n_tokens", "n_texts"))).first())
     # the end mark is never a middle word: it is counted by the texts
     total, vocabulary = tokens + texts, types + int(texts > 0)
     norm = float(np.log10(total + 0.5 * (vocabulary + 1)))
-    args = (uri, bits, tuple(sorted(hot.items())), texts, norm)
+    args = (uri, bits, fp, tuple(sorted(hot.items())), texts, norm)
     scored = _by_map(rows, *args) if size <= model_bytes else _by_shards(space, rows, *args)
     return scored.select(
         F.col("_id").alias(key), F.col("_held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
@@ -495,7 +621,7 @@ def score_documents(
     )
 
 
-def _by_map(rows: DataFrame, uri: str, bits: int, hot: tuple, texts: int, norm: float) -> DataFrame:
+def _by_map(rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: int, norm: float) -> DataFrame:
     """Scores with the whole trie open in every worker."""
     names = ["_id", "_held", "n_tokens", "n_known", "base_score", "score"]
 
@@ -513,26 +639,39 @@ def _by_map(rows: DataFrame, uri: str, bits: int, hot: tuple, texts: int, norm:
         return (np.diff(starts), *sums)
 
     def run(batches):
-        trie = _trie(uri, bits, hot)
+        trie, waiting, size = _trie(uri, bits, fp, hot), [], 0
+
+        def done():
+            hashes = [h for _, own in waiting for h in own]
+            cuts, total = [0], 0
+            for k, h in enumerate(hashes):  # at most SCORE_TOKENS at a time, or one text
+                total += len(h)
+                if total >= SCORE_TOKENS:
+                    cuts.append(k + 1)
+                    total = 0
+            cuts = [*cuts, len(hashes)]
+            parts = [scored(hashes[a:b], trie) for a, b in zip(cuts, cuts[1:]) if b > a]
+            cols = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 4
+            at = 0
+            for batch, own in waiting:
+                ends = [pa.array(x[at : at + len(own)], t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                at += len(own)
+                yield pa.RecordBatch.from_arrays([*batch, *ends], names=names)
+
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column(2).to_pylist():
-                held.append(word_hashes(text))
-                size += len(held[-1])
-                if size >= SCORE_TOKENS:
-                    out.append(scored(held, trie))
-                    held, size = [], 0
-            if held:
-                out.append(scored(held, trie))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=names)
+            hashes = [word_hashes(t) for t in batch.column(2).to_pylist()]
+            waiting.append(((batch.column(0), batch.column(1)), hashes))
+            size += sum(map(len, hashes))
+            if size >= SCORE_TOKENS:
+                yield from done()
+                waiting, size = [], 0
+        yield from done()
 
     kind = dict(rows.dtypes)["_id"]
     return rows.mapInArrow(run, f"_id {kind}, _held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, hot: tuple, texts: int, norm: float) -> DataFrame:
+def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: int, norm: float) -> DataFrame:
     """The same scores with the texts' distinct triples dealt by shard, so that a task opens its own shards one after the other."""
     own = space.save("numbered", rows.withColumn("_row", F.monotonically_increasing_id()))
     parts = min(1 << bits, 4096)
@@ -547,7 +686,7 @@ def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, hot: tupl
 
     def asked(ask, extra):
         def run(batches):
-            trie = Trie(uri, bits, dict(hot), keep=4)
+            trie = Trie(uri, bits, fp, dict(hot), keep=4)
             for batch in batches:
                 cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
                 got = ask(trie, *(cols[n].view(np.uint64) for n in ("u", "v", "w")))
@@ -555,26 +694,12 @@ def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, hot: tupl
 
         return run
 
-    def pairs(trie, u, v, w):
-        out = [np.zeros(len(v), np.int64), np.ones(len(v)), np.zeros(len(v))]
-        for shard, at in trie._each(homes(v, bits), v):
-            for x, y in zip(out, shard.pairs(v[at], w[at])):
-                x[at] = y
-        return out
-
-    def contexts(trie, u, v, w):
-        out = [np.ones(len(v)), np.zeros(len(v))]
-        for shard, at in trie._each(shards_of(u, v, bits, dict(hot)), v):
-            for x, y in zip(out, shard.contexts_of(u[at], v[at], w[at])):
-                x[at] = y
-        return out
-
     kinds = "_row long, home long, shard long, u long, v long, w long, n long"
     table = own.select("_row", "_text").mapInArrow(split, kinds)
     # a shard's rows come in order; a hot one is salted over tasks, each of which reads its file
-    dealt = lambda df, by: df.repartition(parts, by, F.pmod("_row", F.lit(16))).sortWithinPartitions(by)
-    table = dealt(table, "home").mapInArrow(asked(pairs, ["c", "b2", "own2"]), f"{kinds}, c long, b2 double, own2 double")
-    table = dealt(table, "shard").mapInArrow(asked(contexts, ["b3", "own3"]), f"{kinds}, c long, b2 double, own2 double, b3 double, own3 double")
+    dealt = lambda df, by: df.repartition(parts, by, F.pmod("_row", F.lit(16))).sortWithinPartitions(by, "v", "u")
+    table = dealt(table, "home").mapInArrow(asked(Trie.pair_values, ["c", "b2", "own2"]), f"{kinds}, c long, b2 double, own2 double")
+    table = dealt(table, "shard").mapInArrow(asked(Trie.context_values, ["b3", "own3"]), f"{kinds}, c long, b2 double, own2 double, b3 double, own3 double")
     table = space.save("asked", table.select("_row", "v", "w", "n", "c", (F.col("own3") + F.col("b3") * F.col("own2")).alias("a"), (F.col("b3") * F.col("b2")).alias("b")))
     # the count of a token other than the end mark is on its own row as a middle word of the same text
     middle = table.select("_row", F.col("v").alias("w"), F.col("c").alias("cw")).distinct()
