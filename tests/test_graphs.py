@@ -65,10 +65,5 @@ def test_path_folds(spark):
 def test_text_folds(spark):
     one = spark.createDataFrame([("ENTITY1 and ENTITY12", {"ENTITY1": "a", "ENTITY12": "b"})], "t string, m map<string,string>")
     assert one.select(T.restore(F.col("t"), F.col("m"))).first()[0] == "a and b"
-    lines = spark.createDataFrame([(["A long line", "goes on.", "- item.", "", "Next " + "x" * 300 + "."],)], "l array<string>")
-    assert [len(x) for x in lines.select(T.glued(F.col("l"))).first()[0]] == [28, 306]
-    labels = spark.createDataFrame([("the FILE3 there", "DATA"), ("ENTITY4", "DATA"), ("my documents", "DATA"), ("HKLM\\x", "DIRECTORY")], "p string, l string")
-    got = [r[0] for r in labels.select(T.guarded_data_label(F.col("p"), T.placeholder_label(F.col("p"), F.col("l")))).collect()]
-    assert got == ["FILE", "DATA", "OTHER", "OTHER"]
     raw = spark.createDataFrame([("a\\nb- c\n\n\nd ",)], "t string")
     assert raw.select(T.unescaped(F.col("t"))).first()[0] == "a\nbc\nd"

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import paths, voting
+from tracewell.operators import voting
 from tracewell.sources import reports
 
 
@@ -39,13 +39,6 @@ def test_majority_abstains_on_ties(spark):
     assert got == {1: "OTHER", 2: "A"}
 
 
-def test_lookback(spark):
-    rows = [([("T1", 0, False), ("T1", 2, False), ("T1", 9, False), ("T2", 10, True), ("T2", 11, False)],)]
-    df = spark.createDataFrame(rows, "p array<struct<id:string,place:int,sub:boolean>>")
-    kept = df.select(paths.lookback(F.col("p")).alias("k")).first().k
-    assert [(x.id, x.place) for x in kept] == [("T1", 0), ("T1", 9), ("T2", 10)]
-
-
 def test_reports(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
     (tmp_path / "b.txt").write_text("  ")

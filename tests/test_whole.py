@@ -20,14 +20,14 @@ def test_all_pairs_meet_whatever_their_label(spark, tmp_path):
     got = sorted(tuple(r) for r in similarity.all_cosine(df, "vec_id", "embedding", 0.3, rows=7).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
     df.write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert registry.QUERIES["phrase_cosine_all"](spark, str(tmp_path)).count() == len(want)
+    assert registry.QUERIES["phrase_cosine"](spark, str(tmp_path)).count() == len(want)
 
 
 def test_candidate_product_keeps_what_the_search_keeps(spark, tmp_path):
     sizes = {"a": 5, "b": 31, "c": 4}
     events = [(100 * i + k, 1, e) for i, (e, n) in enumerate(sizes.items()) for k in range(n)] + [(1000 + k, 2, e) for e in "abcd" for k in range(13)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    got = registry.QUERIES["candidate_product_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["candidate_product"](spark, str(tmp_path)).collect()
     want = itertools.product(range(5), range(100, 130), range(200, 204))
     assert [tuple(r.picks) for r in sorted(got, key=lambda r: r.tuple) if r.user_id == 1] == list(want)
     assert sum(r.user_id == 2 for r in got) == 20_000

@@ -1,4 +1,7 @@
-"""Row-wise text rewrites and quality measures, as Column expressions that stay in code generation."""
+"""Row-wise text rewrites and quality measures, as Column expressions that stay in code generation.
+
+Edge cases: null texts stay null (measures of them are null); empty texts stay empty and have no words; very long texts are read whole; rows are
+independent, so repeated ones get equal results; no expression reads another column."""
 
 from __future__ import annotations
 
@@ -18,14 +21,17 @@ def substitute(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def substitute_any_case(text: Column, terms: Iterable[str], by: str) -> Column:
     """Replaces terms in any case, longest first, then collapses repeats of the replacement."""
-    out = reduce(lambda t, x: F.regexp_replace(t, f"(?i){x}", by), sorted(terms, key=lambda x: (-len(x), x)), text)
+    out = reduce(lambda t, x: F.regexp_replace(t, rf"(?iu)\Q{x}\E", by), sorted(terms, key=lambda x: (-len(x), x)), text)
     return F.regexp_replace(F.regexp_replace(out, rf"{by} \({by}\)", by), f"{by} {by}", by)
 
 
-def straighten(text: Column) -> Column:
-    """Curly quotes, dashes and ellipses as ASCII; marks without width go."""
-    out = F.translate(text, "‘’“”–—", "''\"\"--")
-    return F.regexp_replace(F.replace(out, F.lit("…"), F.lit("...")), "[‮﻿]", "")
+#: Typographic marks and what they become.
+MARKS = [("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2013", "-"), ("\u2014", "-"), ("\u2026", "..."), ("\uf09f", " "), ("\u202e", ""), ("\ufeff", "")]
+
+
+def straighten(text: Column, marks: Iterable[tuple[str, str]] = MARKS) -> Column:
+    """Marks replaced in order; the default ones make quotes, dashes and ellipses ASCII and drop what has no width."""
+    return substitute(text, marks)
 
 
 def ascii_only(text: Column) -> Column:
@@ -47,8 +53,9 @@ def flat(text: Column) -> Column:
     return F.trim(F.replace(F.regexp_replace(text, "[\n\t\r]+", " "), F.lit("  "), F.lit(" ")))
 
 
-def without_citations(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[[0-9]{1,5}\]", "")
+def without_citations(text: Column, pattern: str = r"\[[0-9]{1,5}\]") -> Column:
+    """Citations as a space, double spaces once, trimmed."""
+    return F.trim(F.replace(F.regexp_replace(text, pattern, " "), F.lit("  "), F.lit(" ")))
 
 
 def has_word(text: Column, word: str) -> Column:
@@ -77,23 +84,28 @@ def quality(text: Column) -> dict[str, Column]:
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (length of a + length of b), by a fold over both strings."""
+    """2 * LCS / (length of a + length of b). One row of the table a character of a: cells that meet an equal character come from the row before at once,
+    and the running maximum over the row is taken in blocks, so that no array is copied a cell."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    y, n = chars(b), F.length(b)
 
     def row(before: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(1).alias("j"))
+        # a cell is the greatest of the cell above and of all matches up to it, each one more than the cell above and left of it
+        met = F.transform(y, lambda c, j: F.when(c == x, F.get(before, j) + 1).otherwise(F.get(before, j + 1)))
+        start = F.struct(F.lit(0).alias("top"), F.array(F.lit(0)).alias("row"))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / 16).cast("int"), F.lit(0))), lambda k: F.slice(met, k * 16 + 1, F.lit(16)))
 
-        def cell(acc: Column, y: Column) -> Column:
-            up, left, corner = F.get(before, acc["j"]), F.get(acc["row"], acc["j"] - 1), F.get(before, acc["j"] - 1)
-            best = F.when(x == y, corner + 1).otherwise(F.greatest(up, left))
-            return F.struct(F.concat(acc["row"], F.array(best)).alias("row"), (acc["j"] + 1).alias("j"))
+        def block(acc: Column, part: Column) -> Column:
+            inner = F.aggregate(part, F.struct(acc["top"].alias("top"), F.array().cast("array<int>").alias("cells")),
+                                lambda s, v: F.struct(F.greatest(s["top"], v).alias("top"), F.concat(s["cells"], F.array(F.greatest(s["top"], v))).alias("cells")))
+            return F.get(F.transform(F.array(inner), lambda i: F.struct(i["top"].alias("top"), F.concat(acc["row"], i["cells"]).alias("row"))), F.lit(0))
 
-        return F.aggregate(chars(b), start, cell, lambda acc: acc["row"])
+        return F.aggregate(blocks, start, block, lambda acc: acc["row"])
 
-    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+    first = F.transform(F.sequence(F.lit(0), n), lambda _: F.lit(0))
     lcs = F.element_at(F.aggregate(chars(a), first, row), -1)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs / total)
+    total = F.length(a) + n
+    return F.when(total == 0, F.lit(1.0)).when((F.length(a) == 0) | (n == 0), F.lit(0.0)).otherwise(2.0 * lcs / total)
 
 
 def restore(text: Column, replaced: Column) -> Column:
@@ -102,9 +114,18 @@ def restore(text: Column, replaced: Column) -> Column:
     return F.aggregate(longest, text, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
-def phrase_rank(phrase: Column, vague: Iterable[str]) -> Column:
-    """4 for vague words, 1 for phrases with a capital letter, else 2."""
-    return F.when(F.lower(phrase).isin(list(vague)), 4).when(phrase.rlike("[A-Z]"), 1).otherwise(2)
+#: Words that say nothing about what is meant.
+VAGUE = ["any", "anyone", "anything", "anywhere", "that", "this", "these", "those"]
+
+
+def phrase_rank(phrase: Column, vague: Iterable[str] = VAGUE, tokens: Column | None = None) -> Column:
+    """4 for vague words and for a single pronoun, 1 for phrases with a proper noun or a capital letter, else 2. tokens: the phrase's parsed tokens."""
+    low = F.lower(phrase).isin(list(vague))
+    proper = phrase.rlike(r"\p{Lu}")
+    if tokens is not None:
+        low = low | ((F.size(tokens) == 1) & (F.get(tokens, F.lit(0))["pos"] == "PRON"))
+        proper = proper | F.exists(tokens, lambda t: t["pos"] == "PROPN")
+    return F.when(low, 4).when(proper, 1).otherwise(2)
 
 
 def unescaped(text: Column) -> Column:
@@ -120,30 +141,3 @@ def good_line(line: Column) -> Column:
     q = quality(line)
     prose = (F.length(line) > 64) & (2 * q["n_capitalised"] < q["n_words"]) & (2 * q["n_letters"] >= F.length(line))
     return line.endswith(":") | (prose & (2 * q["n_single"] < q["n_words"]))
-
-
-def glued(lines: Column, small: int = 256) -> Column:
-    """An array of lines as blocks, by one fold: a bullet joins the block before it, so does what follows a block without a final stop, and blocks
-    under `small` characters."""
-
-    def step(blocks: Column, line: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        joins = line.rlike("^[-*\u2022]") | ~last.rlike("[.!?:]$") | (F.length(line) < small)
-        joined = F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, line)))
-        return F.when((F.size(blocks) > 0) & joins, joined).otherwise(F.concat(blocks, F.array(line)))
-
-    return F.aggregate(F.filter(lines, lambda x: F.trim(x) != ""), F.array().cast("array<string>"), step)
-
-
-def placeholder_label(phrase: Column, label: Column) -> Column:
-    """The label that a placeholder word in a phrase names (<LABEL>n), else the given one."""
-    named = F.regexp_extract(phrase, r"(?:^| )([A-Z]+)[0-9]+(?: |$)", 1)
-    return F.when((named != "") & (named != "ENTITY"), named).otherwise(label)
-
-
-def guarded_data_label(phrase: Column, label: Column) -> Column:
-    """DATA does not hold for phrases that end in a file, attachment, document or item, nor DIRECTORY for registry hives and executables."""
-    low = F.lower(phrase)
-    no_data = (label == "DATA") & low.rlike("(file|attachment|document|item)s?$")
-    no_directory = (label == "DIRECTORY") & (low.rlike(r"^hk(lm|cu|cr|u|cc|ey_)") | low.endswith(".exe"))
-    return F.when(no_data | no_directory, "OTHER").otherwise(label)

@@ -1,4 +1,8 @@
-"""Graph alignment scores: node and edge similarity, bounded candidate products and the winner's spanning rule."""
+"""Graph alignment scores: node and edge similarity, bounded candidate products and the winner's spanning rule.
+
+Edge cases: nodes without labels share nothing and are never only one label; null contexts give a null similarity; a procedure no node of which has a
+candidate is not scored; nodes without candidates stay unmatched; repeated candidates are candidates each; equal scores go by the rules named at
+align(); empty tables give empty results; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -15,14 +19,15 @@ MOST_CANDIDATES, MOST_TUPLES = 30, 20_000
 
 
 def _sole(labels: Column, name: str) -> Column:
-    return (F.size(labels) == 1) & (labels[0] == name)
+    return (F.size(labels) == 1) & F.coalesce(F.get(labels, F.lit(0)) == name, F.lit(False))
 
 
-def node_similarity(left: Column, right: Column, context: Column, left_pronoun: Column, right_pronoun: Column, strict: bool = False) -> Column:
-    """Similarity of two nodes by their label arrays and the cosine of their phrases (0 to 1)."""
+def node_similarity(left: Column, right: Column, context: Column, left_pronoun: Column, right_pronoun: Column, strict: bool = False, both_malware: Column | None = None) -> Column:  # noqa: E501
+    """Similarity of two nodes by their label arrays and the cosine of their phrases (0 to 1). strict: nodes without a common label have none, and two FUNCTION
+    nodes that both name malware (both_malware) are the same."""
     common = F.array_intersect(left, right)
     none = F.size(common) == 0
-    base = F.when(none | ((F.size(common) == 1) & (common[0] == "OTHER")), F.lit(APART)).otherwise(F.lit(COMMON))
+    base = F.when(none | ((F.size(common) == 1) & (F.get(common, F.lit(0)) == "OTHER")), F.lit(APART)).otherwise(F.lit(COMMON))
     v = base + (1 - base) * context
     either = lambda name: _sole(left, name) | _sole(right, name)
     both = lambda name: _sole(left, name) & _sole(right, name)
@@ -30,8 +35,9 @@ def node_similarity(left: Column, right: Column, context: Column, left_pronoun:
     if strict:
         barred = none
     lifted = both("USER") | both("VULNERABILITY") | both("REGISTRY")
+    same = F.array_contains(left, "FUNCTION") & F.array_contains(right, "FUNCTION") & both_malware if strict and both_malware is not None else F.lit(False)
     out = (
-        F.when(barred, 0.0).when(v > LEAST, v)
+        F.when(barred, 0.0).when(same, 1.0).when(v > LEAST, v)
         .when(both("ACTOR") & ~left_pronoun & ~right_pronoun & (v < 0.95), 0.95)
         .when(lifted & (v > 0.5) & (v < LEAST), v + 0.2).otherwise(v)
     )
@@ -62,10 +68,15 @@ def edge_similarity(source: Column, target: Column, distance: Column, factor: Co
     return F.when(factor.isNull(), e).otherwise(F.least(F.lit(1.0), F.when(((factor < 1) & (e > factor)) | (factor >= 1), mixed).otherwise(e)))
 
 
-def candidate_tuples(nodes: DataFrame, group: str, node: str, candidates: str, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES) -> DataFrame:
+def candidate_tuples(nodes: DataFrame, group: str, node: str, candidates: str, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES, rank: Callable[[Column], Column] | None = None) -> DataFrame:  # noqa: E501
     """(group, tuple, picks): the first `most` combinations of the nodes' candidates (the last node's vary fastest), by a mixed-radix
-    index, so that no product is built. At most `each` candidates a node take part: both limits are the search's own."""
-    ordered = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), F.slice(candidates, 1, each).alias("c")))).alias("ns"))
+    index, so that no product is built. At most `each` candidates a node take part, of more the best by rank (highest first), else the first: both limits are
+    the search's own."""
+    chosen = F.slice(candidates, 1, each)
+    if rank is not None:
+        best = F.array_sort(F.transform(candidates, lambda x, i: F.struct((-rank(x)).alias("r"), i.alias("i"), x.alias("x"))))
+        chosen = F.when(F.size(candidates) > each, F.transform(F.slice(best, 1, each), lambda y: y["x"])).otherwise(F.col(candidates))
+    ordered = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), chosen.alias("c")))).alias("ns"))
     sizes = F.transform("ns", lambda x: F.greatest(F.size(x["c"]), F.lit(1)).cast("long"))
     total = F.aggregate(sizes, F.lit(1).cast("long"), lambda a, s: F.least(a * s, F.lit(most).cast("long")))
     rows = ordered.withColumn("sizes", sizes).select(group, "ns", "sizes", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("tuple"))
@@ -181,7 +192,16 @@ def align(
     return out.select(*key, "score", ats.alias("ats"), F.transform("picks", lambda x: x["c"]["sentence"]).alias("sentences"), F.array_max(ats).alias("location"), F.size("picks").alias("n_good"), "labels")
 
 
-def accepted(aligned: DataFrame, least: float = LEAST) -> DataFrame:
-    """Alignments over the least score, but for those with fewer than two good nodes whose procedures hold only actors and users."""
+#: Words of a conditional or explaining text, as parts of words too.
+CONDITIONS = ["if", "when", "where", "how", "why", "who"]
+
+
+def accepted(aligned: DataFrame, least: float = LEAST, texts: DataFrame | None = None) -> DataFrame:
+    """Alignments over the least score, but for those with fewer than two good nodes whose procedures hold only actors and users, or (texts: (proc, text,
+    n_sentences)) whose procedures are one sentence with a conditional or explaining word."""
+    if texts is not None:
+        said = F.lower("text")
+        told = texts.select("proc", ((F.col("n_sentences") == 1) & said.rlike("|".join(CONDITIONS))).alias("_if"))
+        aligned = aligned.join(told, "proc", "left").where(~(F.coalesce("_if", F.lit(False)) & (F.col("n_good") < 2))).drop("_if")
     actors = (F.size("labels") == 2) & (F.size(F.array_except("labels", F.array(F.lit("ACTOR"), F.lit("USER")))) == 0)
     return aligned.where((F.col("score") > least) & ~((F.col("n_good") < 2) & actors)).drop("labels")

@@ -2,7 +2,10 @@
 
 Input: tokens (keys..., sentence, i, text, lemma, pos, dep, head) with i counted from 0 without gaps in each sentence. A sentence is one row of
 arrays after a single shuffle, and every rule is an expression over that array, so no rule joins tokens with tokens. Sentences are short by
-nature; the size of a document does not matter. Null texts or lemmas count as empty."""
+nature; the size of a document does not matter. Null texts or lemmas count as empty.
+
+Edge cases: a sentence without tokens has no row; tokens with a null head hang on themselves; repeated tokens of one place stand one after the other and
+shift the rest; equal events of a sentence are one; empty tables give no events; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -12,19 +15,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the dependency scheme and of the rules: roles, word classes, negations, prepositions that introduce a means, verbs whose
-#: object acts in their complement, prepositions and participles that say two phrases mean the same.
-SUBJECTS = ["nsubj", "nsubjpass", "csubj", "csubjpass", "expl"]
+#: object acts in their complement, nouns that stand for an act with its verb and usual object.
+SUBJECTS = ["nsubj", "nsubjpass", "csubj", "csubjpass", "agent", "expl"]
 OBJECTS = ["dobj", "dative", "attr", "oprd", "pobj"]
 NOUNS = ["NOUN", "PROPN", "PRON", "X", "NUM"]
 NEGATIONS = ["no", "not", "n't", "never", "none", "without", "neither", "nor"]
 MEANS = ["by", "via", "through", "over", "after", "before"]
 LATER, EARLIER = ["before"], ["by", "via", "through", "after", "once"]
+COMMANDS = [
+    "make", "rely", "command", "ask", "lure", "persuade", "tell", "advice", "entice", "invite", "order", "recommend", "remind", "require", "suggest", "urge",
+    "warn", "beg", "dare", "encourage", "expect", "force", "instruct", "need", "oblige", "permit", "request",
+]
+NOMINAL = {
+    "exfiltration": "exfiltrate", "escalation": "escalate", "execution": "execute", "collection": "collect", "discovery": "discover", "access": "access", "evasion": "bypass",
+}
+USUAL = {
+    "exfiltrate": "information", "escalate": "privilege", "execute": "command", "collect": "data", "discover": "information", "access": "credential", "bypass": "defense",
+}
+ALONE = ["execution", "collection", "discovery", "evasion", "exfiltration", "escalation"]
+HEADS = ["exfiltration", "escalation", "execution", "collection", "discovery"]
+PHRASES = ["credential access", "defense evasion"]
+#: Our own choice: prepositions and participles that say two phrases mean the same, and dependents that belong to a phrase.
 ALIKE, NAMING = ["like", "include", "contain"], ["named", "called"]
 MODIFIERS = ["compound", "amod", "nummod", "nmod"]
-PLACES = ["in", "on", "at", "for", "inside", "of"]
-COMMANDS = ["ask", "allow", "cause", "command", "enable", "force", "instruct", "let", "make", "order", "tell", "use"]
-NOMINAL = {"execution": ("execute", "command"), "collection": ("collect", "data"), "discovery": ("discover", "information"),
-           "exfiltration": ("exfiltrate", "information"), "escalation": ("escalate", "privilege"), "evasion": ("bypass", "defense")}
 ANY = -1
 
 
@@ -144,7 +157,10 @@ def _main(t: Column) -> Column:
 def _complements(t: Column) -> Column:
     """The object of a commanding verb, else its subject, acts in the complement."""
     acting = F.when(F.size(t["objects"]) > 0, t["objects"]).otherwise(_subjects(t))
-    below = F.filter("toks", lambda x: (x["head"] == t["i"]) & (x["i"] > t["i"]) & x["dep"].isin("xcomp", "ccomp", "advcl") & (x["pos"] == "VERB"))
+    direct = F.filter("toks", lambda x: (x["head"] == t["i"]) & (x["i"] > t["i"]) & x["dep"].isin("xcomp", "ccomp", "advcl") & (x["pos"] == "VERB"))
+    under = lambda x: (_at(x["head"])["head"] == t["i"]) & (x["head"] > t["i"]) & (_at(x["head"])["dep"] == "prep") & (_at(x["head"])["pos"] == "ADP")
+    nested = F.filter("toks", lambda x: under(x) & (x["i"] > x["head"]) & (x["dep"] == "pcomp") & (x["pos"] == "VERB"))
+    below = F.when(F.size(direct) > 0, direct).otherwise(nested)
     return F.flatten(F.transform(below, lambda x: _from(x, acting, x["objects"], "complement", t["negated"] | x["negated"])))
 
 
@@ -183,10 +199,17 @@ def _based(t: Column) -> Column:
 
 
 def _nominal(t: Column) -> Column:
-    """Nouns that stand for an act upon their modifiers, or upon a usual object."""
-    said = F.create_map(*(x for n, v in NOMINAL.items() for x in (F.lit(n), F.array(F.lit(v[0]), F.lit(v[1])))))[t["lemma"]]
+    """Nouns that stand for an act: alone upon a usual object, as the head of a phrase of two nouns or more upon the rest of it."""
+    verb = F.create_map(*(F.lit(x) for pair in NOMINAL.items() for x in pair))[t["text"]]
+    usual = F.create_map(*(F.lit(x) for pair in USUAL.items() for x in pair))[verb]
     rest = F.trim(F.regexp_replace(t["np"], "[^ ]+$", ""))
-    return _events(F.array(F.lit(ANY)), F.array(t["i"]), said[0], t["i"], t["negated"], F.lit(0), "nominal", lambda i: F.when(i == ANY, "ANY").when(rest == "", said[1]).otherwise(rest))
+    return _events(F.array(F.lit(ANY)), F.array(t["i"]), verb, t["i"], F.lit(False), F.lit(0), "nominal", lambda i: F.when(i == ANY, "ANY").when(t["np"].isin(ALONE), usual).otherwise(rest))
+
+
+def _names_act(t: Column) -> Column:
+    nouns = F.exists("toks", lambda c: (c["head"] == t["i"]) & (c["i"] < t["i"]) & c["dep"].isin(MODIFIERS) & c["pos"].isin("NOUN", "PROPN", "X", "NUM"))
+    several = nouns & t["pos"].isin("NOUN", "PROPN", "X", "NUM") & (t["text"].isin(HEADS) | t["np"].isin(PHRASES))
+    return t["np"].isin(ALONE) | several
 
 
 def _as(t: Column) -> Column:
@@ -216,7 +239,7 @@ def events(parsed: DataFrame, *keys: str) -> DataFrame:
         _each(lambda t: (t["dep"] == "prep") & ~means(t) & ~((t["lemma"] == "as") & (t["flag"] == 0)), _prepositions),
         _each(lambda t: (t["dep"] == "poss") & t["pos"].isin("NOUN", "PROPN", "X", "NUM"), _possessives),
         _each(lambda t: (t["pos"] == "VERB") & (t["i"] < t["head"]) & t["text"].endswith("based"), _based),
-        _each(lambda t: t["lemma"].isin(list(NOMINAL)) & (t["pos"] == "NOUN"), _nominal),
+        _each(_names_act, _nominal),
         _each(lambda t: (t["dep"] == "prep") & (t["lemma"] == "as") & (t["flag"] == 0), _as),
     ]
     rows = parsed.select(*keys, F.posexplode(F.concat(*rules)).alias("_at", "_e")).select(*keys, "_at", "_e.*")

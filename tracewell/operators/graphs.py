@@ -1,6 +1,9 @@
 """Labelled event graphs: nodes and edges from events, and nodes merged within their documents.
 
-A document's graph is a handful of rows, so merging folds over the arrays of one document; documents are spread over tasks by their key."""
+A document's graph is a handful of rows, so merging folds over the arrays of one document; documents are spread over tasks by their key.
+
+Edge cases: null ends of events make no node; null or empty labels count as unlabelled; repeated events are one edge (the last one's), repeated nodes one
+node; ties go to the smaller node id; empty tables give empty graphs; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ from pyspark.sql import functions as F
 
 #: Ids of a sentence's elements stand below this; a node's id is sentence * SPAN + element.
 SPAN = 1000
-FIRST_PERSON, PRONOUNS = ["I", "we", "We"], ["it", "they"]
+FIRST_PERSON, PRONOUNS = ["I", "we", "We"], ["it", "they", "any"]
+#: Prepositions whose objects carry no verb.
+PLACES = ["in", "on", "at", "for", "inside", "of"]
 
 
 def graph_nodes(events: DataFrame, doc: str, sentence: str) -> DataFrame:
@@ -17,7 +22,7 @@ def graph_nodes(events: DataFrame, doc: str, sentence: str) -> DataFrame:
     mention names the node, verbs come from those it is an object of."""
     end = lambda side, turn: F.struct(
         (F.col(sentence) * SPAN + F.col(f"{side}_id")).alias("node_id"), F.col(side).alias("text"), F.col(f"{side}_label").alias("labels"),
-        F.struct("seq", F.lit(turn).alias("turn")).alias("at"), (F.col("verb") if side == "obj" else F.lit(None).cast("string")).alias("verb"),
+        F.struct("seq", F.lit(turn).alias("turn")).alias("at"), (F.when(~F.col("verb").isin(PLACES), F.col("verb")) if side == "obj" else F.lit(None).cast("string")).alias("verb"),
     )
     ends = events.select(doc, sentence, F.explode(F.array(end("sub", 0), end("obj", 1))).alias("e")).select(doc, sentence, "e.*").where(~F.col("text").isin(FIRST_PERSON))
     first = F.min_by(F.struct("text", "labels"), "at").alias("_f")
@@ -52,12 +57,11 @@ def components(links: DataFrame, doc: str, a: str, b: str) -> DataFrame:
 
 
 def actor_merges(nodes: DataFrame, doc: str, least: int = 3) -> DataFrame:
-    """(doc, node, main): nodes that are only ACTOR go into the first of them that is no pronoun (else the first), in graphs of more than `least`
-    nodes."""
+    """(doc, node, main): nodes that are only ACTOR go into the first of them that is no pronoun, in graphs of more than `least` nodes that have
+    one."""
     only = (F.size("labels") == 1) & (F.get("labels", F.lit(0)) == "ACTOR")
-    rank = F.struct(F.lower("text").isin(PRONOUNS).alias("pronoun"), "node_id")
-    rows = nodes.groupBy(doc).agg(F.count("*").alias("n"), F.min(F.when(only, rank))["node_id"].alias("main"), F.collect_list(F.when(only, F.col("node_id"))).alias("_a"))
-    return rows.where(F.col("n") > least).select(doc, F.explode("_a").alias("node"), "main")
+    rows = nodes.groupBy(doc).agg(F.count("*").alias("n"), F.min(F.when(only & ~F.coalesce(F.lower("text").isin(PRONOUNS), F.lit(False)), F.col("node_id"))).alias("main"), F.collect_list(F.when(only, F.col("node_id"))).alias("_a"))
+    return rows.where((F.col("n") > least) & F.col("main").isNotNull()).select(doc, F.explode("_a").alias("node"), "main")
 
 
 def merge_nodes(nodes: DataFrame, merges: DataFrame, doc: str) -> DataFrame:

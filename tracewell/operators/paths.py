@@ -1,4 +1,8 @@
-"""Event sequences, pair statistics and path decoding."""
+"""Event sequences, pair statistics and path decoding.
+
+Edge cases: null labels make no pairs; ratios whose denominator is 0 (weights that sum to 0, empty arrays) are null, and rows without a mean are their own
+nearest; ties go by the columns that the caller names; repeated rows count as often as they stand; empty tables give empty results; extra columns
+pass through where rows do."""
 
 from __future__ import annotations
 
@@ -28,12 +32,12 @@ def pair_probability(pairs: DataFrame) -> DataFrame:
 
 def weighted_location(df: DataFrame, keys: list[str], value: str, location: str) -> DataFrame:
     """Mean location by value."""
-    return df.groupBy(*keys).agg(F.round(F.sum(F.col(value) * F.col(location)) / F.sum(value), 4).alias("location"))
+    return df.groupBy(*keys).agg(F.round(F.try_divide(F.sum(F.col(value) * F.col(location)), F.sum(value)), 4).alias("location"))
 
 
 def closest(df: DataFrame, means: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
     """For each key the row whose place is nearest to the key's mean; min_by keeps a partial result a task."""
-    gap = F.round(F.abs(F.col(at) - F.col("location")), 4)
+    gap = F.coalesce(F.round(F.abs(F.col(at) - F.col("location")), 4), F.lit(0.0))
     joined = df.join(means, keys)
     return joined.groupBy(*keys).agg(F.min_by(at, F.struct(gap, *ties)).alias(at), F.min(F.struct(gap.alias("g"), *ties)).alias("m")).select(*keys, at, F.col("m.g").alias("gap"))
 
@@ -41,20 +45,8 @@ def closest(df: DataFrame, means: DataFrame, keys: list[str], at: str, *ties: st
 def spread(places: Column) -> Column:
     """Population standard deviation of an array."""
     n = F.size(places)
-    mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    return F.sqrt(F.aggregate(places, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-
-
-def lookback(path: Column, base: Column | None = None, back: int = 3) -> Column:
-    """Folds an array of (id, place, sub) in order: a sub-step always stays; a parent step stays unless one of the `back` kept steps
-    before it, at most 5 places away, has its id as base."""
-
-    def step(kept: Column, x: Column) -> Column:
-        recent = F.slice(kept, F.greatest(F.size(kept) - back + 1, F.lit(1)), F.lit(back))
-        clash = F.exists(recent, lambda y: (y["id"] == x["id"]) & (x["place"] - y["place"] <= 5))
-        return F.when(x["sub"] | (F.size(kept) == 0) | ~clash, F.concat(kept, F.array(x))).otherwise(kept)
-
-    return F.aggregate(path, F.filter(path, lambda _: F.lit(False)), step)
+    mean = F.try_divide(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), n)
+    return F.sqrt(F.try_divide(F.aggregate(places, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), n))
 
 
 def sweep(df: DataFrame, keys: list[str], value: str, thresholds: list[float]) -> DataFrame:
@@ -97,7 +89,7 @@ def adding_tactics(path: Column, always_after: str | None = None) -> Column:
 def neighbour_pairs(df: DataFrame, by: str, location: str, step: str, sentences: str, most: float = 5.0) -> DataFrame:
     """(by, source, target): steps of neighbouring occupied locations of a report, unequal and at most `most` mean sentences apart. Locations
     are numbered densely, so each meets only the next one."""
-    mean = F.aggregate(sentences, F.lit(0.0), lambda a, x: a + x) / F.size(sentences)
+    mean = F.try_divide(F.aggregate(sentences, F.lit(0.0), lambda a, x: a + x), F.size(sentences))
     rows = df.select(by, F.dense_rank().over(Window.partitionBy(by).orderBy(location)).alias("_n"), F.col(step).alias("source"), mean.alias("_m"))
     nexts = rows.select(by, (F.col("_n") - 1).alias("_n"), F.col("source").alias("target"), F.col("_m").alias("_t"))
     return rows.join(nexts, [by, "_n"]).where((F.col("source") != F.col("target")) & (F.abs(F.col("_m") - F.col("_t")) <= most)).select(by, "source", "target").distinct()

@@ -1,4 +1,7 @@
-"""Similarity joins by exact cosines, within blocks of a key or over all pairs."""
+"""Similarity joins by exact cosines, within blocks of a key or over all pairs.
+
+Edge cases: null vectors, and those of length 0 or with a null component, have no cosine and meet nothing; vectors of unequal lengths have none either;
+repeated rows meet each other as often as they stand; an empty table gives no pairs; extra columns are only carried where `keep` says so."""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ def blocked_cosine(df: DataFrame, key: str, vector: str, block: str, least: floa
     the join."""
     v = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = df.select(F.col(key).alias("k"), F.col(block).alias("blk"), F.transform(v, lambda x: x / norm).alias("u"))
+    unit = df.select(F.col(key).alias("k"), F.col(block).alias("blk"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("u"))
     left, right = unit.select("blk", F.col("k").alias("a"), F.col("u").alias("x")), unit.select("blk", F.col("k").alias("b"), F.col("u").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     return left.join(right, "blk").where("a < b").withColumn("cosine", F.round(dot, 6)).where(F.col("cosine") > least).select(F.col("blk").alias(block), "a", "b", "cosine")

@@ -1,4 +1,7 @@
-"""Dictionary voting: weighted votes of labels for phrases, unique maximum wins."""
+"""Dictionary voting: weighted votes of labels for phrases, unique maximum wins.
+
+Edge cases: null texts have no votes; an empty lexicon gives none; ties abstain; repeated rows of a key vote as often as they stand; repeated terms of a
+lexicon add their weights; spans without a start or end are left alone by others; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -7,12 +10,19 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import words_in
 
+#: Terms of a lexicon that become a literal map.
+MAPPED = 5_000
+
 
 def word_votes(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label, votes): the weights of a lexicon's terms (label, term, weight) that stand in a text. The lexicon is a small
-    dimension table of single words, held as a literal map, so texts are split once and nothing but hits is shuffled."""
+    """(key, label, votes): the weights of a lexicon's terms (label, term, weight) that stand in a text. A lexicon of up to MAPPED single words is held as
+    a literal map, so texts are split once and nothing but hits is shuffled; a larger one is joined with the distinct words of each text."""
+    rows = lexicon.select("label", "term", "weight").limit(MAPPED + 1).collect()
+    if not rows or len(rows) > MAPPED:
+        words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("term"))
+        return words.join(lexicon.select("label", "term", "weight"), "term").groupBy(key, "label").agg(F.sum("weight").cast("long").alias("votes"))
     by_term: dict[str, list] = {}
-    for r in lexicon.select("label", "term", "weight").collect():
+    for r in rows:
         by_term.setdefault(r["term"], []).append(F.struct(F.lit(r["label"]).alias("label"), F.lit(r["weight"]).alias("w")))
     said = F.create_map(*(x for term, votes in by_term.items() for x in (F.lit(term), F.array(*votes))))
     votes = F.flatten(F.transform(words_in(F.col(text), by_term), lambda t: said[t]))

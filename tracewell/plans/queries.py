@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import absorbing, alignment, extraction, graphs, paths, similarity, voting
+from tracewell.operators import absorbing, alignment, decoding, extraction, graphs, paths, similarity, voting
 from tracewell.sources import reports
 from tracewell.streaming import events as stream_events
 
@@ -236,22 +236,13 @@ def technique_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("tech").agg(F.sum("n").alias("n"), F.count("*").alias("n_labels"), F.max("n").alias("top_n"))
 
 
-@query("""
-    with v as (select vec_id, label, embedding::double[] as e from embeddings)
-    select a.label, a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine
-    from v a join v b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) > 0.3
-""")
-def phrase_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.3)
-
-
 @query("""
     with v as (select vec_id, embedding::double[] as e from embeddings)
     select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine
     from v a join v b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) > 0.3
 """)
-def phrase_cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """phrase_cosine over all pairs, whatever their labels."""
+def phrase_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs, whatever their labels."""
     return similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
 
 
@@ -337,10 +328,13 @@ def first_occurrence_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def lookback_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The look-back rule folded over each user's events; a fold on its own output, which SQL cannot state plainly."""
-    rows = _placed(spark, sf_dir).select("user_id", F.struct("place", F.col("event_type").alias("id"), (F.col("value") > 50).alias("sub")).alias("x"))
-    path = rows.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("p"))
-    return path.select("user_id", F.size(paths.lookback(F.col("p"))).alias("n_kept"), F.size("p").alias("n"))
+    """The look-back rule folded over each user's days, each a list of its events by value; a fold on its own output, which SQL cannot state plainly."""
+    rows = _placed(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    item = F.struct((-F.col("value")).alias("v"), F.col("event_type").alias("tech"), F.col("place").alias("location"))
+    days = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    path = days.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "items"))).alias("d"))
+    kept = decoding.lookback(F.transform("d", lambda x: x["items"]))
+    return path.select("user_id", F.size(kept).alias("n_kept"), F.size("d").alias("n"))
 
 
 @query("""
@@ -412,38 +406,31 @@ def suffix_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", last.alias("last_word"), last.isin("red", "blue", "green", "steel", "part").alias("hit"))
 
 
-@query("""
-    select doc_id, md5(translate(text, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(8212), chr(39) || chr(39) || chr(34) || chr(34) || '--')) as digest from documents
-""")
+#: Marks and citations that the tables do hold, in place of typographic ones.
+_MARKS = [("\u00e9", "e"), ("\u00df", "ss"), ("\u00fc", "ue"), (", ", "... "), ("ss.", "")]
+_SQL_MARKS = "text"
+for _a, _b in _MARKS:
+    _SQL_MARKS = f"replace({_SQL_MARKS}, '{_a}', '{_b}')"
+
+
+@query(f"select doc_id, md5({_SQL_MARKS}) as digest, {_SQL_MARKS} <> text as changed from documents")
 def fix_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.straighten(F.col("text"))).alias("digest"))
+    made = T.straighten(F.col("text"), _MARKS)
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(made).alias("digest"), (made != F.col("text")).alias("changed"))
 
 
 @query("""
-    select doc_id, md5(regexp_replace(trim(replace(regexp_replace(text, '[\\n\\t\\r]+', ' ', 'g'), '  ', ' ')), '\\[[0-9]{1,5}\\]', '', 'g')) as digest from documents
+    select doc_id, md5(trim(replace(regexp_replace(trim(replace(regexp_replace(text, '[\\n\\t\\r]+', ' ', 'g'), '  ', ' ')), '\\b[0-9]{1,5}\\b', ' ', 'g'), '  ', ' '))) as digest from documents
 """)
 def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_citations(T.flat(F.col("text")))).alias("digest"))
+    """Short numbers stand for citation marks, of which the tables have none."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_citations(T.flat(F.col("text")), r"\b[0-9]{1,5}\b")).alias("digest"))
 
 
 #: Labels that nodes made from embeddings carry, by class.
 _NODE_LABELS = ["ACTOR", "USER", "TOOL", "FILE", "OTHER"]
 
 
-@query("""
-    with v as (select vec_id, label, embedding::double[] as e, ['ACTOR', 'USER', 'TOOL', 'FILE', 'OTHER'][label % 5 + 1] as l from embeddings),
-    p as (select a.vec_id as a, b.vec_id as b, a.l as l, greatest(0, round(list_cosine_similarity(a.e, b.e), 6)) as ctx from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
-    s as (select a, b, l, case when l = 'OTHER' then 0.3::double + 0.7::double * ctx else 0.4::double + 0.6::double * ctx end as v from p),
-    r as (select a, b, least(1.0, case when v > 0.8 then v when l = 'ACTOR' and v < 0.95 then 0.95 when l = 'USER' and v > 0.5 and v < 0.8 then v + 0.2 else v end) as s from s)
-    select a, b, round(s, 5)::double as similarity from r where s > 0.55
-""")
-def node_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", -2.0)
-    labels = F.array(F.get(F.array(*map(F.lit, _NODE_LABELS)), F.col("label") % 5))
-    score = alignment.node_similarity(labels, labels, F.greatest(F.lit(0.0), F.col("cosine")), F.lit(False), F.lit(False))
-    return pairs.withColumn("s", score).where("s > 0.55").select("a", "b", F.round("s", 5).alias("similarity"))
-
-
 @query("""
     with v as (select vec_id, embedding::double[] as e, ['ACTOR', 'USER', 'TOOL', 'FILE', 'OTHER'][label % 5 + 1] as l from embeddings),
     p as (select a.vec_id as a, b.vec_id as b, a.l as l, b.l as m, greatest(0, round(list_cosine_similarity(a.e, b.e), 6)) as ctx from v a join v b on a.vec_id < b.vec_id),
@@ -452,28 +439,16 @@ def node_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         when l = m and l = 'ACTOR' and v < 0.95 then 0.95 when l = m and l = 'USER' and v > 0.5 and v < 0.8 then v + 0.2 else v end) as s from s)
     select a, b, round(s, 7)::double as similarity from r where s > 0.55
 """)
-def node_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_candidates over all pairs, whatever their labels."""
+def node_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs, whatever their labels."""
     pairs = similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", -2.0, keep=("label",))
     labels = lambda c: F.array(F.get(F.array(*map(F.lit, _NODE_LABELS)), F.col(c) % 5))
     score = alignment.node_similarity(labels("a_label"), labels("b_label"), F.greatest(F.lit(0.0), F.col("cosine")), F.lit(False), F.lit(False))
     return pairs.withColumn("s", score).where("s > 0.55").select("a", "b", F.round("s", 7).alias("similarity"))
 
 
-@query("""
-    with c as (select user_id, event_type, list(event_id order by event_id)[1:3] as c from events group by all),
-    n as (select user_id, list(c order by event_type) as ns, list(len(c) order by event_type) as sizes from c group by user_id),
-    t as (select user_id, ns, sizes, unnest(range(0, cast(least(40, list_product(sizes)) as bigint))) as tuple from n)
-    select user_id, tuple, list_transform(range(1, len(ns) + 1), lambda i: ns[i][cast((tuple // cast(coalesce(list_product(sizes[i + 1:]), 1) as bigint)) % sizes[i] + 1 as bigint)]) as picks from t
-""")
-def candidate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 combinations of three candidates for each of a user's event types."""
-    nodes = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 3).alias("c"))
-    return alignment.candidate_tuples(nodes, "user_id", "event_type", "c", most=40, each=3)
-
-
 @query(None)
-def candidate_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidate_product up to the search's own limits (30 candidates a node, 20,000 combinations), without a cut before."""
     nodes = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("c"))
     return alignment.candidate_tuples(nodes, "user_id", "event_type", "c")
@@ -516,18 +491,6 @@ def dedup_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "n_chars", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeps")).where("n > 1")
 
 
-@query("""
-    with v as (select vec_id, label, embedding::double[] as e from embeddings),
-    p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as c from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
-    k as (select * from p where c > 0.3), s as (select a as id, b as near, c from k union all select b, a, c from k),
-    x as (select id, 1.0::double as v from (select distinct id from s) union all select near, 0.9::double * c from s)
-    select id, count(*) as n, round(max(v), 5) as best from x group by id
-""")
-def similar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each matched id with its neighbours' scores: 1 for itself, 0.9 times the cosine from a neighbour."""
-    return _expanded(phrase_cosine(spark, sf_dir))
-
-
 def _expanded(near: DataFrame, places: int = 5) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("near"), "cosine"))
     s = near.select(F.explode(ends).alias("p")).select("p.*")
@@ -542,9 +505,9 @@ def _expanded(near: DataFrame, places: int = 5) -> DataFrame:
     x as (select id, 1.0::double as v from (select distinct id from s) union all select near, 0.9::double * c from s)
     select id, count(*) as n, round(max(v), 7) as best from x group by id
 """)
-def similar_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """similar_expand over all pairs, whatever their labels."""
-    return _expanded(phrase_cosine_all(spark, sf_dir), 7)
+def similar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs, whatever their labels."""
+    return _expanded(phrase_cosine(spark, sf_dir), 7)
 
 
 @query("""
@@ -630,7 +593,7 @@ def contract_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     with n as (select user_id, event_id, event_type, count(*) over (partition by user_id) as n from events),
-    m as (select *, first_value(event_id) over (partition by user_id order by value_rank, event_id) as main from (select *, case when event_type = 'click' then 1 else 0 end as value_rank from n where event_type in ('view', 'click') and n > 3)),
+    m as (select *, first_value(event_id) over (partition by user_id order by value_rank, event_id) as main from (select *, case when event_type = 'click' then 1 else 0 end as value_rank, max(case when event_type = 'view' then 1 else 0 end) over (partition by user_id) as seen from n where event_type in ('view', 'click') and n > 3) where seen = 1),
     k as (select n.user_id, coalesce(m.main, n.event_id) as node_id, n.event_id from n left join m using (user_id, event_id))
     select user_id, node_id, count(*) as n, min(event_id) as least from k group by all
 """)
@@ -645,8 +608,8 @@ def contract_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors absorbed by earlier ones of their block with a cosine over 0.25."""
-    return absorbing.absorb(similarity.blocked_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.25))
+    """Vectors absorbed by earlier ones with a cosine over 0.25."""
+    return absorbing.absorb(similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.25))
 
 
 #: A small knowledge base of procedure graphs: (procedure, nodes, edges with verb factors).
@@ -730,7 +693,7 @@ def neighbour_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents),
-    k as (select doc_id, case when lower(w) in ('it', 'this', 'that', 'they') then 4 when regexp_matches(w, '[A-Z]') then 1 else 2 end as rank from w)
+    k as (select doc_id, case when lower(w) in ('it', 'this', 'that', 'they') then 4 when regexp_matches(w, '\\p{Lu}') then 1 else 2 end as rank from w)
     select doc_id, cast(rank as integer) as rank, count(*) as n from k group by all
 """)
 def phrase_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
