@@ -37,6 +37,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 32_768, 16_384
 HARD_ROUNDS, HARD_BYTES = 3, 12_000
 #: Lengths of the word beginnings that toxic pieces are looked for among.
 PIECES = (5, 6, 7)
+#: A piece is toxic from this log-odds if chance alone gives as many toxic texts that hold it less often than this.
+LEAST_ODDS, CHANCE = 3.2, 1e-7
 #: Differences of compressed length that windows are counted by.
 LEVELS = (1, 2, 3, 4, 5, 6)
 
@@ -49,6 +51,12 @@ def windows(text: str | None) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STEP), STEP)]
 
 
+def tail(c: int, n: int, share: float) -> float:
+    """The chance that c or more of n independent draws of a share succeed."""
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(c, n + 1)] if 0 < share < 1 else [0.0]
+    return min(1.0, math.fsum(map(math.exp, logs)))
+
+
 def _word_pieces(text: str) -> set[bytes]:
     found = set()
     for word in text.lower().encode().split():
@@ -148,12 +156,15 @@ def fit(rows: DataFrame) -> Model:
     n = {0: 0, 1: 0} | {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
     if not n[1]:
         return Model(b"", b"")
-    least = max(3, n[1] // 60)
     pieces = map_texts(own.select("_y", "_text"), "_text", [("_g", "array<binary>")], lambda: lambda texts: [[list(_word_pieces(t)) for t in texts]])
     seen = pieces.select("_y", F.explode("_g").alias("g")).groupBy("g").agg(F.sum("_y").alias("c"), F.sum(1 - F.col("_y")).alias("o"))
-    seen = {bytes(r["g"]): (r["c"], r["o"]) for r in seen.where(F.col("c") >= least).collect()}
-    odds = {g: math.log((c + 0.2) / (n[1] + 1) / ((o + 0.2) / (n[0] + 1))) for g, (c, o) in seen.items()}
-    rich = {g for g, x in odds.items() if x > 3.2}
+    # under the share of the class alone c of c + o texts are this likely to be toxic; the normal bound keeps what reaches the driver small
+    share = n[1] / (n[0] + n[1])
+    both = F.col("c") + F.col("o")
+    far = F.col("c") - both * F.lit(share) >= 2.0 * F.sqrt(both * F.lit(share * (1 - share)))
+    seen = {bytes(r["g"]): (r["c"], r["o"]) for r in seen.where(far & (F.col("c") >= 3)).collect()}
+    odds = lambda c, o: math.log((c + 0.2) / (n[1] + 1) / ((o + 0.2) / (n[0] + 1)))
+    rich = {g for g, (c, o) in seen.items() if odds(c, o) > LEAST_ODDS and tail(c, c + o, share) < CHANCE}
     added = b"".join(sorted(rich, key=lambda g: (seen[g][0], g)))[-TOXIC_BYTES:]
     plain = own.where("_y = 0")
     base = _ordinary(plain)
