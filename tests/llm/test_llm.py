@@ -38,6 +38,58 @@ def test_cover_tree_is_exact(spark):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def _clustered(rng, n, dims=16, clusters=40):
+    centres = rng.normal(size=(clusters, dims)) * 300
+    return np.round(centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dims)) * 4).astype(np.int64)
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(4)
+    x = _clustered(rng, 3000).astype(float)
+    t = covertree.CoverTree(x)
+    assert any(t.children)
+    for i, parts in enumerate(t.children):
+        own = x[t.order[t.start[i] : t.stop[i]]]
+        assert np.sqrt(((own - x[t.centre[i]]) ** 2).sum(1)).max() <= min(t.radius[i], 2.0 ** t.level[i] * (1 + 1e-9))
+        if parts:
+            reach, heads = 2.0 ** (t.level[i] - 1), x[[t.centre[c] for c in parts]]
+            gaps = np.sqrt(((heads[:, None] - heads[None]) ** 2).sum(2)) + np.eye(len(heads)) * 1e9
+            assert t.centre[i] in [t.centre[c] for c in parts] and gaps.min() > reach  # nested and separated
+            assert all(t.radius[c] <= reach * (1 + 1e-6) + 1e-6 for c in parts)  # covering
+            assert sorted((t.start[c], t.stop[c]) for c in parts)[0][0] == t.start[i]
+
+
+def test_dual_tree_prunes_and_stays_exact():
+    rng = np.random.default_rng(5)
+    x = _clustered(rng, 4000)
+    q, ids, scored = x[::20], np.arange(4000), []
+    best, names, found = covertree.search(q, ids[::20], x, ids, 10, count=scored)
+    assert sum(scored) < 0.2 * len(q) * len(x)
+    for r, i in enumerate(ids[::20]):
+        want = sorted((-int(x[i] @ x[j]), j) for j in ids if j != i)[:10]
+        assert [(-s, n) for s, n in zip(best[r].tolist(), names[r].tolist())] == want
+    with pytest.raises(ValueError):
+        covertree.product(np.full((1, 2), 1 << 40), np.full((1, 2), 1 << 40))
+
+
+def test_index_drops_block_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = _clustered(rng, 3000)
+    df = spark.createDataFrame([(int(i), (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats = {}
+    got = covertree.top_k(df, df.vec_id % 20 == 0, k=5, query_block=64, candidate_block=64, sample=1000, parts=40, stats=stats).collect()
+    assert stats["searched"] < 0.3 * stats["all"]
+    rows = collections.defaultdict(list)
+    for r in got:
+        rows[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 3000, 200):
+        best = sorted((-int(x[i] @ x[j]), j) for j in range(3000) if j != i)[:5]
+        assert sorted(rows[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert covertree.top_k(df.limit(0), df.vec_id % 20 == 0).count() == 0
+    with pytest.raises(Exception, match="out of range"):
+        covertree.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.lit(True)).count()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
 def test_bpe_equals_tiktoken(name):
     own = bpe.codec(public_tokenizers.path(name), public_tokenizers.PATTERN)
