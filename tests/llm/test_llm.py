@@ -365,18 +365,41 @@ def test_raking():
     assert abs(sum(odds[k] * cells[k] for k in odds) - 150) < 1e-6 and all(0 <= p <= 1 for p in odds.values())
 
 
-@pytest.mark.parametrize("cells", [0, 1000])
-def test_mixing_rows(spark, cells):
+def test_raking_says_what_it_cannot_meet():
+    with pytest.warns(mixing.RakingWarning):
+        mixing.rake({("a", "x"): 1.0, ("b", "y"): 1.0}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}], rounds=40)
+
+
+def test_topics_part_texts_by_their_words(spark):
+    rng = random.Random(4)
+    vocab = [[f"{x}{i}word" for i in range(40)] for x in "abc"]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3]) for _ in range(60)), "x") for i in range(300)]
+    got = mixing.with_topics(spark.createDataFrame(rows, DOCS), topics=3).collect()
+    kinds = collections.defaultdict(set)
+    for r in got:
+        kinds[r.doc_id % 3].add(r.topic)
+    assert all(len(k) == 1 for k in kinds.values()) and len(set().union(*kinds.values())) == 3
+    assert mixing.with_topics(spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x")], DOCS)).where("topic <> 0").count() == 0
+
+
+def test_mixing_rows(spark):
     rng = random.Random(3)
-    rows = [(i, f"s{i % 3}", rng.choice(["en", "fr", None]), " ".join(rng.choice(["alpha", "betaa", "gamma"]) for _ in range(20))) for i in range(300)] + [(None, None, None, None)]
+    rows = [(i, f"s{i % 3}", rng.choice(["en", "fr", None]), " ".join(rng.choice(["alpha", "betaa", "gamma"]) for _ in range(20))) for i in range(300)] + [(None, None, None, None), (5, "s2", "en", "alpha " * 100_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, lang string, text string, weight int")
-    targets = [{"s0": 0.6, "s1": 0.2, "s2": 0.2}, {"en": 0.4, "fr": 0.3, "\0": 0.3}, {str(t): 1 / 8 for t in range(8)}]
-    out, names = mixing.mix(df, targets, driver_cells=cells, rounds=12)
-    got = out.collect()
-    assert len(got) == len(rows)
-    spent = sum(r[names["probability"]] * r[names["n_tokens"]] for r in got)
-    assert spent <= 0.5 * 6000 * 1.001 and spent > 1000
-    assert any(r[names["kept"]] for r in got) and not all(r[names["kept"]] for r in got)
+    counted = mixing.with_topics(df.drop("weight"), topics=2).cache()
+    targets = [{"s0": 0.6, "s1": 0.2, "s2": 0.2}, None, {"0": 0.7, "1": 0.3}]
+    probabilities = []
+    for cells in (0, 1000):
+        with pytest.warns(mixing.RakingWarning):  # both stop after as many rounds and say so
+            out, names = mixing.mix(df.drop("weight"), targets, driver_cells=cells, tabled=counted, rounds=3)
+        got = out.collect()
+        assert len(got) == len(rows)
+        spent = sum(r[names["probability"]] * r[names["n_tokens"]] for r in got)
+        assert abs(spent - 0.5 * sum(r[names["n_tokens"]] for r in got)) < 1e-3 * spent
+        assert any(r[names["kept"]] for r in got) and not all(r[names["kept"]] for r in got)
+        probabilities.append(sorted((str(r.doc_id), r[names["probability"]], r[names["weight"]]) for r in got))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and abs(a[2] - b[2]) < 1e-9 for a, b in zip(*probabilities))
+    assert mixing.mix(df.limit(0))[0].count() == 0
 
 
 def test_fold(spark):
