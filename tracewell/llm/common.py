@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,13 @@ BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, found, True)
@@ -120,6 +122,27 @@ def _arrow(kind: str) -> pa.DataType:
     }[kind]
 
 
+def walked(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], chunk: int = 64) -> Column:
+    """The outputs of a fold over an array: step(state, item) gives the next state and one output. Outputs are gathered in chunks, so a fold over n items copies
+    about n * chunk / 2 of them and not n * n / 2. items should be a plain column: an expression would be computed again for each chunk."""
+    n = F.size(items)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk).cast("int"), F.lit(0))), lambda k: F.slice(items, k * chunk + 1, F.lit(chunk)))
+
+    def one(acc: Column, x: Column) -> Column:
+        now, out = step(acc["s"], x)
+        return F.struct(now.alias("s"), F.concat(acc["o"], F.array(out)).alias("o"))
+
+    none = F.transform(F.slice(items, 1, 0), lambda x: step(state, x)[1])
+    inner = lambda acc, part: F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("o")), one)
+    outer = lambda acc, part: F.get(F.transform(F.array(inner(acc, part)), lambda i: F.struct(i["s"].alias("s"), F.concat(acc["o"], F.array(i["o"])).alias("o"))), F.lit(0))
+    return F.aggregate(chunks, F.struct(state.alias("s"), F.transform(F.slice(chunks, 1, 0), lambda _: none).alias("o")), outer, lambda acc: F.flatten(acc["o"]))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: projections do not fold through a generator, so no lambda above computes them again."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")).select(*df.columns, *(f"_once.{n}" for n in columns))
+
+
 def fold(id_column, parts: int):
     """The fold of a row: crc32 of the id as text, modulo parts. Null ids are fold 0."""
     return F.coalesce(F.crc32(id_column.cast("string")) % F.lit(parts), F.lit(0))

@@ -1,15 +1,16 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
-Candidates are the base spans (fixed patterns with checks) and looser forms (phones without a plus, written-out addresses). Three
-labelers vote on each: the strict pattern, a gazetteer (top-level domains, issuer prefixes, dialling prefixes) and the words before
-the span. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is; its posteriors
-train a logistic span classifier, again over counts of feature patterns, whose weights become a SQL expression. Both fits see
-only those counts, whose number is bounded by the votes and features, not by the data. Base spans always stay;
-the classifier adds looser ones.
+Candidates are the base spans (fixed patterns with checks) and looser forms (written-out and defanged addresses, national and 00 phone numbers, cards with other
+separators, longer internet addresses). Labelers vote on each: the strict pattern, gazetteers (top-level domains, dialling codes, issuer ranges, address
+blocks, as tables) and the words before the span. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each
+kind; its posteriors train a logistic span classifier on the votes and on features of the span and its surroundings that are no votes, again over counts of
+feature patterns, whose weights become a SQL expression. Both fits see only those counts, whose number is bounded by the votes and features, not by the data. Base
+spans always stay; the classifier adds looser ones.
 
 Spans are code point offsets, end exclusive. Edge cases: null and empty texts have no spans; the patterns have possessive or
-anchored repeats, so very long runs are read once; overlapping spans of different kinds all count, and redaction covers their
-union; repeated rows get equal results; without candidates no classifier is fitted and the base spans are the result.
+anchored repeats, so very long runs are read once, and places are folded in chunks; overlapping spans of different kinds all count, and redaction covers their
+union; repeated rows get equal results; without candidates (an empty table) no classifier is fitted and the base spans are the result; extra columns pass
+through redact() and are not read by find_spans().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Workspace, fresh
+from tracewell.llm.common import Workspace, fresh, once, walked
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -33,10 +34,15 @@ BASE = {
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: The looser forms.
+#: The looser forms of each kind.
 LOOSE = {
-    "email": rf"(?<!{_NAME}){_NAME}{{1,64}}+ ?(?:\[at\]|\(at\)| at ) ?{_HOST}{{1,63}}+(?: ?(?:\[dot\]|\(dot\)| dot ) ?{_HOST}{{1,63}}+)++",
-    "phone": r"(?<![0-9+().-])(?<![0-9] )\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "email": [
+        rf"(?<!{_NAME}){_NAME}{{1,64}}+ ?(?:\[at\]|\(at\)| at ) ?{_HOST}{{1,63}}+(?: ?(?:\[dot\]|\(dot\)| dot ) ?{_HOST}{{1,63}}+)++",
+        rf"(?<!{_NAME}){_NAME}{{1,64}}+@{_HOST}{{1,63}}+(?:\[\.\]{_HOST}{{1,63}}+)++",
+    ],
+    "ip": [r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])", r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9\[])"],
+    "card": [r"(?<![0-9._/-])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/-])"],
+    "phone": [r"(?<![0-9+().-])(?<![0-9] )\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9.-])", r"(?<![0-9+().-])00[1-9][0-9]{0,2}(?:[ ().-]{1,2}[0-9]{2,4}){2,5}(?![0-9.-])"],
 }
 #: What a text must hold for a pattern to be tried.
 GATES = {
@@ -44,8 +50,9 @@ GATES = {
     "card": lambda t: t.rlike("[0-9][0-9 -]{14}"), "phone": lambda t: F.instr(t, "+") > 0,
 }
 LOOSE_GATES = {
-    "email": lambda t: (F.instr(t, "dot") > 0) & (F.instr(t, "at") > 0), "phone": lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}"),
-}
+    "email": lambda t: F.lower(t).rlike(r"dot|\[\.\]"), "ip": lambda t: t.rlike(r"[0-9]\[\.\][0-9]|:[0-9a-fA-F]{1,4}:"), "card": lambda t: t.rlike("[0-9]{4}[._/][0-9]{4}[._/]"),
+    "phone": lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}|00[1-9]"),
+}
 #: Characters before a span that the context labeler reads.
 CONTEXT = 32
 CONTEXT_FOR = {
@@ -53,34 +60,43 @@ CONTEXT_FOR = {
     "card": "(?i)card|visa|master|amex|pay|carte|karte|tarjeta|credit", "phone": "(?i)tel|phone|call|fax|mobile|ring|sms|ruf|appel|llam",
 }
 CONTEXT_AGAINST = r"(?i)version|isbn|order|serial|sku|build|invoice|\bno\.?\s*$|#\s*$"
-GAZETTEER = {
-    "email": r"(?i)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at)$",
-    "ip": r"^(?!0)(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[4-7]|6[0245])",
-    "phone": r"^(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]|^\+[2-9]",
-}
+#: Gazetteers, our own choice of common entries: top-level domains, country calling codes, first digits of issuers (ranges), first parts of address blocks in use.
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro io dev app me tv co ai eu de fr es uk it nl ch at be se no dk fi pl cz sk hu ro bg gr pt ie lu ee lv lt si hr rs ua ru tr "
+    "us ca mx br ar cl au nz jp cn kr in sg hk tw za il ae"
+).split()
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 234 254 351 352 353 354 "
+    "356 357 358 359 370 371 372 380 381 385 386 420 421 852 886 966 971 972"
+).split()
+ISSUERS = [("4", "4"), ("51", "55"), ("2221", "2720"), ("34", "34"), ("37", "37"), ("300", "305"), ("36", "36"), ("38", "39"), ("3528", "3589"), ("6011", "6011"), ("62", "62"), ("644", "659"), ("50", "50"), ("56", "58")]
+BLOCKS = [(1, 9), (10, 126), (128, 191), (192, 223)]
 #: Probability from which a looser candidate is taken.
 ACCEPT = 0.8
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def located(text: Column, pattern: str, gate: Column) -> Column:
-    """Matches of a pattern with their places: the pieces between matches give the places by their lengths."""
-    found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def located(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with a column of spans for each pattern: the pieces between its matches give their places by their lengths. patterns: name to (pattern, gate)."""
+    found = {f"{n}_v": F.when(g, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (p, g) in patterns.items()}
+    df = once(df, **found)
+    # a split for the few texts that match; the others stay without one
+    pieces = {f"{n}_g": F.when(F.size(f"{n}_v") > 0, F.transform(F.split(F.col(text), p, -1), F.length)).otherwise(F.array().cast("array<int>")) for n, (p, _) in patterns.items()}
+    df = once(df, **pieces)
+    paired = lambda n: F.transform(F.col(f"{n}_v"), lambda v, i: F.struct(F.get(F.col(f"{n}_g"), i).alias("g"), v.alias("v")))
+    steps = {n: paired(n) for n in patterns}
+    df = once(df, **{f"{n}_s": x for n, x in steps.items()})
 
-    def place(pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        steps = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), found, lambda p, m: F.struct(F.length(p).alias("g"), m.alias("m")))
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["g"]
+        e = s + F.length(x["v"])
+        return e, F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["g"]
-            e = s + F.length(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v")))).alias("out"))
-
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
-
-    return F.when(F.size(found) > 0, place(F.split(text, pattern, -1))).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast(_SPAN)
+    spans = {n: F.when(F.size(f"{n}_s") > 0, walked(F.col(f"{n}_s"), F.lit(0), place).cast(_SPAN)).otherwise(none) for n in patterns}
+    df = once(df, **spans)
+    return df.drop(*(f"{n}_{x}" for n in patterns for x in "vgs"))
 
 
 def _luhn(v: Column) -> Column:
@@ -105,55 +121,91 @@ def _valid(kind: str):
     }[kind]
 
 
+def _known(kind: str, v: Column) -> Column:
+    """Whether a span's text is in its kind's gazetteer."""
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    if kind == "email":
+        return F.lower(F.regexp_extract(v, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS)
+    if kind == "card":
+        return reduce(lambda a, r: a | F.substring(digits, 1, len(r[0])).between(*r), ISSUERS, F.lit(False))
+    if kind == "ip":
+        head = F.try_to_number(F.regexp_extract(v, "^([0-9]{1,3})", 1), F.lit("999")).cast("int")
+        return v.rlike("^[0-9a-fA-F]{1,4}:") | F.coalesce(reduce(lambda a, r: a | head.between(*r), BLOCKS, F.lit(False)), F.lit(False))
+    abroad = v.rlike(r"^(\+|00)")
+    code = F.regexp_replace(v, r"^(\+|00)", "")
+    bare = F.regexp_replace(code, "[^0-9]", "")
+    called = reduce(lambda a, n: a | F.substring(bare, 1, n).isin([c for c in CALLING if len(c) == n]), (1, 2, 3), F.lit(False))
+    return F.when(abroad, called).otherwise(digits.rlike("^[2-9][0-9]{2}[2-9]"))
+
+
 def _voted(spans: Column, text: Column, kind: str, strict: bool) -> Column:
-    """Spans with kind and votes (1, 0, -1) of the three labelers."""
+    """Spans with kind, votes (1, 0, -1) of the three labelers and features that are no votes (0 or 1)."""
 
     def one(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+        after = F.substring(text, x["e"] + 1, F.lit(1))
         context = F.when(before.rlike(CONTEXT_FOR[kind]), 1).when(before.rlike(CONTEXT_AGAINST), -1).otherwise(0)
-        known = F.when(F.regexp_replace(x["v"], r"\s+$", "").rlike(GAZETTEER[kind]), 1).otherwise(-1)
+        digits = F.regexp_replace(x["v"], "[^0-9]", "")
+        flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(int(strict)).alias("strict"),
-            known.alias("known"), context.alias("context"), (F.length(x["v"]) >= 14).cast("int").alias("long"),
+            F.when(_known(kind, x["v"]), 1).otherwise(-1).alias("known"), context.alias("context"), flag(F.length(x["v"]) >= 14).alias("long"),
+            flag(before.rlike(r"(^|\n)[ \t]*$")).alias("heads_line"), flag(before.rlike(r"[:=]\s*$")).alias("after_colon"), flag(after.rlike(r"[A-Za-z0-9_]")).alias("runs_on"),
+            flag(digits.rlike(r"^([0-9])\1*$")).alias("one_digit"),
         )
 
     return F.transform(spans, one)
 
 
-def candidates(text: Column) -> tuple[Column, Column]:
-    """Base spans and looser candidates of a text column, with votes; looser ones never touch a base span."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    held = {k: F.filter(located(text, BASE[k], GATES[k](text)), _valid(k)) for k in KINDS}
-    base = F.concat(*(_voted(held[k], text, k, True) for k in KINDS))
-    loose = F.concat(*(_voted(located(text, p, LOOSE_GATES[k](text)), text, k, False) for k, p in LOOSE.items()))
-    return base, loose
+#: Features of a span that are no votes.
+TRAITS = ("long", "heads_line", "after_colon", "runs_on", "one_digit")
+
+
+def with_candidates(df: DataFrame, text: str, base: str = "base", loose: str = "loose") -> DataFrame:
+    """df with its base spans and looser candidates, with votes; looser ones never touch a base span or an earlier looser one of their kind."""
+    t = fresh(df, "_said")
+    own = df.columns
+    df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    gates = {f"_b{i}": (BASE[k], GATES[k](F.col(t))) for i, k in enumerate(KINDS)}
+    gates |= {f"_l{i}_{j}": (p, LOOSE_GATES[k](F.col(t))) for i, k in enumerate(KINDS) for j, p in enumerate(LOOSE[k])}
+    df = located(df, t, gates)
+    df = once(df, **{f"_f{i}": F.filter(F.col(f"_b{i}"), _valid(k)) for i, k in enumerate(KINDS)})
+    first = F.concat(*(_voted(F.col(f"_f{i}"), F.col(t), k, True) for i, k in enumerate(KINDS)))
+    more = F.concat(*(_voted(F.concat(*(F.col(f"_l{i}_{j}") for j in range(len(LOOSE[k])))), F.col(t), k, False) for i, k in enumerate(KINDS)))
+    df = once(df, **{base: first, "_more": more})
+    meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+    apart = F.filter("_more", lambda x: ~F.exists(F.col(base), lambda y: meets(x, y)) & ~F.exists(F.col("_more"), lambda y: (y["k"] == x["k"]) & (y["s"] < x["s"]) & meets(x, y)))
+    return once(df, **{loose: F.when(F.size("_more") > 0, apart).otherwise(F.col("_more"))}).select(*own, base, loose)
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, tuple[int, ...]], float]:
     """Expectation-maximisation over (kind, votes, count): the probability of personal data for each vote pattern. Votes are 1, 0
-    or -1; the labelers' reliabilities are shared by all kinds, the share of true spans is by kind."""
+    or -1; the labelers' reliabilities and the share of true spans are by kind."""
     kinds = {k for k, _, _ in patterns}
     share = dict.fromkeys(kinds, 0.5)
     width = len(patterns[0][1]) if patterns else 0
     # a labeler starts as better than chance
-    rate = {(j, v, y): p for j in range(width) for v, (p1, p0) in {1: (0.6, 0.2), 0: (0.3, 0.4), -1: (0.1, 0.4)}.items() for y, p in ((1, p1), (0, p0))}
+    rate = {(k, j, v, y): p for k in kinds for j in range(width) for v, (p1, p0) in {1: (0.6, 0.2), 0: (0.3, 0.4), -1: (0.1, 0.4)}.items() for y, p in ((1, p1), (0, p0))}
     post: dict = {}
     for _ in range(rounds):
         for k, votes, _ in patterns:
-            yes = share[k] * math.prod(rate[j, v, 1] for j, v in enumerate(votes))
-            no = (1 - share[k]) * math.prod(rate[j, v, 0] for j, v in enumerate(votes))
+            yes = share[k] * math.prod(rate[k, j, v, 1] for j, v in enumerate(votes))
+            no = (1 - share[k]) * math.prod(rate[k, j, v, 0] for j, v in enumerate(votes))
             post[k, votes] = yes / (yes + no)
         for k in kinds:
             own = [(post[k, v], n) for kk, v, n in patterns if kk == k]
             share[k] = (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))
-        for j in range(width):
-            for y in (0, 1):
-                mass = {v: 1.0 for v in (1, 0, -1)}
-                for k, votes, n in patterns:
-                    mass[votes[j]] += n * (post[k, votes] if y else 1 - post[k, votes])
-                total = sum(mass.values())
-                for v, m in mass.items():
-                    rate[j, v, y] = m / total
+        for k in kinds:
+            for j in range(width):
+                for y in (0, 1):
+                    # a weak prior keeps a labeler better than chance where a kind has few spans
+                    mass = {1: 1.2, 0: 0.6, -1: 0.2} if y else {1: 0.4, 0: 0.8, -1: 0.8}
+                    for kk, votes, n in patterns:
+                        if kk == k:
+                            mass[votes[j]] += n * (post[k, votes] if y else 1 - post[k, votes])
+                    total = sum(mass.values())
+                    for v, m in mass.items():
+                        rate[k, j, v, y] = m / total
     return post
 
 
@@ -172,20 +224,20 @@ def fit_classifier(rows: list[tuple[list[float], float, int]], steps: int = 400,
     return weights
 
 
-def _features(k: int, strict: int, known: int, context: int, long: int) -> list[float]:
-    return [1.0, float(strict), float(known), float(context), float(long), *(float(k == i) for i in range(len(KINDS)))]
+def _features(k: int, strict: int, known: int, context: int, *traits: int) -> list[float]:
+    return [1.0, float(strict), float(known), float(context), *map(float, traits), *(float(k == i) for i in range(len(KINDS)))]
 
 
 def train(spans: DataFrame, column: str) -> list[float]:
     """Classifier weights from a column of voted candidates (array of structs)."""
-    names = ("k", "strict", "known", "context", "long")
+    names = ("k", "strict", "known", "context", *TRAITS)
     counted = spans.select(F.explode(column).alias("x")).select("x.*").groupBy(*names).count().collect()
     votes: dict = {}
     for r in counted:
-        at = (r["k"], (r["strict"], r["known"], r["context"]))
+        at = (r["k"], (r["known"], r["context"]))
         votes[at] = votes.get(at, 0) + r["count"]
     post = estimate([(k, v, n) for (k, v), n in sorted(votes.items())])
-    rows = [(_features(*(r[n] for n in names)), post[r["k"], (r["strict"], r["known"], r["context"])], r["count"]) for r in counted]
+    rows = [(_features(*(r[n] for n in names)), max(post[r["k"], (r["known"], r["context"])], 0.95 * r["strict"]), r["count"]) for r in counted]
     return fit_classifier(sorted(rows))
 
 
@@ -195,17 +247,13 @@ def accepted(loose: Column, weights: list[float], bound: float = ACCEPT) -> Colu
         return F.filter(loose, lambda x: F.lit(False))
 
     def take(x: Column) -> Column:
-        parts = [F.lit(1.0), x["strict"], x["known"], x["context"], x["long"], *((x["k"] == i).cast("int") for i in range(len(KINDS)))]
+        parts = [F.lit(1.0), x["strict"], x["known"], x["context"], *(x[t] for t in TRAITS), *((x["k"] == i).cast("int") for i in range(len(KINDS)))]
         margin = reduce(lambda a, b: a + b, (F.lit(w) * p for w, p in zip(weights, parts)))
         return margin >= math.log(bound / (1 - bound))
 
     return F.filter(loose, take)
 
 
-def _apart(loose: Column, base: Column) -> Column:
-    return F.filter(loose, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-
-
 def joined(spans: Column) -> Column:
     """kind:start:end of spans, by kind as listed, then start."""
     names = F.array(*map(F.lit, KINDS))
@@ -216,10 +264,8 @@ def joined(spans: Column) -> Column:
 def find_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, base and added (arrays of spans with kind index k, start s and end e)."""
     space = Workspace(df.sparkSession, "pii")
-    base, loose = candidates(F.col("_text"))
     own = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    slim = space.save("spans", own.select("_id", base.alias("base"), loose.alias("loose")))
-    slim = slim.withColumn("loose", _apart(F.col("loose"), F.col("base")))
+    slim = space.save("spans", with_candidates(own, "_text").drop("_text"))
     weights = train(slim.select(F.concat("base", "loose").alias("all")), "all")
     return slim.select(F.col("_id").alias(key), "base", accepted(F.col("loose"), weights).alias("added"))
 
@@ -227,20 +273,20 @@ def find_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span of personal data in the text replaced by its kind in brackets. Null texts stay null."""
     space = Workspace(df.sparkSession, "redact")
-    base, loose = candidates(F.col(text))
-    seen = space.save("spans", df.select(base.alias("base"), loose.alias("loose")).where("size(base) + size(loose) > 0"))
-    weights = train(seen.select(F.concat("base", _apart(F.col("loose"), F.col("base"))).alias("all")), "all")
-    b, l = fresh(df, "_base"), fresh(df, "_loose")
-    rows = df.select("*", base.alias(b), loose.alias(l))
-    spans = F.concat(F.col(b), accepted(_apart(F.col(l), F.col(b)), weights))
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    seen = with_candidates(df.select(F.col(text).alias("_t")), "_t").drop("_t").where("size(base) + size(loose) > 0")
+    weights = train(space.save("spans", seen).select(F.concat("base", "loose").alias("all")), "all")
+    b, l, p = fresh(df, "_base"), fresh(df, "_loose"), fresh(df, "_pieces")
+    rows = with_candidates(df, text, b, l)
+    order = F.array_sort(F.transform(F.concat(F.col(b), accepted(F.col(l), weights)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    rows = once(rows, **{p: order})
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def piece(at: Column, x: Column) -> tuple[Column, Column]:  # what stands before a span, unless an earlier one covers it
+        return F.greatest(at, x["e"]), F.struct(at.alias("from"), F.when(x["s"] >= at, x["s"] - at).alias("n"), x["k"].alias("k"), F.greatest(at, x["e"]).alias("to"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    clean = F.when(F.size(order) > 0, F.aggregate(order, start, step, rest)).otherwise(F.col(text))
+    q = fresh(rows, "_walk")
+    rows = once(rows, **{q: F.when(F.size(p) > 0, walked(F.col(p), F.lit(0), piece))})
+    said = F.transform(F.filter(F.col(q), lambda x: x["n"].isNotNull()), lambda x: F.concat(F.substring(F.col(text), x["from"] + 1, x["n"]), F.element_at(names, x["k"] + 1)))
+    end = F.array_max(F.transform(F.col(q), lambda x: x["to"]))
+    clean = F.when(F.size(p) > 0, F.concat(F.array_join(said, ""), F.substring(F.col(text), end + 1, F.length(F.col(text))))).otherwise(F.col(text))
     return rows.withColumn(text, clean).select(*df.columns)
