@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Workspace
+from tracewell.llm.common import Workspace, once
 
 #: The quote marks that begin a line.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -32,27 +32,19 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def blocks(text: Column) -> Column:
-    """Runs of lines of one quote level: level, joined text and lines, without their marks."""
+def with_blocks(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the runs of lines of one quote level of its texts: level, joined text and lines, without their marks. A run is a slice between two places where the
+    level changes, so a text of many lines is read once."""
     marks = lambda line: F.regexp_extract(line, MARKS, 0)
-    lines = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\r?\n", -1),
-        lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")),
-    )
-    start = F.struct(F.array().cast(_BLOCKS).alias("done"), F.lit(-1).alias("level"), F.array().cast("array<string>").alias("lines"))
-
-    def closed(acc: Column) -> Column:
-        block = F.struct(acc["level"].alias("level"), F.array_join(acc["lines"], "\n").alias("text"), acc["lines"].alias("lines"))
-        return F.when(acc["level"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(block)))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["level"] == x["level"]
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"), x["level"].alias("level"),
-            F.when(same, F.concat(acc["lines"], F.array(x["line"]))).otherwise(F.array(x["line"])).alias("lines"),
-        )
-
-    return F.aggregate(lines, start, step, closed)
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n", -1)
+    df = once(df, _raw=lines)
+    df = once(df, _levels=F.transform("_raw", lambda x: F.length(F.regexp_replace(marks(x), "[^>]", ""))), _lines=F.transform("_raw", lambda x: F.regexp_replace(x, MARKS, "")))
+    df = once(df, _starts=F.filter(F.sequence(F.lit(0), F.size("_levels") - 1), lambda i: (i == 0) | (F.get("_levels", i) != F.get("_levels", i - 1))))
+    until = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_levels"))
+    cut = F.transform("_starts", lambda i, j: F.struct(F.get("_levels", i).alias("level"), F.slice("_lines", i + 1, until(j) - i).alias("lines")))
+    df = once(df, _cut=cut)
+    made = F.transform("_cut", lambda x: F.struct(x["level"].alias("level"), F.array_join(x["lines"], "\n").alias("text"), x["lines"].alias("lines")))
+    return once(df, **{name: made.cast(_BLOCKS)}).drop("_raw", "_levels", "_lines", "_starts", "_cut")
 
 
 def _passages(block: Column) -> Column:
@@ -69,7 +61,8 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
     rows = df.select(
         F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.col(role).alias("role"), F.col(text).alias("text"),
         F.xxhash64(F.col(conv).cast("string"), F.col(turn).cast("string"), F.lit("|"), F.col(text)).alias("m"),
-    ).withColumn("blocks", blocks(F.col("text")))
+    )
+    rows = with_blocks(rows, "text", "blocks")
     own = F.filter("blocks", lambda b: b["level"] == 0)
     clean = F.array_join(F.transform(own, lambda b: b["text"]), "\n")
     parsed = space.save("parsed", rows.select(
