@@ -222,6 +222,47 @@ def _base_spans(x):
     return out
 
 
+def test_personal_data_added_forms(spark):
+    """Loose forms beside words that speak for them are found and redacted; those that context or gazetteer speak against are not."""
+    rng = random.Random(2)
+    base = [f"please mail me: user{i}@host{i}.com or call +49 30 1234{i:04d}, server 10.0.{i}.7" for i in range(60)] + [f"serial no. {i} version 999.{i}.300.4 build" for i in range(30)]
+    loose = {
+        "contact jane.doe at example dot org now": ("email", "jane.doe at example dot org"), "write to bob@corp[.]com": ("email", "bob@corp[.]com"),
+        "call me: 212-555-0187": ("phone", "212-555-0187"), "tel: 0049 30 123 4567": ("phone", "0049 30 123 4567"), "login from 10[.]1[.]2[.]3": ("ip", "10[.]1[.]2[.]3"),
+    }
+    against = ["isbn 112-555-0187 order", "build 000-000-0000"]
+    texts = [*base, *(t for t in loose for _ in range(6)), *(t for t in against for _ in range(6))]
+    rng.shuffle(texts)
+    df = _docs(spark, list(enumerate(texts)))
+    added = {r.doc_id: [(pii.KINDS[x.k], texts[r.doc_id][x.s : x.e]) for x in r.added] for r in pii.find_spans(df.drop("kept")).collect()}
+    for i, t in enumerate(texts):
+        assert added[i] == ([loose[t]] if t in loose else []), t
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(clean[i] == t.replace(loose[t][1], f"[{loose[t][0].upper()}]") for i, t in enumerate(texts) if t in loose)
+    assert pii.find_spans(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_personal_data_in_long_texts_is_linear(spark):
+    import time
+
+    seconds = []
+    for n in (500, 4000):
+        text = " ".join(f"a{i}@b{i}.com" for i in range(n))
+        df = _docs(spark, [(1, text)])
+        began = time.time()
+        assert pii.redact(df).first().text == " ".join(["[EMAIL]"] * n)
+        seconds.append(time.time() - began)
+    assert seconds[1] < seconds[0] + 20
+
+
+def test_quoting_of_many_lines(spark):
+    lines = [f"line number {i}" for i in range(4000)]
+    quoted = [f"> line number {i}" if i % 2 else f"answer {i}" for i in range(4000)]
+    df = spark.createDataFrame([(1, 0, "a", "\n".join(lines)), (1, 1, "b", "\n".join(quoted))], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quoting.link(df).collect()}
+    assert got[1].parent_turn == 0 and got[1].n_quotes == 2000 and got[1].clean_text == "\n".join(x for x in quoted if x[0] != ">")
+
+
 def test_personal_data_base_spans(spark):
     rng = random.Random(6)
     parts = ["a@b.co", "x.y@mail.example.com_z@q.r", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "0001.02.3.4", "4111 1111-1111 1111", "4111111111111111", "411111111111111111112",

@@ -226,18 +226,24 @@ def top_k(
     ).distinct().withColumn("dim", F.size("v"))
     rows = space.save("rows", rows)
     # the upper part of the index, of a bounded sample for each length
-    picked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", "v"), "id"))).where(F.col("_n") <= sample)
+    total = rows.count()
+    span = min(1.0, 2.0 * sample / max(total, 1))  # few more than the sample takes, so no task gets more than a multiple of it
+    near = rows.where(F.xxhash64("id", "v") <= F.lit(min(2**63 - 1, int(-(2**63) + span * 2**64))))
+    picked = near.withColumn("_n", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", "v"), "id"))).where(F.col("_n") <= sample)
     heads = {}
     for dim, own in picked.select("dim", "v").toPandas().groupby("dim"):
         x = np.unique(np.stack(own["v"].to_numpy()).astype(np.float64), axis=0) if dim else np.zeros((1, 0))
         tree = CoverTree(x, leaf=max(LEAF, len(x) // parts))
         heads[int(dim)] = x[[tree.centre[i] for i in tree.cut(parts)]]
 
+    def centres(dim: int) -> np.ndarray:  # lengths too rare for the sample are one part around the origin
+        return heads.get(dim, np.zeros((1, dim)))
+
     def placed(batches):
         for b in batches:
             part, away = np.zeros(len(b), np.int64), np.zeros(len(b))
             for dim, at in b.groupby("dim").indices.items():
-                x, c = np.stack(b["v"].to_numpy()[at]).astype(np.float64), heads[int(dim)]
+                x, c = np.stack(b["v"].to_numpy()[at]).astype(np.float64), centres(int(dim))
                 d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
                 part[at] = d.argmin(1)
                 away[at] = np.sqrt(((x - c[part[at]]) ** 2).sum(1))
@@ -288,7 +294,7 @@ def top_k(
             out = []
             for dim, qp, group, least in zip(b["dim"], b["qp"], b["group"], b["worst"]):
                 others = [(p, n) for d, p, n, _ in table if d == dim]
-                c = heads[int(dim)]
+                c = centres(int(dim))
                 mine = c[[qp]]
                 tops = bound(mine, np.array([known[dim, qp]["rq"] + _SLACK]), c[[p for p, _ in others]], np.array([known[dim, p]["r"] + _SLACK for p, _ in others]))[0]
                 out += [(dim, qp, group, p, i) for (p, n), t in zip(others, tops) if t >= least for i in range(n) if (p, i) != (qp, 0)]
