@@ -1,6 +1,6 @@
-"""Byte-level BPE by longest-match backtracking over an Aho-Corasick automaton.
+"""Byte-level BPE by longest-match backtracking over the token trie of pyahocorasick.
 
-Token bytes are mapped to Latin-1 characters so that the automaton works on str. An encoding is grown from the longest
+Token bytes are mapped to Latin-1 characters so that the trie works on str; only its longest-prefix query is used, so no failure links are built. An encoding is grown from the longest
 token at each place; a token may follow another only if merging their joint bytes would leave exactly that border
 (adjacent-token compatibility, memoised). Where no token fits, the last one is shortened to its longest proper prefix
 token and the search goes on. Each place of a piece is given up at most once, so the time is linear in the piece.
@@ -170,36 +170,28 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds token_ids (array<int>) to each row; null texts count as empty."""
-
-    def make():
-        own = codec(path, pattern)
-        return lambda texts: [[own.encode(t or "") for t in texts]]
-
-    return map_texts(df, text, [("token_ids", "array<int>")], make)
-
-
 def digest_documents(
     df: DataFrame, path: str, pattern: str, text: str = "text",
-    names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256"),
+    names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256"), with_ids: bool = False,
 ) -> DataFrame:
-    """Encodes and decodes each text; adds the number of tokens and digests of the ids and of the decoded bytes."""
+    """Encodes and decodes each text; adds the number of tokens and digests of the ids and of the decoded bytes. with_ids adds the ids (token_ids)."""
 
     def make():
         own = codec(path, pattern)
         shown = {str(k): v for k, v in own.bytes_of.items()}
 
         def run(texts):
-            counts, ids, back = [], [], []
+            counts, ids, back, own_ids = [], [], [], []
             for t in texts:
                 joined = own.encode_joined(t or "")
                 tokens = joined.split(",") if joined else []
                 counts.append(len(tokens))
+                if with_ids:
+                    own_ids.append([int(x) for x in tokens])
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join(map(shown.__getitem__, tokens))).hexdigest())
-            return counts, ids, back
+            return (counts, ids, back, own_ids) if with_ids else (counts, ids, back)
 
         return run
 
-    return map_texts(df, text, list(zip(names, ("long", "string", "string"))), make)
+    return map_texts(df, text, [*zip(names, ("long", "string", "string")), *([("token_ids", "array<int>")] if with_ids else [])], make)

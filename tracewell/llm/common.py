@@ -96,8 +96,15 @@ def map_texts(
     make: Callable[[], Callable[[list[str | None]], Sequence[Sequence]]],
 ) -> DataFrame:
     """Appends the columns of results to df. make() runs once in a worker and gives a function from a list of texts
-    (None: null) to one sequence for each new column."""
+    (None: null) to one sequence for each new column. A result whose name a column of df has, in any case of letters, gets underscores in front."""
     ship(df.sparkSession)
+    taken, named = {c.lower() for c in df.columns}, []
+    for n, t in results:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        named.append((n, t))
+    results = named
     schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in results])
     at = df.columns.index(text)
     kinds = [_arrow(t) for _, t in results]
