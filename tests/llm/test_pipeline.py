@@ -51,8 +51,26 @@ def test_pipeline(spark):
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in out:
         ids = theirs.encode_ordinary(names[2][r.doc_id])
-        assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(names[2][r.doc_id].encode()).hexdigest()
+        assert r.n_tokens == len(ids) and list(r.token_ids) == ids and r.decoded_sha256 == hashlib.sha256(names[2][r.doc_id].encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     words = {i: len(t.split()) for i, t in names[2].items()}
     share = sum(words[r.doc_id] for r in out) / sum(words.values())
     assert 0.25 < share < 0.75 and len({r.doc_id for r in out}) == len(out)
+
+
+def test_stages_take_what_tables_hold(spark):
+    """Nulls in any column, empty and long texts, ties and repeated rows, clashing names, empty tables."""
+    good = " ".join(f"word{i} and the other{i % 7} said so" for i in range(40)) + "."
+    rows = [(i, good + f" number {i} " * (i % 3), "en", f"s{i % 2}", 5, 1.0, "k") for i in range(30)]
+    rows += [(None, good, None, None, None, None, None), (40, None, "en", "s0", None, None, None), (41, "", "en", "s0", 0, 0.0, ""), (42, "long text here " * 60_000, "en", "s1", 1, 1.0, "k"), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, kept string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "tokenise":
+            assert out.columns == df.columns
+        if name in ("personal_data", "tokenise"):
+            assert len(got) == len(rows)
+        if name == "near_duplicates":
+            assert {r.doc_id for r in got} >= {None, 40, 41, 42} and sum(r.doc_id == 0 for r in got) <= 1
+        assert stage(spark, df.limit(0), SF).count() == 0
