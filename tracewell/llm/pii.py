@@ -50,8 +50,9 @@ GATES = {
     "card": lambda t: t.rlike("[0-9][0-9 -]{14}"), "phone": lambda t: F.instr(t, "+") > 0,
 }
 LOOSE_GATES = {
-    "email": lambda t: F.lower(t).rlike(r"dot|\[\.\]"), "ip": lambda t: t.rlike(r"[0-9]\[\.\][0-9]|:[0-9a-fA-F]{1,4}:"), "card": lambda t: t.rlike("[0-9]{4}[._/][0-9]{4}[._/]"),
-    "phone": lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}|00[1-9]"),
+    "email": [lambda t: (F.instr(t, "dot") > 0) & (F.instr(t, "at") > 0), lambda t: (F.instr(t, "[.]") > 0) & (F.instr(t, "@") > 0)],
+    "ip": [lambda t: (F.instr(t, ":") > 0) & t.rlike(":[0-9a-fA-F]{1,4}:"), lambda t: F.instr(t, "[.]") > 0], "card": [lambda t: t.rlike("[0-9]{4}[._/][0-9]{4}[._/]")],
+    "phone": [lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}"), lambda t: F.instr(t, "00") > 0],
 }
 #: Characters before a span that the context labeler reads.
 CONTEXT = 32
@@ -74,29 +75,27 @@ BLOCKS = [(1, 9), (10, 126), (128, 191), (192, 223)]
 #: Probability from which a looser candidate is taken.
 ACCEPT = 0.8
 
-_SPAN = "array<struct<s:int,e:int,v:string>>"
+_SPAN = "array<struct<p:int,s:int,e:int,v:string>>"
 
 
-def located(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
-    """df with a column of spans for each pattern: the pieces between its matches give their places by their lengths. patterns: name to (pattern, gate)."""
-    found = {f"{n}_v": F.when(g, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (p, g) in patterns.items()}
-    df = once(df, **found)
-    # a split for the few texts that match; the others stay without one
-    pieces = {f"{n}_g": F.when(F.size(f"{n}_v") > 0, F.transform(F.split(F.col(text), p, -1), F.length)).otherwise(F.array().cast("array<int>")) for n, (p, _) in patterns.items()}
-    df = once(df, **pieces)
-    paired = lambda n: F.transform(F.col(f"{n}_v"), lambda v, i: F.struct(F.get(F.col(f"{n}_g"), i).alias("g"), v.alias("v")))
-    steps = {n: paired(n) for n in patterns}
-    df = once(df, **{f"{n}_s": x for n, x in steps.items()})
+def located(df: DataFrame, text: str, name: str, patterns: list[tuple[str, Column]]) -> DataFrame:
+    """df with a column of the matches of all patterns (pattern, gate), as an array of (p, s, e, v): p is the number of the pattern. The pieces between a pattern's
+    matches give their places by their lengths; one walk over all of them places them."""
+    none = F.array().cast("array<string>")
+    found = F.array(*(F.when(g, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(none) for p, g in patterns))
+    df = once(df, _v=found)
+    gaps = [F.when(F.size(F.get("_v", F.lit(i))) > 0, F.transform(F.split(F.col(text), p, -1), F.length)).otherwise(F.array().cast("array<int>")) for i, (p, _) in enumerate(patterns)]
+    df = once(df, _g=F.array(*gaps))
+    steps = F.flatten(F.transform("_v", lambda vs, p: F.transform(vs, lambda v, i: F.struct(p.alias("p"), (i == 0).alias("first"), F.get(F.get("_g", p), i).alias("g"), v.alias("v")))))
+    df = once(df, _s=steps)
 
     def place(at: Column, x: Column) -> tuple[Column, Column]:
-        s = at + x["g"]
+        s = F.when(x["first"], 0).otherwise(at) + x["g"]
         e = s + F.length(x["v"])
-        return e, F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))
+        return e, F.struct(x["p"].alias("p"), s.alias("s"), e.alias("e"), x["v"].alias("v"))
 
-    none = F.array().cast(_SPAN)
-    spans = {n: F.when(F.size(f"{n}_s") > 0, walked(F.col(f"{n}_s"), F.lit(0), place).cast(_SPAN)).otherwise(none) for n in patterns}
-    df = once(df, **spans)
-    return df.drop(*(f"{n}_{x}" for n in patterns for x in "vgs"))
+    spans = F.when(F.size("_s") > 0, walked(F.col("_s"), F.lit(0), place).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return once(df, **{name: spans}).drop("_v", "_g", "_s")
 
 
 def _luhn(v: Column) -> Column:
@@ -121,40 +120,48 @@ def _valid(kind: str):
     }[kind]
 
 
-def _known(kind: str, v: Column) -> Column:
-    """Whether a span's text is in its kind's gazetteer."""
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    if kind == "email":
-        return F.lower(F.regexp_extract(v, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS)
-    if kind == "card":
-        return reduce(lambda a, r: a | F.substring(digits, 1, len(r[0])).between(*r), ISSUERS, F.lit(False))
-    if kind == "ip":
-        head = F.try_to_number(F.regexp_extract(v, "^([0-9]{1,3})", 1), F.lit("999")).cast("int")
-        return v.rlike("^[0-9a-fA-F]{1,4}:") | F.coalesce(reduce(lambda a, r: a | head.between(*r), BLOCKS, F.lit(False)), F.lit(False))
-    abroad = v.rlike(r"^(\+|00)")
-    code = F.regexp_replace(v, r"^(\+|00)", "")
-    bare = F.regexp_replace(code, "[^0-9]", "")
-    called = reduce(lambda a, n: a | F.substring(bare, 1, n).isin([c for c in CALLING if len(c) == n]), (1, 2, 3), F.lit(False))
-    return F.when(abroad, called).otherwise(digits.rlike("^[2-9][0-9]{2}[2-9]"))
+def _between(low: str, high: str) -> str:
+    """A regex of the numbers of len(low) digits from low to high."""
+    if low == high:
+        return low
+    return "(?:" + "|".join(str(n) for n in range(int(low), int(high) + 1)) + ")"
 
 
-def _voted(spans: Column, text: Column, kind: str, strict: bool) -> Column:
-    """Spans with kind, votes (1, 0, -1) of the three labelers and features that are no votes (0 or 1)."""
+#: The gazetteers as regexes of a span's text (digits only for cards).
+KNOWN = {
+    "email": rf"(?i)[.\]) ](?:{'|'.join(DOMAINS)})$", "card": rf"^(?:{'|'.join(_between(*r) for r in ISSUERS)})",
+    "ip": rf"^(?:[0-9a-fA-F]{{1,4}}:|(?:{'|'.join(str(n) for a, b in BLOCKS for n in range(a, b + 1))})[.\[])",
+    "phone": rf"^(?:\+|00)(?:{'|'.join(CALLING)})|^\(?[2-9][0-9]{{2}}\)?[ .-]{{1,2}}[2-9]",
+}
+
+
+def _voted(spans: Column, text: Column) -> Column:
+    """Spans (p: their pattern) with kind, votes (1, 0, -1) of the three labelers and features that are no votes (0 or 1)."""
+    of = [KINDS.index(k) for k in KINDS] + [KINDS.index(k) for k in KINDS for _ in LOOSE[k]]
+    kinds = F.array(*map(F.lit, of))
+
+    def by_kind(k: Column, value: Column, patterns: dict[str, str]) -> Column:
+        out = F.lit(False)
+        for i, kind in enumerate(KINDS):
+            out = F.when(k == i, value.rlike(patterns[kind])).otherwise(out)
+        return out
 
     def one(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
-        after = F.substring(text, x["e"] + 1, F.lit(1))
-        context = F.when(before.rlike(CONTEXT_FOR[kind]), 1).when(before.rlike(CONTEXT_AGAINST), -1).otherwise(0)
-        digits = F.regexp_replace(x["v"], "[^0-9]", "")
-        flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(int(strict)).alias("strict"),
-            F.when(_known(kind, x["v"]), 1).otherwise(-1).alias("known"), context.alias("context"), flag(F.length(x["v"]) >= 14).alias("long"),
-            flag(before.rlike(r"(^|\n)[ \t]*$")).alias("heads_line"), flag(before.rlike(r"[:=]\s*$")).alias("after_colon"), flag(after.rlike(r"[A-Za-z0-9_]")).alias("runs_on"),
-            flag(digits.rlike(r"^([0-9])\1*$")).alias("one_digit"),
+            x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["strict"].cast("int").alias("strict"),
+            F.when(by_kind(x["k"], x["said"], KNOWN), 1).otherwise(-1).alias("known"),
+            F.when(by_kind(x["k"], x["before"], CONTEXT_FOR), 1).when(x["before"].rlike(CONTEXT_AGAINST), -1).otherwise(0).alias("context"),
+            flag(F.length(x["v"]) >= 14).alias("long"), flag(x["before"].rlike(r"(^|\n)[ \t]*$")).alias("heads_line"), flag(x["before"].rlike(r"[:=]\s*$")).alias("after_colon"),
+            flag(x["after"].rlike(r"[A-Za-z0-9_]")).alias("runs_on"), flag(F.regexp_replace(x["v"], "[^0-9]", "").rlike(r"^([0-9])\1*$")).alias("one_digit"),
         )
 
-    return F.transform(spans, one)
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    with_context = F.transform(spans, lambda x: F.struct(
+        F.get(kinds, x["p"]).alias("k"), (x["p"] < len(KINDS)).alias("strict"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"),
+        F.when(F.get(kinds, x["p"]) == KINDS.index("card"), F.regexp_replace(x["v"], "[^0-9]", "")).otherwise(x["v"]).alias("said"),
+        F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))).alias("before"), F.substring(text, x["e"] + 1, F.lit(1)).alias("after"),
+    ))
+    return F.transform(with_context, one)
 
 
 #: Features of a span that are no votes.
@@ -163,16 +170,15 @@ TRAITS = ("long", "heads_line", "after_colon", "runs_on", "one_digit")
 
 def with_candidates(df: DataFrame, text: str, base: str = "base", loose: str = "loose") -> DataFrame:
     """df with its base spans and looser candidates, with votes; looser ones never touch a base span or an earlier looser one of their kind."""
-    t = fresh(df, "_said")
-    own = df.columns
+    t, own = fresh(df, "_said"), df.columns
     df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    gates = {f"_b{i}": (BASE[k], GATES[k](F.col(t))) for i, k in enumerate(KINDS)}
-    gates |= {f"_l{i}_{j}": (p, LOOSE_GATES[k](F.col(t))) for i, k in enumerate(KINDS) for j, p in enumerate(LOOSE[k])}
-    df = located(df, t, gates)
-    df = once(df, **{f"_f{i}": F.filter(F.col(f"_b{i}"), _valid(k)) for i, k in enumerate(KINDS)})
-    first = F.concat(*(_voted(F.col(f"_f{i}"), F.col(t), k, True) for i, k in enumerate(KINDS)))
-    more = F.concat(*(_voted(F.concat(*(F.col(f"_l{i}_{j}") for j in range(len(LOOSE[k])))), F.col(t), k, False) for i, k in enumerate(KINDS)))
-    df = once(df, **{base: first, "_more": more})
+    patterns = [(BASE[k], GATES[k](F.col(t))) for k in KINDS]
+    patterns += [(p, g(F.col(t))) for k in KINDS for p, g in zip(LOOSE[k], LOOSE_GATES[k])]
+    df = located(df, t, "_all", patterns)
+    fits = lambda x: reduce(lambda a, i: F.when(x["p"] == i, _valid(KINDS[i])(x)).otherwise(a), range(len(KINDS)), F.lit(True))
+    df = once(df, _good=F.when(F.size("_all") > 0, F.filter("_all", fits)).otherwise(F.col("_all")))
+    df = once(df, _voted=_voted(F.col("_good"), F.col(t)))
+    df = once(df, **{base: F.filter("_voted", lambda x: x["strict"] == 1), "_more": F.filter("_voted", lambda x: x["strict"] == 0)})
     meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
     apart = F.filter("_more", lambda x: ~F.exists(F.col(base), lambda y: meets(x, y)) & ~F.exists(F.col("_more"), lambda y: (y["k"] == x["k"]) & (y["s"] < x["s"]) & meets(x, y)))
     return once(df, **{loose: F.when(F.size("_more") > 0, apart).otherwise(F.col("_more"))}).select(*own, base, loose)
