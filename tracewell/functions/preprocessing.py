@@ -224,12 +224,12 @@ def mostly_prose(text: Column, english: Column) -> Column:
 def prose_lines(text: Column, english: Column) -> Column:
     """The prose lines of a section, trimmed."""
     lines = F.split(F.replace(F.trim(text), F.lit("\n\n"), F.lit("\n")), "\n", -1)
-    return F.trim(F.array_join(F.transform(F.filter(lines, lambda x: is_prose(x, english)), F.trim), "\n"))
+    return F.trim(F.array_join(F.transform(F.filter(lines, lambda x: is_prose(x, english)), lambda x: F.trim(x)), "\n"))
 
 
 def page_lines(text: Column) -> Column:
     """The lines of an extracted page: unescaped, trimmed, without empty and numeric ones, without those that stand more than five times."""
-    lines = F.filter(F.transform(F.split(T.unescaped(text), "\n", -1), F.trim), lambda x: (x != "") & ~x.rlike(r"^\p{N}+$"))
+    lines = F.filter(F.transform(F.split(T.unescaped(text), "\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^\p{N}+$"))
     # of equal lines, neighbours once sorted, the sixth is five places behind the first
     ordered = F.array_sort(lines)
     return F.filter(lines, lambda x: ~(F.get(ordered, F.array_position(ordered, x).cast("int") + 4).eqNullSafe(x)))

@@ -43,7 +43,7 @@ def entity_placeholders(text: Column, patterns: Iterable[str]) -> Column:
         )
 
     for p in patterns:
-        hits = F.filter(F.transform(F.regexp_extract_all(state["text"], F.lit(p), F.lit(0)), F.trim), lambda h: h != "")
+        hits = F.filter(F.transform(F.regexp_extract_all(state["text"], F.lit(p), F.lit(0)), lambda x: F.trim(x)), lambda h: h != "")
         state = F.aggregate(hits, state, one)
     return state
 

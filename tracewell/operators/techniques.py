@@ -83,9 +83,10 @@ def features(label_counts: DataFrame) -> DataFrame:
 
 
 def phrase_set(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, phrase): the distinct meant texts of nodes."""
+    """(keys, phrase): the distinct meant texts of nodes (texts, or text where a node has no others)."""
+    texts = F.coalesce("texts", F.array("text")) if "text" in nodes.columns else F.col("texts")
     replaced = F.col("replaced") if "replaced" in nodes.columns else F.create_map().cast("map<string,string>")
-    return nodes.select(*keys, F.explode(true_texts(F.coalesce("texts", F.array("text")), replaced)).alias("phrase")).distinct()
+    return nodes.select(*keys, F.explode(true_texts(texts, replaced)).alias("phrase")).distinct()
 
 
 def most_alike(left: DataFrame, right: DataFrame, cosines: DataFrame, block: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import preprocessing as P
 from tracewell.operators import decoding, labelling, report_graphs, techniques
-from tracewell.sources import knowledge
+from tracewell.sources import knowledge, reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -519,3 +519,17 @@ def event_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = report_graphs.event_graph(events, "doc", "sentence")
     n = nodes.groupBy("doc").agg(F.count("*").alias("n_nodes"), F.sum(F.size("ids")).alias("n_merged"))
     return n.join(edges.groupBy("doc").agg(F.count("*").alias("n_edges")), "doc", "left")
+
+
+@query(r"""
+    with p as (select conv_id as k, turn + 1 as page, case when turn % 7 = 1 then 'Contents' || chr(10) || text when turn % 5 = 4 then 'REFERENCES' || chr(10) || text else replace(text, ' a', '-' || chr(10)) end as t from conversations),
+    n as (select k, count(*) as n from p group by k), e as (select k, min(page) as stop from p join n using (k) where regexp_matches(t, '(?i)(\n|^)(REFERENCES\n|Acknowledgements\n|Appendix\b)') and 2 * page > n group by k),
+    x as (select p.k, page, t from p left join e using (k) where (stop is null or page < stop) and t is not null and not regexp_matches(t, '(?i)(\n|^)(table of contents|contents|list of figures|list of tables)\n'))
+    select k as conv_id, md5(trim(replace(string_agg(trim(t), ' ' order by page, trim(t)), '-' || chr(10), ''))) as digest from x group by k
+""")
+def paged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as printed pages: contents left out, cut at the references past the middle, broken words joined."""
+    t, text = F.col("turn"), F.col("text")
+    said = F.when(t % 7 == 1, F.concat(F.lit("Contents\n"), text)).when(t % 5 == 4, F.concat(F.lit("REFERENCES\n"), text)).otherwise(F.replace(text, F.lit(" a"), F.lit("-\n")))
+    pages = _read(spark, sf_dir, "conversations").select("conv_id", (t + 1).alias("page"), said.alias("text"))
+    return reports.paged_reports(pages, "conv_id").select("conv_id", F.md5("text").alias("digest"))
