@@ -1,4 +1,6 @@
-"""Greedy absorption of near duplicates, in the order of their ids, without walking a list."""
+"""Greedy absorption of near duplicates, in the order of their ids, without walking a list.
+
+Edge cases: null ids and pairs of an id with itself take no part; repeated pairs count once; without pairs nothing is absorbed; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -11,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A reliable checkpoint of df in the folder that the cluster names in spark.checkpoint.dir; where that is unset a temporary one in local mode,
+    an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not found:
             found = tempfile.mkdtemp(prefix="tracewell-")
             atexit.register(shutil.rmtree, found, True)

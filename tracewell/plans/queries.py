@@ -255,20 +255,20 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well toxicity predicts low quality."""
     count = lambda q, t: F.sum(((F.col("quality") == q) & (F.col("toxic") == t)).cast("long"))
     c = _read(spark, sf_dir, "labels").agg(count(0, 1).alias("tp"), count(1, 1).alias("fp"), count(0, 0).alias("fn"))
-    return c.select("tp", "fp", "fn", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 3).alias("precision"), F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 3).alias("recall"))
+    return c.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 3).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 3).alias("recall"))
 
 
 @query("""
-    select t / 10.0 as threshold, count(*) as n, cast(sum(case when label = 1 then 1 else 0 end) as bigint) as hits from embeddings, range(0, 10) r(t)
-    where embedding[1] > t / 10.0 group by t
+    with v as (select vec_id, label, embedding::double[] as e from embeddings),
+    p as (select a.label = b.label as same, round(list_cosine_similarity(a.e, b.e), 6) as c from v a join v b on a.vec_id < b.vec_id),
+    t as (select unnest([0.25, 0.3, 0.35, 0.4])::double as threshold)
+    select threshold, count(*) as n, cast(sum(case when same then 1 else 0 end) as bigint) as hits from p join t on c >= threshold group by threshold
 """)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over a sweep of thresholds, each row exploded to the thresholds that it reaches."""
-    rows = _read(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].alias("x"))
-    reached = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda t: F.col("x") > t / F.lit(10.0))
-    return rows.select("label", F.explode(reached).alias("t")).groupBy((F.col("t") / 10.0).alias("threshold")).agg(
-        F.count("*").alias("n"), F.sum((F.col("label") == 1).cast("long")).alias("hits")
-    )
+    """Pairs of vectors from each threshold of their cosine, and how many of them share a label; each pair is exploded to the thresholds that it reaches."""
+    pairs = similarity.all_cosine(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.24, keep=("label",))
+    reached = paths.sweep(pairs.select((F.col("a_label") == F.col("b_label")).alias("same"), "cosine"), [], "cosine", [0.25, 0.3, 0.35, 0.4])
+    return reached.groupBy("threshold").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("hits"))
 
 
 _PLACED = "e as (select event_id, user_id, event_type, value, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as place from events)"
