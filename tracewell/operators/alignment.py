@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.paths import computed
+
 #: Fixed values of the scoring rules: base similarity with and without a common label, least similarity of a candidate, verb factors,
 #: sentence distance factor.
 COMMON, APART, LEAST = 0.4, 0.3, 0.8
@@ -113,11 +115,6 @@ def hops(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return reach
 
 
-def _computed(df: DataFrame) -> DataFrame:
-    """df with its columns computed once for each row: projections cannot be folded through a generator, so no later lambda repeats them."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
-
-
 def align(
     procedure_nodes: DataFrame, procedure_edges: DataFrame, candidates: DataFrame, distances: DataFrame, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES
 ) -> DataFrame:
@@ -164,7 +161,7 @@ def align(
     rows = rows.withColumn("es", F.transform("es", lambda x: F.struct(place(x["source"]).alias("s"), place(x["target"]).alias("t"), x["cells"].alias("cells"))))
 
     matched = F.filter("ns", lambda x: x["c"].isNotNull())
-    rows = _computed(rows.withColumns({"n_plain": F.size(F.filter(matched, lambda x: x["plain"])), "complete": F.size(matched) == F.size("ns")}))
+    rows = computed(rows.withColumns({"n_plain": F.size(F.filter(matched, lambda x: x["plain"])), "complete": F.size(matched) == F.size("ns")}))
     choice = lambda t, i: F.pmod(F.floor(t / F.get("strides", i)), F.get("sizes", i)).cast("int")
 
     def scored_picks(picks: Column, t: Column) -> Column:
@@ -180,8 +177,8 @@ def align(
         ranked = lambda v: F.struct(v["score"].alias("score"), spanning_score(v["score"], v["said"], F.col("complete")).alias("span"), (-t).alias("before"), t.alias("t"))
         return bound(bound(picks, lambda p: scored_picks(p, t)), ranked)
 
-    rows = _computed(rows.withColumn("all", F.transform(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), one)))
-    rows = _computed(rows.withColumn("top", F.array_max(F.transform("all", lambda x: x["score"]))))
+    rows = computed(rows.withColumn("all", F.transform(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), one)))
+    rows = computed(rows.withColumn("top", F.array_max(F.transform("all", lambda x: x["score"]))))
     rivals = F.filter("all", lambda x: (x["score"] == F.col("top")) | (x["score"] > 0.95))
     first = F.array_max(F.transform(rivals, lambda x: F.struct(x["span"], x["score"], x["before"], x["t"])))
     last = F.array_max(F.transform("all", lambda x: F.struct(x["score"], x["t"])))

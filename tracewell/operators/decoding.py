@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.paths import outstanding_place, relative_rank, spread
+from tracewell.operators.paths import computed, outstanding_place, relative_rank, spread
 
 #: Fixed values of the decoder: least value, span limits, look-back, fewest locations, step of the second try.
 THRESHOLD, WIDEST_LEAD, WIDEST_SPREAD, BACK, NEAR, FEWEST, RELAX_STEP = 0.87, 10.0, 2.0, 3, 5, 10, 0.05
@@ -128,14 +128,14 @@ def decode(
     lists = positions.join(lists, ["report", "key"], "left").withColumn("items", F.coalesce("items", F.array().cast(f"array<{_ITEM}>")))
     packed = lists.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("key", "items"))).alias("at"))
     packed = reports.join(packed, "report", "left").withColumn("at", F.coalesce("at", F.array().cast(f"array<struct<key:int,items:array<{_ITEM}>>>")))
-    best = lookback(F.transform("at", lambda x: x["items"]))
-    packed = packed.withColumn("best", best)
+    packed = computed(computed(packed.withColumn("lists", F.transform("at", lambda x: x["items"]))).withColumn("best", lookback(F.col("lists"))))
     chosen = F.transform("best", lambda b: F.struct(F.get(F.col("at"), b["pos"])["key"].alias("location"), b["item"]["tech"].alias("tech")))
     top = F.filter(F.transform("at", lambda x: F.struct(x["key"].alias("key"), F.filter(F.slice(x["items"], 1, topk), lambda y: -y["value"] >= threshold).alias("items"), F.size(x["items"]).alias("n"))), lambda x: x["n"] > 0)
-    packed = packed.withColumn("top", top)
+    packed = computed(packed.withColumn("top", top))
     listed = F.transform("top", lambda x: x["items"]) if relax else F.transform("best", lambda b: F.array(b["item"]))
     techs = F.transform("top", lambda x: F.struct(x["key"].alias("location"), F.transform(x["items"], lambda y: y["tech"]).alias("techs")))
-    return packed.select("report", chosen.alias("best"), techs.alias("topk"), _path(listed).alias("path"))
+    packed = computed(packed.withColumn("listed", listed))
+    return packed.select("report", chosen.alias("best"), techs.alias("topk"), _path(F.col("listed")).alias("path"))
 
 
 def decode_reports(alignments: DataFrame, keywords: DataFrame | None = None, threshold: float = THRESHOLD, fewest: int = FEWEST, recode: bool = True, **options) -> DataFrame:

@@ -42,6 +42,11 @@ def closest(df: DataFrame, means: DataFrame, keys: list[str], at: str, *ties: st
     return joined.groupBy(*keys).agg(F.min_by(at, F.struct(gap, *ties)).alias(at), F.min(F.struct(gap.alias("g"), *ties)).alias("m")).select(*keys, at, F.col("m.g").alias("gap"))
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df with its columns computed once for each row: projections cannot be folded through a generator, so no later lambda repeats them."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def spread(places: Column) -> Column:
     """Population standard deviation of an array."""
     n = F.size(places)
