@@ -16,8 +16,10 @@ triples seen once are kept. A context that was never seen leaves the lower order
 A word that a large share of all tokens are is hot: its triples are dealt to several shards by the word before it, while its pairs go to its
 own shard. Which words are hot is read off every 64th text and decides only where entries lie, never what they are.
 
-Tasks write shards as files in the shared folder. While they are below MODEL_BYTES together, workers map all of them (from a remote folder they
-read them); above, the triples of the texts are dealt by shard, so that a task opens only its own shards. Both give equal results up to rounding.
+In corpora up to MODEL_BYTES tasks write shards as files in the shared folder and workers map all of them (from a remote folder they read them).
+Above, texts stand in compressed blocks of about BLOCK_BYTES; the distinct triples of a block, of its held-out texts too, go to their shards once; the
+task that lays out a shard answers them from it with the trie's one-byte codes, in their order, so that answers need no keys when they meet
+their block again. Both ways give equal results.
 
 Edge cases: null and empty texts are one end mark; without training texts every count is 0 and all scores follow from the formulas;
 very long texts are read whole; repeated rows score equally; null ids count for fold 0; extra columns are not read. Words are told apart by 64
@@ -29,11 +31,13 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard as zstd
 from pyarrow import fs as pafs
@@ -46,10 +50,12 @@ from tracewell.llm.common import Workspace, fold
 DISCOUNT = 0.75
 #: Steps of a quantised log10 value of one byte: 0 to 8.5 below 1.
 STEPS = 30
-#: Bytes of the trie up to which workers map all of it.
+#: Characters of the corpus, for each of which the trie takes about a byte, up to which workers map all of it.
 MODEL_BYTES = 1 << 30
 #: Tokens that a task holds before it folds and sends them, and tokens scored at a time.
 FOLD_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
+#: Bytes of text in a block.
+BLOCK_BYTES = 12_000_000
 #: Characters of the corpus for each shard.
 SHARD_CHARS = 8_000_000
 #: A word is hot from this share of a shard's fair part of the tokens; at most HOT_SPLIT shards hold its triples.
@@ -153,22 +159,18 @@ def _wide(raw: np.ndarray, width: int) -> np.ndarray:
 def _blob(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, fp: int) -> bytes:
     """Sorted triples, packed: each word and each context once."""
     words, contexts = _runs(v), _runs(v, u)
-    parts = [
-        v[words].astype("<u8").tobytes(), _pack.compress(np.diff(np.r_[words, len(v)]).astype("<u4").tobytes()),
-        _cut(u[contexts], fp // 8).tobytes(), _pack.compress(np.diff(np.r_[contexts, len(v)]).astype("<u4").tobytes()),
-        _cut(w, fp // 8).tobytes(), _pack.compress(count.astype("<u4").tobytes()),
-    ]
-    return np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
+    sizes = [np.diff(np.r_[words, len(v)]), np.diff(np.r_[contexts, len(v)]), count]
+    head = np.array([len(words), len(contexts), len(v)], "<u8").tobytes()
+    return b"".join((head, v[words].astype("<u8").tobytes(), _cut(u[contexts], fp // 8), _cut(w, fp // 8), _pack.compress(np.concatenate(sizes).astype("<u4").tobytes())))
 
 
 def _unblob(raw: bytes, fp: int):
-    sizes, at, parts = np.frombuffer(raw, "<u8", 6), 48, []
-    for n in sizes.tolist():
-        parts.append(raw[at : at + n])
-        at += n
-    ints = lambda k: np.frombuffer(_unpack.decompress(parts[k]), "<u4").astype(np.int64)
-    cut = lambda k: _wide(np.frombuffer(parts[k], np.uint8).reshape(-1, fp // 8), fp // 8)
-    return np.repeat(np.frombuffer(parts[0], "<u8"), ints(1)), np.repeat(cut(2), ints(3)), cut(4), ints(5)
+    n = np.frombuffer(raw, "<u8", 3).tolist()
+    ends = 24 + np.cumsum([0, 8 * n[0], *(k * (fp // 8) for k in n[1:])])
+    words, contexts, w = (np.frombuffer(raw[a:b], np.uint8) for a, b in zip(ends, ends[1:]))
+    sizes = np.frombuffer(_unpack.decompress(raw[ends[-1] :]), "<u4").astype(np.int64)
+    cut = lambda x: _wide(x.reshape(-1, fp // 8), fp // 8)
+    return np.repeat(words.view("<u8"), sizes[: n[0]]), np.repeat(cut(contexts), sizes[n[0] : n[0] + n[1]]), cut(w), sizes[n[0] + n[1] :]
 
 
 #: For each byte and rank the place of its set bit of that rank (8 if it has fewer).
@@ -387,7 +389,7 @@ class Shard:
     EFS, ARRAYS = 7, 33
 
     def __init__(self, raw: np.ndarray, number: int, bits: int, fp: int, hot: np.ndarray):
-        self.number, self.bits, self.fp, self.hot = number, bits, fp, hot
+        self.size, self.number, self.bits, self.fp, self.hot = len(raw), number, bits, fp, hot
         n = 2 * self.EFS + self.ARRAYS
         head = raw[: 8 * n].view("<u8").tolist()
         at, parts = 8 * n, []
@@ -599,45 +601,51 @@ def score_documents(
         with fs.open_output_stream(new) as out:  # a task that runs twice writes the same bytes
             out.write(raw)
         fs.move(new, f"{path}/{k}.trie")
-        made = Shard(np.frombuffer(raw, np.uint8), k, bits, fp, np.array(sorted(hot), np.uint64))
-        counts = made.counts.astype(np.int64)
-        start = made.words.access(np.arange(made.words.n)) == START if k == 0 else np.zeros(len(counts), bool)
-        real = (counts > 0) & ~start
-        return pd.DataFrame({
-            "size": [len(raw)], "n_types": [int(real.sum())], "n_tokens": [int(counts[real].sum())], "n_texts": [int(counts[start].sum())],
-        })
-
-    built = _count(train, bits, fp, hot).groupBy("shard").applyInPandas(build, "size long, n_types long, n_tokens long, n_texts long")
-    built = space.save("sizes", built)
-    size, types, tokens, texts = (x or 0 for x in built.agg(*map(F.sum, ("size", "n_types", "n_tokens", "n_texts"))).first())
+        return pd.DataFrame([_sizes(Shard(np.frombuffer(raw, np.uint8), k, bits, fp, np.array(sorted(hot), np.uint64)), k)], columns=SIZES)
+
+    if chars <= model_bytes:
+        built = _count(train, bits, fp, hot).groupBy("shard").applyInPandas(build, ", ".join(f"{x} long" for x in SIZES))
+        built, scored = space.save("sizes", built), partial(_by_map, rows, uri, bits, fp, tuple(sorted(hot.items())))
+    else:
+        built, scored = _by_blocks(space, rows, bits, fp, hot, discount)
+    _, types, tokens, texts = (x or 0 for x in built.agg(*map(F.sum, SIZES)).first())
+    spark._jvm.System.gc()  # the triples' shuffle is not read again: Spark deletes the files of shuffles that the driver has collected
     # the end mark is never a middle word: it is counted by the texts
     total, vocabulary = tokens + texts, types + int(texts > 0)
     norm = float(np.log10(total + 0.5 * (vocabulary + 1)))
-    args = (uri, bits, fp, tuple(sorted(hot.items())), texts, norm)
-    scored = _by_map(rows, *args) if size <= model_bytes else _by_shards(space, rows, *args)
-    return scored.select(
+    return scored(texts, norm).select(
         F.col("_id").alias(key), F.col("_held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
 
 
-def _by_map(rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: int, norm: float) -> DataFrame:
-    """Scores with the whole trie open in every worker."""
-    names = ["_id", "_held", "n_tokens", "n_known", "base_score", "score"]
+#: Columns of scores, and of the sizes of shards.
+SCORED, SIZES = ["_id", "_held", "n_tokens", "n_known", "base_score", "score"], ["size", "n_types", "n_tokens", "n_texts"]
 
-    def scored(hashes: list[np.ndarray], trie: Trie):
-        u, v, w = triples(hashes)
-        count, a, b = trie.lookup(u, v, w)
-        # the count of a token is that of the middle word it is next; the last token of a text is the end mark
-        starts = np.cumsum([0, *map(len, hashes)])
-        c = np.empty(len(w), np.int64)
-        c[:-1] = count[1:]
-        c[starts[1:] - 1] = texts
-        unigram = np.log10(c + 0.5) - norm
-        cut = starts[:-1]
-        sums = (np.add.reduceat(x, cut) for x in ((c > 0).astype(np.int64), unigram, np.log10(a + b * 10.0**unigram)))
-        return (np.diff(starts), *sums)
 
+def _sizes(made: Shard, number: int) -> tuple[int, int, int, int]:
+    """SIZES of a shard: its bytes, kinds of words, words, and texts (they are counted at their start marks, in the first shard)."""
+    counts = made.counts.astype(np.int64)
+    start = made.words.access(np.arange(made.words.n)) == START if number == 0 else np.zeros(len(counts), bool)
+    real = (counts > 0) & ~start
+    return made.size, int(real.sum()), int(counts[real].sum()), int(counts[start].sum())
+
+
+def _sums(hashes: list[np.ndarray], count: np.ndarray, a: np.ndarray, b: np.ndarray, texts: int, norm: float):
+    """Per text the numbers of tokens and known ones, the unigrams' score and the trie's, from what Trie.lookup gives for its tokens."""
+    # the count of a token is that of the middle word it is next; the last token of a text is the end mark
+    starts = np.cumsum([0, *map(len, hashes)])
+    c = np.empty(len(count), np.int64)
+    c[:-1] = count[1:]
+    c[starts[1:] - 1] = texts
+    unigram = np.log10(c + 0.5) - norm
+    cut = starts[:-1]
+    sums = (np.add.reduceat(x, cut) for x in ((c > 0).astype(np.int64), unigram, np.log10(a + b * 10.0**unigram)))
+    return (np.diff(starts), *sums)
+
+
+def _by_map(rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: int, norm: float) -> DataFrame:
+    """Scores with the whole trie open in every worker."""
     def run(batches):
         trie, waiting, size = _trie(uri, bits, fp, hot), [], 0
 
@@ -650,13 +658,13 @@ def _by_map(rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: in
                     cuts.append(k + 1)
                     total = 0
             cuts = [*cuts, len(hashes)]
-            parts = [scored(hashes[a:b], trie) for a, b in zip(cuts, cuts[1:]) if b > a]
+            parts = [_sums(hashes[a:b], *trie.lookup(*triples(hashes[a:b])), texts, norm) for a, b in zip(cuts, cuts[1:]) if b > a]
             cols = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 4
             at = 0
             for batch, own in waiting:
                 ends = [pa.array(x[at : at + len(own)], t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 at += len(own)
-                yield pa.RecordBatch.from_arrays([*batch, *ends], names=names)
+                yield pa.RecordBatch.from_arrays([*batch, *ends], names=SCORED)
 
         for batch in batches:
             hashes = [word_hashes(t) for t in batch.column(2).to_pylist()]
@@ -671,44 +679,176 @@ def _by_map(rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: in
     return rows.mapInArrow(run, f"_id {kind}, _held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def _by_shards(space: Workspace, rows: DataFrame, uri: str, bits: int, fp: int, hot: tuple, texts: int, norm: float) -> DataFrame:
-    """The same scores with the texts' distinct triples dealt by shard, so that a task opens its own shards one after the other."""
-    own = space.save("numbered", rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = min(1 << bits, 4096)
+class Questions:
+    """The distinct triples of some texts in the order of their shards, how often they are in texts to learn from, and the same of the pairs of hot words. It follows from
+    the texts alone, so that answers come back in its order without keys."""
+
+    def __init__(self, hashes: list[np.ndarray], held: np.ndarray, bits: int, fp: int, hot: dict[int, int]):
+        u, v, w = triples(hashes)
+        order, at = _grouped(v, u, w)
+        self.fp, self.order, self.times = fp, order.astype(np.int32), np.diff(np.r_[at, len(v)]).astype(np.int32)
+        u, v, w = (x[order[at]] for x in (u, v, w))
+        count = np.add.reduceat(np.repeat(~held, list(map(len, hashes)))[order], at, dtype=np.int64)
+        shard = shards_of(u, v, bits, hot)
+        turn = np.argsort(shard, kind="stable")
+        self.turn, self.v, self.u, self.w, self.count = turn.astype(np.int32), v[turn], _print(u[turn], fp), _print(w[turn], fp), count[turn]
+        self.cuts = self._cuts(shard[turn])
+        # pairs of hot words go to their homes, their triples where the word before sends them
+        self.mine = np.flatnonzero(np.isin(self.v, np.array(list(hot), np.uint64))) if hot else np.zeros(0, np.int64)
+        v, w = self.v[self.mine], self.w[self.mine]
+        turn = np.lexsort((w, v))
+        at = _runs(v[turn], w[turn])
+        self.pair_of = np.empty(len(v), np.int64)
+        self.pair_of[turn] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(v)]))
+        self.pv, self.pw = v[turn][at], w[turn][at]
+        self.pair_count = np.add.reduceat(self.count[self.mine][turn], at) if len(at) else self.count[:0]
+        self.pair_cuts = self._cuts(homes(self.pv, bits))
+
+    @staticmethod
+    def _cuts(shard: np.ndarray) -> list[tuple[int, int, int]]:
+        at = _runs(shard)
+        return list(zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)]))
+
+    def sent(self):
+        """Packed questions: (shard, pairs, blob)."""
+        for k, a, b in self.cuts:
+            yield k, False, _blob(self.v[a:b], self.u[a:b], self.w[a:b], self.count[a:b], self.fp)
+        for k, a, b in self.pair_cuts:
+            yield k, True, _blob(self.pv[a:b], np.zeros(b - a, np.uint64), self.pw[a:b], self.pair_count[a:b], self.fp)
+
+    def lookup(self, answers: dict[tuple[int, bool], bytes]):
+        """Per token what Trie.lookup gives, from the answers by (shard, pairs)."""
+        values = lambda n: (np.zeros(n, np.int64), np.ones(n), np.zeros(n))
+        three, back3, own3 = values(len(self.v)), np.ones(len(self.v)), np.zeros(len(self.v))
+        for k, a, b in self.cuts:
+            *got, back3[a:b], own3[a:b] = _unpacked(answers[k, False], self.v[a:b], self.u[a:b])
+            for x, y in zip(three, got):
+                x[a:b] = y
+        two = values(len(self.pv))
+        for k, a, b in self.pair_cuts:
+            for x, y in zip(two, _unpacked(answers[k, True], self.pv[a:b], np.zeros(b - a, np.uint64))):
+                x[a:b] = y
+        for x, y in zip(three, two):
+            x[self.mine] = y[self.pair_of]
+        count, back, own = three
+        out = []
+        for x in (count, own3 + back3 * own, back3 * back):
+            grouped, y = np.empty(len(x), x.dtype), np.empty(len(self.order), x.dtype)
+            grouped[self.turn] = x
+            y[self.order] = np.repeat(grouped, self.times)
+            out.append(y)
+        return out
+
+
+def _seen(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities, 255 for none."""
+    return np.where(p > 0, np.minimum(_code(p), 254), 255).astype(np.uint8)
+
+
+def _packed(v, u, count, back, own, back3, own3) -> bytes:
+    """Answers to a blob in its order: own probabilities and back-off weights as the codes that they have in the trie, the latter once a context or word."""
+    words, contexts = _runs(v), _runs(v, u)
+    parts = _seen(own), _seen(own3), _code(back3[contexts]), count[words].astype("<u8"), back[words].astype("<f4")
+    return _pack.compress(b"".join(x.tobytes() for x in parts))
+
+
+def _unpacked(raw: bytes, v: np.ndarray, u: np.ndarray):
+    raw, at, out = _unpack.decompress(raw), 0, []
+    words, contexts = _runs(v), _runs(v, u)
+    for n, kind in ((len(v), "u1"), (len(v), "u1"), (len(contexts), "u1"), (len(words), "<u8"), (len(words), "<f4")):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    own, own3 = (np.where(x < 255, _VALUES[x], 0.0) for x in out[:2])
+    spread = lambda x, at: np.repeat(x, np.diff(np.r_[at, len(v)]))
+    return spread(out[3].astype(np.int64), words), spread(out[4].astype(np.float64), words), own, spread(_VALUES[out[2]], contexts), own3
+
+
+def _blocks(space: Workspace, rows: DataFrame) -> tuple[str, DataFrame]:
+    """The rows in files of about BLOCK_BYTES of text, so that they are read twice in one order; their folder and a table of their names. A task that runs
+    twice gives its files other names, and the table has those of one run."""
+    uri = space.folder("blocks")
+
+    def run(batches):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path, recursive=True)
+        waiting, size = [], 0
+
+        def done():
+            table, name = pa.Table.from_batches(waiting).combine_chunks(), uuid.uuid4().int >> 65
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+            with fs.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_stream(out, table.schema, options=options) as to:
+                to.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64())], ["block"])
 
-    def split(batches):
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                u, v, w = triples([word_hashes(text)])
-                v, u, w, n = _folded(v, u, w, None)
-                cols = (np.full(len(v), row), homes(v, bits), shards_of(u, v, bits, dict(hot)), *(x.view(np.int64) for x in (u, v, w)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["_row", "home", "shard", "u", "v", "w", "n"])
-
-    def asked(ask, extra):
-        def run(batches):
-            trie = Trie(uri, bits, fp, dict(hot), keep=4)
-            for batch in batches:
-                cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-                got = ask(trie, *(cols[n].view(np.uint64) for n in ("u", "v", "w")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, got)], [*batch.schema.names, *extra])
-
-        return run
-
-    kinds = "_row long, home long, shard long, u long, v long, w long, n long"
-    table = own.select("_row", "_text").mapInArrow(split, kinds)
-    # a shard's rows come in order; a hot one is salted over tasks, each of which reads its file
-    dealt = lambda df, by: df.repartition(parts, by, F.pmod("_row", F.lit(16))).sortWithinPartitions(by, "v", "u")
-    table = dealt(table, "home").mapInArrow(asked(Trie.pair_values, ["c", "b2", "own2"]), f"{kinds}, c long, b2 double, own2 double")
-    table = dealt(table, "shard").mapInArrow(asked(Trie.context_values, ["b3", "own3"]), f"{kinds}, c long, b2 double, own2 double, b3 double, own3 double")
-    table = space.save("asked", table.select("_row", "v", "w", "n", "c", (F.col("own3") + F.col("b3") * F.col("own2")).alias("a"), (F.col("b3") * F.col("b2")).alias("b")))
-    # the count of a token other than the end mark is on its own row as a middle word of the same text
-    middle = table.select("_row", F.col("v").alias("w"), F.col("c").alias("cw")).distinct()
-    table = table.join(middle, ["_row", "w"], "left")
-    c = F.when(F.col("w") == END, F.lit(texts)).otherwise(F.coalesce("cw", F.lit(0)))
-    unigram = F.log10(c + 0.5) - F.lit(norm)
-    p = F.col("a") + F.col("b") * F.pow(F.lit(10.0), unigram)
-    sums = table.select("_row", "n", (c > 0).cast("long").alias("k"), unigram.alias("x"), F.log10(p).alias("l")).groupBy("_row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("k")).alias("n_known"), F.sum(F.col("n") * F.col("x")).alias("base_score"),
-        F.sum(F.col("n") * F.col("l")).alias("score"),
-    )
-    return own.drop("_text").join(sums, "_row")
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at, before = 0, 0
+            while at < len(ends):
+                stop = min(int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1, len(ends))
+                waiting.append(batch.slice(at, stop - at))
+                size, at, before = size + int(ends[stop - 1]) - before, stop, int(ends[stop - 1])
+                if size >= BLOCK_BYTES:
+                    yield done()
+                    waiting, size = [], 0
+        if waiting:
+            yield done()
+
+    return uri, space.save("names", rows.mapInArrow(run, "block long"))
+
+
+def _block(uri: str, name: int, *args) -> tuple[pa.Table, list[np.ndarray], Questions]:
+    """A block's rows, the hashes of their words and their questions."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        table = pa.ipc.open_stream(f).read_all()
+    hashes = [word_hashes(t) for t in table.column(2).to_pylist()]
+    return table, hashes, Questions(hashes, table.column(1).to_numpy(), *args)
+
+
+def _by_blocks(space: Workspace, rows: DataFrame, bits: int, fp: int, hot: dict[int, int], discount: float) -> tuple[DataFrame, Callable[[int, float], DataFrame]]:
+    """The same scores without files of shards: the triples of a block's texts, to learn from or not, go to their shards once; the task that lays out a shard answers them from
+    it, in their order; and answers meet their block. Gives the sizes of the shards, and the scores from the number of texts and the norm."""
+    uri, names = _blocks(space, rows)
+    n = max(1, min(names.count(), 10_000))
+
+    def ask(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                got = list(_block(uri, name, bits, fp, hot)[2].sent())
+                for k in range(0, len(got), 32):
+                    shard, pairs, blob = zip(*got[k : k + 32])
+                    cols = [pa.array([name] * len(shard), pa.int64()), pa.array(shard, pa.int32()), pa.array(pairs), pa.array(blob, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["block", "shard", "pairs", "blob"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        shard, pairs = asked["shard"][0].as_py(), asked["pairs"].to_pylist()
+        blobs, words = [_unblob(x, fp) for x in asked["blob"].to_pylist()], np.array(sorted(hot), np.uint64)
+        learn = lambda kind: [tuple(x[b[3] > 0] for x in b) for b, p in zip(blobs, pairs) if p == kind]
+        raw = levels(learn(False), learn(True), shard, bits, fp, words, discount)
+        made = Shard(np.frombuffer(raw, np.uint8), shard, bits, fp, words)
+        whole = lambda x: x << np.uint64(64 - fp)
+        v, u, w = (np.concatenate([b[k] for b in blobs]) for k in range(3))
+        place, hit, *two = made.pairs(v, whole(w))
+        three = made.contexts_of(whole(u), v, place, hit)
+        cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
+        packed = [_packed(*(x[a:b] for x in (v, u, *two, *three))) for a, b in zip(cuts, cuts[1:])]
+        sizes = [pa.array([x] + [0] * (len(blobs) - 1), pa.int64()) for x in _sizes(made, shard)]
+        return pa.table([asked["block"], asked["shard"], asked["pairs"], pa.array(packed, pa.binary()), *sizes], [*asked.schema.names, *SIZES])
+
+    sizes = ", ".join(f"{x} long" for x in SIZES)
+    kinds = "block long, shard int, pairs boolean, blob binary"
+    asked = names.coalesce(1).repartition(n).mapInArrow(ask, kinds).repartition(min(1 << bits, 4096), "shard")
+    answers = space.save("answers", asked.groupBy("shard").applyInArrow(answer, f"{kinds}, {sizes}"))
+    ids = dict(rows.dtypes)["_id"]
+
+    def scored(texts: int, norm: float) -> DataFrame:
+        def run(own: pa.Table) -> pa.Table:
+            table, hashes, questions = _block(uri, own["block"][0].as_py(), bits, fp, hot)
+            got = dict(zip(zip(own["shard"].to_pylist(), own["pairs"].to_pylist()), own["blob"].to_pylist()))
+            cols = zip(_sums(hashes, *questions.lookup(got), texts, norm), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
+            return pa.table([table.column(0), table.column(1), *(pa.array(x, t) for x, t in cols)], SCORED)
+
+        own = answers.select("block", "shard", "pairs", "blob").repartition(min(n, 4096), "block").groupBy("block")
+        return own.applyInArrow(run, f"_id {ids}, _held boolean, n_tokens long, n_known long, base_score double, score double")
+
+    return answers, scored
