@@ -456,6 +456,25 @@ def test_topics_part_texts_by_their_words(spark):
     assert mixing.with_topics(spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x")], DOCS)).where("topic <> 0").count() == 0
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """A topic of few texts, none of them among the 4,000 of the smallest hashes, is a centre; on the driver, in passes over tables and in any order of the rows alike."""
+    rng = np.random.default_rng(6)
+    vocab = [[f"{x}{i}word" for i in range(8)] for x in "abcd"]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3 if i < 8000 else 3], 12)), "x") for i in range(8200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    early = {r.doc_id for r in docs.orderBy(F.xxhash64("text"), "text").limit(4100).select("doc_id").collect()}
+    docs = docs.where(~F.col("doc_id").isin([i for i in early if i >= 8000])).cache()
+    assert docs.where("doc_id >= 8000").count() > 50
+
+    def topics(df, **more):
+        return {r.doc_id: r.topic for r in mixing.with_topics(df, topics=4, **more).collect()}
+
+    got = topics(docs)
+    own = [{t for i, t in got.items() if (i % 3 if i < 8000 else 3) == k} for k in range(4)]
+    assert all(len(t) == 1 for t in own) and len(set().union(*own)) == 4
+    assert got == topics(docs.repartition(7, "text")) == topics(docs, driver_texts=1 << 20)
+
+
 def test_mixing_rows(spark):
     rng = random.Random(3)
     rows = [(i, f"s{i % 3}", rng.choice(["en", "fr", None]), " ".join(rng.choice(["alpha", "betaa", "gamma"]) for _ in range(20))) for i in range(300)] + [(None, None, None, None), (5, "s2", "en", "alpha " * 100_000)]

@@ -4,8 +4,10 @@ Tokens are counted by cell (source, language, topic). The cells' weights are rak
 marginal until all hold. A document is drawn with probability min(1, scale * target weight / tokens of its cell), where the scale
 makes the expected tokens equal the budget; the draw is a hash of the document and the seed, so it repeats.
 
-Topics are clusters of texts: spherical k-means over hashed counts of long words, damped by their logarithm, weighted by how rare a feature is in the sample and of unit
-length. The centres are fitted on a bounded sample (SAMPLE texts, those with the smallest hashes); every text goes to the centre nearest to it.
+Topics are clusters of texts: spherical k-means over hashed counts of long words, damped by their logarithm, weighted by how rare a feature is in all texts and of unit
+length. Weights and centres are fitted on all texts: their counts are written once, sparse, and each round is a pass over them that sends sums by centre to the driver (up
+to DRIVER_TEXTS texts the driver makes the passes itself). Vectors are whole numbers of steps of 1 / ONE, so that sums, and with them topics, do not depend on
+the order or the place of the rows. Every text goes to the centre nearest to it.
 
 Raking runs on the driver up to DRIVER_CELLS cells and on tables above, by the same rule: until no marginal is off by more than CLOSE, or for
 ROUNDS rounds. If it has not converged by then (targets that the cells cannot meet) it warns and says how far off it is.
@@ -22,16 +24,19 @@ import math
 import warnings
 import zlib
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Workspace, fresh, map_texts
 
-#: Topics, hashed features, texts of the sample that topics are fitted on, and rounds of the fit.
-TOPICS, FEATURES, SAMPLE, FIT_ROUNDS = 8, 512, 4000, 20
+#: Topics, hashed features, rounds of the fit, and texts up to which the driver makes its passes.
+TOPICS, FEATURES, FIT_ROUNDS, DRIVER_TEXTS = 8, 512, 20, 4000
+#: Steps of a unit vector's components, and texts whose features are packed together.
+ONE, PACKED = 1 << 20, 32
 #: Bytes from which a word is a feature.
 LONG = 5
 #: Cells that the driver rakes itself; above that the raking runs on tables.
@@ -45,51 +50,133 @@ class RakingWarning(UserWarning):
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
-    """Damped counts of a text's hashed long words, and the number of its words."""
+    """Counts of a text's hashed long words, and the number of its words."""
     words = (text or "").lower().encode().split()
     hashed = [zlib.crc32(w) % FEATURES for w in words if len(w) >= LONG]
-    return np.log1p(np.bincount(hashed, minlength=FEATURES)), len(words)
+    return np.bincount(hashed, minlength=FEATURES), len(words)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length, in steps."""
     norm = np.sqrt((x**2).sum(-1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
-def fit_topics(x: np.ndarray, topics: int = TOPICS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of features and unit centres of clusters of the rows of x (without empty ones). The first centre is the mean's nearest row, each next one the row
-    farthest from all, so the fit repeats."""
-    x = x[x.sum(1) > 0]
-    weights = np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1 if len(x) else np.ones(FEATURES)
-    if not len(x):
-        return weights, np.zeros((1, FEATURES))
-    x = _unit(x * weights)
-    picks = [int((x @ _unit(x.mean(0))).argmax())]
-    near = x @ x[picks[0]]
-    while len(picks) < min(topics, len(x)):
-        picks.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[picks[-1]])
-    centres = x[picks]
+    return np.rint(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) * ONE)
+
+
+def _units(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Texts as damped and weighted unit vectors."""
+    return _unit(np.log1p(counts) * weights)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Rows of whole numbers without their zeros."""
+    row, at = np.nonzero(x)
+    return b"".join(y.tobytes() for y in (np.array([len(x)], "<u4"), np.bincount(row, minlength=len(x)).astype("<u4"), at.astype("<u2"), x[row, at].astype("<u4")))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes = np.frombuffer(raw, "<u4", n, 4)
+    total = int(sizes.sum())
+    x = np.zeros((n, FEATURES))
+    x[np.repeat(np.arange(n), sizes), np.frombuffer(raw, "<u2", total, 4 + 4 * n)] = np.frombuffer(raw, "<u4", total, 4 + 4 * n + 2 * total)
+    return x
+
+
+#: A pass: a function of packed rows that gives bytes, and what it gave for each part of the rows.
+Pass = Callable[[Callable[[Iterable[bytes]], bytes]], list[bytes]]
+
+
+def _sums(over: Pass, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sums over all rows: of gives those of some rows."""
+
+    def run(packs):
+        total = np.zeros((size, FEATURES), np.int64)
+        for raw in packs:
+            total += of(_unpacked(raw)).astype(np.int64)
+        return total.tobytes()
+
+    return sum((np.frombuffer(x, np.int64).reshape(size, FEATURES) for x in over(run)), np.zeros((size, FEATURES), np.int64))
+
+
+def _best(over: Pass, score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The row with the largest score; among equal ones the largest bytes."""
+
+    def run(packs):
+        most = None
+        for raw in packs:
+            x = _unpacked(raw)
+            by = score(x)
+            top = np.flatnonzero(by == by.max())
+            most = max((*([most] if most else []), *((float(by[k]), _packed(x[k : k + 1])) for k in top.tolist())))
+        return np.array([most[0]]).tobytes() + most[1] if most else b""
+
+    found = [(np.frombuffer(x, np.float64, 1)[0], x[8:]) for x in over(run) if x]
+    return _unpacked(max(found)[1])[0]
+
+
+def fit_topics(over: Pass, n: int, topics: int = TOPICS) -> np.ndarray:
+    """Centres of clusters of n unit rows. The first centre is the mean's nearest row, each next one the row farthest from all, so the fit repeats."""
+    if not n:
+        return np.zeros((1, FEATURES))
+    mean = _unit(_sums(over, lambda x: x.sum(0, keepdims=True), 1).astype(float))[0]
+    centres = _best(over, lambda x: x @ mean)[None]
+    while len(centres) < min(topics, n):
+        now = centres
+        centres = np.concatenate([centres, _best(over, lambda x: -(x @ now.T).max(1))[None]])  # noqa: B023
     for _ in range(FIT_ROUNDS):
-        of = (x @ centres.T).argmax(1)
-        moved = _unit(np.stack([x[of == k].sum(0) if (of == k).any() else centres[k] for k in range(len(centres))]))
-        if np.allclose(moved, centres):
+        now = centres
+        sums = _sums(over, lambda x: np.eye(len(now))[(x @ now.T).argmax(1)].T @ x, len(now))  # noqa: B023
+        centres = np.where(sums.any(1, keepdims=True), _unit(sums.astype(float)), now)
+        if np.allclose(centres, now, atol=1e-8 * ONE):
             break
-        centres = moved
-    return weights, centres
+    return centres
 
 
 def with_topics(
-    df: DataFrame, text: str = "text", names: tuple[str, str] = ("topic", "n_tokens"), topics: int = TOPICS, sample: int = SAMPLE,
+    df: DataFrame, text: str = "text", names: tuple[str, str] = ("topic", "n_tokens"), topics: int = TOPICS, driver_texts: int = DRIVER_TEXTS,
 ) -> DataFrame:
     """Adds the topic of each text and the number of its words."""
-    # a bound on the hash lets few more through than the sample takes, so no task sends more than its part of it
-    own = df.select(F.col(text).alias("_t")).where("_t is not null").withColumn("_h", F.xxhash64("_t"))
-    span = min(1.0, 1.5 * sample / max(own.count(), 1)) if sample else 0.0
-    some = own.where(F.col("_h") <= F.lit(min(2**63 - 1, int(-(2**63) + span * 2**64)))).orderBy("_h", "_t").limit(sample).select("_t")
-    made = map_texts(some, "_t", [("_x", "array<double>")], lambda: lambda texts: [[features(t)[0].tolist() for t in texts]])
-    found = made.select("_x").collect()
-    weights, centres = fit_topics(np.array([r["_x"] for r in found]).reshape(-1, FEATURES), topics)
+    space = Workspace(df.sparkSession, "topics")
+
+    def mapped(table: DataFrame, run) -> DataFrame:
+        """run: from packed rows to pairs of a number and bytes."""
+
+        def each(batches):
+            for n, raw in run(x for batch in batches for x in batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([n], pa.int64())], ["_x", "_n"])
+
+        return table.mapInArrow(each, "_x binary, _n long")
+
+    def counted(texts):
+        held = []
+        for t in texts:
+            x = features(t)[0]
+            if x.any():
+                held.append(x)
+            if len(held) == PACKED:
+                yield len(held), _packed(np.stack(held))
+                held = []
+        if held:
+            yield len(held), _packed(np.stack(held))
+
+    rows = space.save("counts", mapped(df.select(text), counted))
+    n = rows.agg(F.sum("_n")).first()[0] or 0
+    packs = [bytes(r["_x"]) for r in rows.select("_x").collect()] if n <= driver_texts else None
+
+    def over(run):
+        if packs is not None:
+            return [run(packs)]
+        return [bytes(r["_x"]) for r in mapped(rows, lambda found: [(0, run(found))]).select("_x").collect()]
+
+    holding = _sums(over, lambda x: (x > 0).sum(0, keepdims=True), 1)[0]
+    weights = np.log((n + 1) / (holding + 1)) + 0.1
+    if packs is not None:
+        packs = [_packed(_units(_unpacked(x), weights)) for x in packs]
+    else:
+        rows = space.save("units", mapped(rows.select("_x"), lambda found: ((0, _packed(_units(_unpacked(x), weights))) for x in found)))
+    space.drop("counts")
+    centres = fit_topics(over, n, topics)
+    space.drop("units")
 
     def make():
         def run(texts):
@@ -97,8 +184,8 @@ def with_topics(
             if not got:
                 return [], []
             x = np.stack([g for g, _ in got])
-            of = ((x * weights) @ centres.T).argmax(1)
-            return np.where(x.sum(1) > 0, of, 0).astype(np.int32), [n for _, n in got]
+            of = (_units(x, weights) @ centres.T).argmax(1)
+            return np.where(x.any(1), of, 0).astype(np.int32), [k for _, k in got]
 
         return run
 
