@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm import _base_spans, _components
@@ -74,3 +75,16 @@ def test_stages_take_what_tables_hold(spark):
         if name == "near_duplicates":
             assert {r.doc_id for r in got} >= {None, 40, 41, 42} and sum(r.doc_id == 0 for r in got) <= 1
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_mix_sources_weighs_topics_of_all_texts(spark):
+    """Texts of a topic so small that its tempered share is over its tokens all stay, though none of them is among the 4,000 texts of the smallest hashes."""
+    rng = np.random.default_rng(7)
+    vocab = [[f"{x}{i}word" for i in range(8)] for x in "abcd"]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3 if i < 8000 else 3], 12)), "en", "web") for i in range(8200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    early = {r.doc_id for r in docs.orderBy(F.xxhash64("text"), "text").limit(4100).select("doc_id").collect()}
+    docs = docs.where(~F.col("doc_id").isin([i for i in early if i >= 8000])).cache()
+    kept = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()}
+    rare = {r.doc_id for r in docs.where("doc_id >= 8000").collect()}
+    assert len(rare) > 50 and rare <= kept and len(kept) < 0.6 * docs.count()
