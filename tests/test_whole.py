@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from tracewell import registry
-from tracewell.operators import similarity
+from tracewell.operators import alignment, similarity
 
 
 def _cosine(x, y):
@@ -31,3 +33,16 @@ def test_candidate_product_keeps_what_the_search_keeps(spark, tmp_path):
     want = itertools.product(range(5), range(100, 130), range(200, 204))
     assert [tuple(r.picks) for r in sorted(got, key=lambda r: r.tuple) if r.user_id == 1] == list(want)
     assert sum(r.user_id == 2 for r in got) == 20_000
+
+
+def test_candidate_product_spreads_small_groups(spark):
+    lists = {(g, n): [10 * n + k for k in range((g + n) % 4)] for g in range(40) for n in range(4)}
+    nodes = spark.createDataFrame([(g, n, c if c or g % 2 else None) for (g, n), c in lists.items()], "g long, n int, c array<int>")
+    found = alignment.candidate_tuples(nodes, "g", "n", "c", most=7, each=2)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.g, {})[r.tuple] = tuple(r.picks)
+    for g in range(40):
+        want = list(itertools.product(*(lists[g, n][:2] or [None] for n in range(4))))[:7]
+        assert [got[g][t] for t in range(len(got[g]))] == want
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4, "a few tasks make all combinations"

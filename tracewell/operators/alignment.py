@@ -71,24 +71,27 @@ def edge_similarity(source: Column, target: Column, distance: Column, factor: Co
 
 
 def candidate_tuples(nodes: DataFrame, group: str, node: str, candidates: str, most: int = MOST_TUPLES, each: int = MOST_CANDIDATES, rank: Callable[[Column], Column] | None = None) -> DataFrame:  # noqa: E501
-    """(group, tuple, picks): the first `most` combinations of the nodes' candidates (the last node's vary fastest), by a mixed-radix
-    index, so that no product is built. At most `each` candidates a node take part, of more the best by rank (highest first), else the first: both limits are
-    the search's own."""
+    """(group, tuple, picks): the first `most` combinations of the nodes' candidates (the last node's vary fastest). At most `each` candidates a node take part,
+    of more the best by rank (highest first), else the first: both limits are the search's own. The beginnings of combinations are built in the group's row, node
+    by node and only as many as the limit leaves room for; only the last node's candidates are rows of compiled code. Groups are dealt to tasks by their number,
+    as small groups make many rows."""
     chosen = F.slice(candidates, 1, each)
     if rank is not None:
         best = F.array_sort(F.transform(candidates, lambda x, i: F.struct((-rank(x)).alias("r"), i.alias("i"), x.alias("x"))))
         chosen = F.when(F.size(candidates) > each, F.transform(F.slice(best, 1, each), lambda y: y["x"])).otherwise(F.col(candidates))
-    ordered = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), chosen.alias("c")))).alias("ns"))
-    sizes = F.transform("ns", lambda x: F.greatest(F.size(x["c"]), F.lit(1)).cast("long"))
-    total = F.aggregate(sizes, F.lit(1).cast("long"), lambda a, s: F.least(a * s, F.lit(most).cast("long")))
-    rows = ordered.withColumn("sizes", sizes).select(group, "ns", "sizes", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("tuple"))
-
-    def pick(x: Column, i: Column) -> Column:
-        stride = F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1).cast("long"), lambda a, s: F.least(a * s, F.lit(most).cast("long")))
-        at = F.pmod(F.floor(F.col("tuple") / stride), F.get("sizes", i)).cast("int")
-        return F.get(x["c"], at)
-
-    return rows.select(group, "tuple", F.transform("ns", pick).alias("picks"))
+    session = nodes.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 8 * session.sparkContext.defaultParallelism)
+    packed = nodes.select(group, F.struct(F.col(node).alias("node"), chosen.alias("c")).alias("_n")).repartition(n, group)
+    kind = packed.schema["_n"].dataType["c"].dataType
+    ordered = packed.groupBy(group).agg(F.array_sort(F.collect_list("_n")).alias("_ns"))
+    lists = computed(ordered.select(group, F.transform("_ns", lambda x: F.when(F.size(x["c"]) > 0, x["c"]).otherwise(F.array(F.lit(None).cast(kind.elementType)))).alias("_cs")))
+    after = lambda i: F.aggregate(F.slice("_cs", i + 2, F.size("_cs")), F.lit(1).cast("long"), lambda a, c: F.least(a * F.size(c), F.lit(most).cast("long")))
+    sized = lists.select(group, F.element_at("_cs", -1).alias("_last"), F.transform(F.slice("_cs", 1, F.size("_cs") - 1), lambda c, i: F.struct(c.alias("c"), F.ceil(most / after(i)).cast("int").alias("room"))).alias("_before"))
+    longer = lambda begun, x: F.slice(F.flatten(F.transform(begun, lambda p: F.transform(x["c"], lambda y: F.concat(p, F.array(y))))), 1, x["room"])
+    begun = F.aggregate("_before", F.array(F.array().cast(kind)), longer)
+    rows = sized.select(group, "_last", F.posexplode(begun).alias("_no", "_begun")).select(group, "_no", "_begun", F.size("_last").alias("_n"), F.posexplode("_last").alias("_at", "_pick"))
+    at = F.col("_no").cast("long") * F.col("_n") + F.col("_at")
+    return rows.select(group, at.alias("tuple"), F.concat("_begun", F.array("_pick")).alias("picks")).where(F.col("tuple") < most)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
