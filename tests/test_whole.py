@@ -46,3 +46,42 @@ def test_candidate_product_spreads_small_groups(spark):
         want = list(itertools.product(*(lists[g, n][:2] or [None] for n in range(4))))[:7]
         assert [got[g][t] for t in range(len(got[g]))] == want
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4, "a few tasks make all combinations"
+
+
+def test_cosines_are_products_of_blocks(spark):
+    rng = random.Random(4)
+    rows = [(f"v{i}", [rng.randint(-3, 3) / 1.0 for _ in range(3 + i % 2)], i % 4 or None) for i in range(120)] + [("v5", [1.0, 2.0, 2.0], 1), (None, [1.0, 0.0, 0.0], 1), ("w", [1.0, None, 2.0], 2)]
+    df = spark.createDataFrame(rows, "id string, v array<float>, c long")
+    good = [(i, x, c) for i, x, c in rows if i and None not in x and any(x)]
+    want = sorted((i, j, _cosine(x, y), c, d) for i, x, c in good for j, y, d in good if i < j and len(x) == len(y) and _cosine(x, y) > 0.3)
+    found = similarity.all_cosine(df, "id", "v", 0.3, rows=30, keep=("c",))
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(w[0], w[1], w[3], w[4]) for w in sorted(want, key=repr)]
+    assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, sorted(want, key=repr)))
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString(), "pairs are rows of a join before their cosine is known"
+    floors = {(1, 2): 0.9, (3, 3): float("inf")}
+    held = similarity.all_cosine(df, "id", "v", 0.3, rows=30, keep=("c",), by=F.col("c"), floors=floors).collect()
+    bound = lambda c, d: 0.9 if {c, d} == {1, 2} else 9.0 if c == d == 3 else 0.3
+    assert sorted(map(repr, map(tuple, held))) == sorted(repr(g) for g in got if g[2] > bound(g[3], g[4]))
+    tops, best = similarity.all_cosine(df, "id", "v", 0.3, rows=30, keep=("c",), top="c").collect(), {}
+    for g in got:
+        at = frozenset((g[3], g[4]))
+        best[at] = max(best.get(at, 0), g[2])
+    high = {}
+    for r in tops:
+        at = frozenset((r.a_c, r.b_c))
+        high[at] = max(high.get(at, 0), r.cosine)
+    assert high == best and len(tops) < len(got) and set(map(tuple, tops)) <= set(got)
+
+
+def test_cosines_round_as_the_sql_does(spark):
+    import duckdb
+
+    rng = random.Random(7)
+    rows = [(i, [rng.randint(1, 3) * 0.1 for _ in range(5)]) for i in range(150)] + [(200, [1.0, 0.0, 0.0, 0.0, 0.0]), (201, [0.0000005, 1.0, 0.0, 0.0, 0.0]), (202, [-0.3000005, (1 - 0.3000005**2) ** 0.5, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    con = duckdb.connect()
+    con.execute("create table v (id bigint, v double[])")
+    con.executemany("insert into v values (?, ?)", rows)
+    want = con.sql("select a.id, b.id, round(list_cosine_similarity(a.v, b.v), 6) from v a join v b on a.id < b.id").fetchall()
+    assert sorted(map(tuple, similarity.all_cosine(df, "id", "v", -2.0, rows=40).collect())) == sorted(want)
