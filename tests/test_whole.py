@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell import registry
-from tracewell.operators import alignment, similarity
+from tracewell.operators import absorbing, alignment, similarity
 
 
 def _cosine(x, y):
@@ -109,3 +109,17 @@ def test_threshold_sweep_counts_pairs_without_labels(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(t, sum(c >= t for c, _ in pairs), sum(c >= t and same for c, same in pairs)) for t in (0.25, 0.3, 0.35, 0.4)]
     none = registry.QUERIES["threshold_sweep"](spark, _embedded(spark, tmp_path / "none", [(1, [1.0, 0.0], None), (2, [1.0, 0.1], None)])).collect()
     assert {(r.n, r.hits) for r in none} == {(1, 0)}
+
+
+def test_absorb_goes_to_the_least_that_stays(spark):
+    late = spark.createDataFrame([(0, 1), (1, 2), (2, 4), (3, 4), (3, 4)], "a long, b long")
+    rng = random.Random(6)
+    many = sorted({tuple(sorted(rng.sample(range(150), 2))) for _ in range(900)})
+    gone = {}
+    for a, b in many:
+        if a not in gone:
+            gone.setdefault(b, a)
+    frame = spark.createDataFrame(many, "a long, b long")
+    for most in (0, 100, 10_000):
+        assert {r.id: r.absorber for r in absorbing.absorb(late, most).collect()} == {1: 0, 4: 2}
+        assert {r.id: r.absorber for r in absorbing.absorb(frame, most).collect()} == gone
