@@ -123,3 +123,23 @@ def test_absorb_goes_to_the_least_that_stays(spark):
     for most in (0, 100, 10_000):
         assert {r.id: r.absorber for r in absorbing.absorb(late, most).collect()} == {1: 0, 4: 2}
         assert {r.id: r.absorber for r in absorbing.absorb(frame, most).collect()} == gone
+
+
+def test_node_candidates_join_by_the_least_context(spark, tmp_path):
+    names = ["ACTOR", "USER", "TOOL", "OTHER", "VULNERABILITY"]
+    cases = [(l, m, k / 200) for l in names for m in names for k in range(201)]
+    score = alignment.node_similarity(F.array("l"), F.array("m"), F.col("c"), F.lit(False), F.lit(False))
+    for least in (0.35, 0.55, 0.7, 0.96):
+        over = spark.createDataFrame(cases, "l string, m string, c double").where(score > least).collect()
+        assert over and all(r.c > alignment.least_context(r.l, r.m, least) for r in over)
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], [*range(10), None, -3][i % 12]) for i in range(60)]
+    found = registry.QUERIES["node_candidates"](spark, _embedded(spark, tmp_path, rows))
+    label = lambda n: [["ACTOR", "USER", "TOOL", "FILE", "OTHER"][n % 5] if n is not None and n >= 0 else None]
+    pairs = [(i, j, label(x[1]), label(y[1]), max(0.0, _cosine(x[0], y[0]))) for i, *x in rows for j, *y in rows if i < j]
+    s = alignment.node_similarity(F.col("l"), F.col("m"), F.col("c"), F.lit(False), F.lit(False))
+    want = spark.createDataFrame(pairs, "a long, b long, l array<string>, m array<string>, c double").select("a", "b", F.round(s, 7).alias("s")).where(s > 0.55).collect()
+    got = sorted(map(tuple, found.collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(map(tuple, want))] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, sorted(map(tuple, want))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect(array(" not in plan, "labels are compared once a pair of vectors"

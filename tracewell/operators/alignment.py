@@ -6,6 +6,7 @@ align(); empty tables give empty results; extra columns are not read."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +25,11 @@ def _sole(labels: Column, name: str) -> Column:
     return (F.size(labels) == 1) & F.coalesce(F.get(labels, F.lit(0)) == name, F.lit(False))
 
 
-def node_similarity(left: Column, right: Column, context: Column, left_pronoun: Column, right_pronoun: Column, strict: bool = False, both_malware: Column | None = None) -> Column:  # noqa: E501
-    """Similarity of two nodes by their label arrays and the cosine of their phrases (0 to 1). strict: nodes without a common label have none, and two FUNCTION
-    nodes that both name malware (both_malware) are the same."""
+def label_rule(left: Column, right: Column, left_pronoun: Column, right_pronoun: Column, strict: bool = False, both_malware: Column | None = None) -> Column:
+    """What node_similarity takes from the labels alone: base, barred, same, actor, lifted. Where few labels meet many contexts it is computed once a pair of labels."""
     common = F.array_intersect(left, right)
     none = F.size(common) == 0
     base = F.when(none | ((F.size(common) == 1) & (F.get(common, F.lit(0)) == "OTHER")), F.lit(APART)).otherwise(F.lit(COMMON))
-    v = base + (1 - base) * context
     either = lambda name: _sole(left, name) | _sole(right, name)
     both = lambda name: _sole(left, name) & _sole(right, name)
     barred = none & (either("VULNERABILITY") | either("USER") | (_sole(left, "ACTOR") & ~left_pronoun) | (_sole(right, "ACTOR") & ~right_pronoun))
@@ -38,14 +37,41 @@ def node_similarity(left: Column, right: Column, context: Column, left_pronoun:
         barred = none
     lifted = both("USER") | both("VULNERABILITY") | both("REGISTRY")
     same = F.array_contains(left, "FUNCTION") & F.array_contains(right, "FUNCTION") & both_malware if strict and both_malware is not None else F.lit(False)
+    actor = both("ACTOR") & ~left_pronoun & ~right_pronoun
+    return F.struct(base.alias("base"), barred.alias("barred"), same.alias("same"), actor.alias("actor"), lifted.alias("lifted"))
+
+
+def ruled_similarity(rule: Callable[[str], Column], context: Column) -> Column:
+    """Similarity by the parts of a label_rule and the cosine of the phrases."""
+    v = rule("base") + (1 - rule("base")) * context
     out = (
-        F.when(barred, 0.0).when(same, 1.0).when(v > LEAST, v)
-        .when(both("ACTOR") & ~left_pronoun & ~right_pronoun & (v < 0.95), 0.95)
-        .when(lifted & (v > 0.5) & (v < LEAST), v + 0.2).otherwise(v)
+        F.when(rule("barred"), 0.0).when(rule("same"), 1.0).when(v > LEAST, v)
+        .when(rule("actor") & (v < 0.95), 0.95)
+        .when(rule("lifted") & (v > 0.5) & (v < LEAST), v + 0.2).otherwise(v)
     )
     return F.least(F.lit(1.0), out)
 
 
+def node_similarity(left: Column, right: Column, context: Column, left_pronoun: Column, right_pronoun: Column, strict: bool = False, both_malware: Column | None = None) -> Column:  # noqa: E501
+    """Similarity of two nodes by their label arrays and the cosine of their phrases (0 to 1). strict: nodes without a common label have none, and two FUNCTION
+    nodes that both name malware (both_malware) are the same."""
+    rule = label_rule(left, right, left_pronoun, right_pronoun, strict, both_malware)
+    return ruled_similarity(lambda part: rule[part], context)
+
+
+def least_context(left: str, right: str, score: float) -> float:
+    """A bound of the context for node_similarity over a score: nodes of which each has one label and is no pronoun exceed it only with a context over the bound,
+    which is -2 if any context will do and infinite if none will."""
+    apart = left != right
+    if apart and {left, right} & {"VULNERABILITY", "USER", "ACTOR"}:
+        return math.inf if score >= 0 else -2.0
+    if left == right == "ACTOR" and score < 0.95:
+        return -2.0
+    base = APART if apart or left == "OTHER" else COMMON
+    least = min(score, max(0.5, score - 0.2)) if not apart and left in ("USER", "VULNERABILITY", "REGISTRY") else score
+    return (least - base) / (1 - base) - 1e-6 if least >= base else -2.0
+
+
 def verb_factor(has_report: Column, has_procedure: Column, strong: Column, similar: Column, mismatch: Column, n_nodes: Column) -> Column:
     """How well the verbs of an edge agree; null if the procedure's edge has none."""
     weak = F.when(n_nodes <= 2, WEAK_SMALL).otherwise(WEAK_LARGE)
