@@ -143,3 +143,18 @@ def test_node_candidates_join_by_the_least_context(spark, tmp_path):
     assert [g[:2] for g in got] == [w[:2] for w in sorted(map(tuple, want))] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, sorted(map(tuple, want))))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "array_intersect(array(" not in plan, "labels are compared once a pair of vectors"
+
+
+def test_list_similarity_sends_the_highest_pairs_only(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 4) for i in range(80)]
+    sent, all_cosine = [], similarity.all_cosine
+    monkeypatch.setattr(similarity, "all_cosine", lambda *a, **k: sent.append(all_cosine(*a, **k)) or sent[-1])
+    got = {(r.left, r.right): r.context for r in registry.QUERIES["list_similarity"](spark, _embedded(spark, tmp_path, rows)).collect()}
+    want = {}
+    for i, x, l in rows:
+        for j, y, m in rows:
+            if l != m:
+                want[l, m] = max(want.get((l, m), 0), _cosine(x, y))
+    assert got.keys() == want.keys() and all(abs(got[k] - c) < 2e-6 for k, c in want.items())
+    assert sent[0].count() <= 10 * sent[0].rdd.getNumPartitions() and sent[0].count() < 500, "every pair over the bound is sent"

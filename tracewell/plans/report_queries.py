@@ -409,11 +409,11 @@ def technique_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     select l as left, r as right, max(c) as context from p where c > 0.2 group by all
 """)
 def list_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The highest cosine between the vectors of two labels, as that of two nodes' texts."""
+    """The highest cosine between the vectors of two labels, as that of two nodes' texts; each block of pairs sends the highest of each two labels."""
     from tracewell.operators import similarity
 
     v = _read(spark, sf_dir, "embeddings")
-    cosines = similarity.all_cosine(v, "vec_id", "embedding", 0.2)
+    cosines = similarity.all_cosine(v, "vec_id", "embedding", 0.2, top="label")
     texts = v.groupBy("label").agg(F.collect_set("vec_id").alias("texts"))
     found = techniques.most_alike(texts.withColumnRenamed("label", "left"), texts.withColumnRenamed("label", "right"), cosines)
     return found.where("left <> right")
